@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from roundtide import dims
 from roundtide.functions.dates import as_date
 from roundtide.functions.urls import platform_name
+from roundtide.operators.alerts import lifecycle_alerts
 from roundtide.operators.rounds import normalize_rounds
+from roundtide.operators.state import load_watch_sources, shape_links
 
 AS_OF = "2026-08-02"
 SHIFT_DAYS = 10227
@@ -215,3 +217,60 @@ class Star:
                 (k % 11 != 0).alias("enabled"),
             )
         )
+
+    # --- yesterday's state and today's batch, by deterministic perturbation ------------
+
+    @cached_property
+    def watch_sources(self) -> DataFrame:
+        return load_watch_sources(self.raw_watch_sources)
+
+    @cached_property
+    def prev_rounds(self) -> DataFrame:
+        h = F.col("event_id") + F.col("line")
+        later = lambda c: F.when(h % 7 == 0, F.date_add(c, 2)).otherwise(F.col(c)).alias(c)
+        return self.rounds.where(h % 11 != 0).select(
+            *[
+                later(c) if c in ("lottery_end", "application_end_at")
+                else F.when(h % 13 != 0, F.col(c)).alias(c) if c == "results_date"
+                else F.col(c)
+                for c in self.rounds.columns
+            ]
+        )
+
+    @cached_property
+    def batch_rounds(self) -> DataFrame:
+        h = F.col("event_id") + F.col("line")
+        return self.rounds.where((h % 17 != 0) & ~((F.col("event_id") % 10 == 3) & (F.col("platform") == "pia")))
+
+    @cached_property
+    def prev_events(self) -> DataFrame:
+        k = F.col("event_id")
+        return self.events.where(k % 11 != 0).withColumn(
+            "title", F.when(k % 6 == 0, F.concat(F.lit("Old "), F.col("title"))).otherwise(F.col("title"))
+        )
+
+    @cached_property
+    def batch_events(self) -> DataFrame:
+        return self.events.where(F.col("event_id") % 17 != 0)
+
+    @cached_property
+    def prev_links(self) -> DataFrame:
+        return shape_links(self.event_links.where(F.col("event_id") % 9 != 0))
+
+    @cached_property
+    def batch_links(self) -> DataFrame:
+        return self.event_links.where(F.col("event_id") % 17 != 0)
+
+    def alerts_at(self, as_of: Column) -> DataFrame:
+        titles = self.events.select("event_id", F.col("title").alias("event"))
+        return lifecycle_alerts(self.rounds.join(titles, "event_id"), as_of)
+
+    @cached_property
+    def alert_log(self) -> DataFrame:
+        """Alerts logged on each of the last two days, once each, stamped with the first day."""
+        seen = self.alerts_at(F.date_sub(self.as_of, 2)).withColumn("created_at", F.date_sub(self.as_of, 2).cast("timestamp"))
+        more = self.alerts_at(F.date_sub(self.as_of, 1)).withColumn("created_at", F.date_sub(self.as_of, 1).cast("timestamp"))
+        keys = ["event_id", "alert_key"]
+        return seen.unionByName(more).groupBy(*keys).agg(
+            F.min(F.struct("created_at", "alert_type", "payload")).alias("a")
+        ).select(*keys, "a.alert_type", "a.payload", "a.created_at")
