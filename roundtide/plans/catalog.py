@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from roundtide.plans import reads, scalar  # noqa: F401
+from roundtide.plans import reads, scalar, state_q  # noqa: F401
 from roundtide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

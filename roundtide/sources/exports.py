@@ -17,7 +17,7 @@ def blocks_json(info: Column, rounds: Column) -> Column:
 
 def ics_escape(c: Column) -> Column:
     out = F.coalesce(c, F.lit(""))
-    for raw, safe in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for raw, safe in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out
 
