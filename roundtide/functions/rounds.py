@@ -11,6 +11,8 @@ from roundtide.functions.text import (
     any_contains,
     ascii_digits,
     collapse,
+    first_listed,
+    lookup,
     present,
     string_array,
 )
@@ -129,34 +131,24 @@ def schedule_label() -> Column:
     )
 
 
-def lookup(labels: dict[str, str], key: Column) -> Column:
-    """Label of a code, '' for anything else (short when-chain, so codegen stays on)."""
-    chain = F.when(F.lit(False), "")
-    for code, label in labels.items():
-        chain = chain.when(key == code, label)
-    return chain.otherwise("")
+def label(labels: dict[str, str], code: Column) -> Column:
+    """Label of a code, '' for anything else."""
+    return F.coalesce(lookup(labels, code), F.lit(""))
 
 
 def status_label(status: Column) -> Column:
-    return lookup(dims.STATUS_LABELS, status)
+    return label(dims.STATUS_LABELS, status)
 
 
 def status_rank(status: Column) -> Column:
-    chain = F.when(F.lit(False), 99)
-    for code, rank in dims.STATUS_RANK.items():
-        chain = chain.when(status == code, rank)
-    return chain.otherwise(99)
+    return F.coalesce(lookup(dims.STATUS_RANK, status), F.lit(99))
 
 
 # --- places ------------------------------------------------------------------
 
 def city_for_text(text: Column) -> Column:
-    chain = F.when(F.lit(False), "")
-    for city in dims.TOUR_CITIES:
-        chain = chain.when(F.contains(text, F.lit(city)), city)
-    for hint, city in dims.VENUE_CITIES:
-        chain = chain.when(F.contains(text, F.lit(hint)), city)
-    return chain.otherwise("")
+    cities = {c: c for c in dims.TOUR_CITIES} | dict(dims.VENUE_CITIES)
+    return F.coalesce(lookup(cities, first_listed(text, [(c,) for c in cities])), F.lit(""))
 
 
 def round_location(name: Column, evidence: Column, venues: Column) -> Column:

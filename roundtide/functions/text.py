@@ -8,9 +8,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
 
 def empty_array() -> Column:
     return F.expr("cast(array() as array<string>)")
@@ -38,6 +35,23 @@ def any_contains(haystack: Column, needles: Iterable[str]) -> Column:
     return haystack.rlike(alternation(wanted))
 
 
+def first_listed(haystack: Column, groups: Iterable[tuple[str, ...]]) -> Column:
+    """The fragment found for the first group (in list order) that occurs anywhere, else ''.
+
+    One regex with an alternative per group, tried in order, so the haystack is evaluated once.
+    """
+    wanted = [tuple(g) for g in groups]
+    lead = "|".join(f".*?(?={alternation(g)})" for g in wanted)
+    every = alternation([fragment for g in wanted for fragment in g])
+    return F.regexp_extract(haystack, f"(?s)^(?:{lead})({every})", 1)
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """Value of a fixed table (a folded map literal) or NULL; the key is evaluated once."""
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
 def collapse(c: Column) -> Column:
     """Unicode whitespace runs become one space; ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roundtide import dims
-from roundtide.functions.text import any_contains, collapse
+from roundtide.functions.text import any_contains, collapse, first_listed, lookup, present
 
 _SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
 
@@ -50,11 +50,9 @@ def is_ticket_url(url: Column) -> Column:
 def platform_name(url: Column) -> Column:
     """First platform in dictionary order whose host fragment occurs, else the host."""
     host = url_host(url)
-    chain = None
-    for name, fragments in dims.TICKET_PLATFORMS.items():
-        hit = any_contains(host, fragments)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain.otherwise(F.when(host == "", "unknown").otherwise(host))
+    by_fragment = {f: name for name, fragments in dims.TICKET_PLATFORMS.items() for f in fragments}
+    fragment = first_listed(host, dims.TICKET_PLATFORMS.values())
+    return F.coalesce(lookup(by_fragment, fragment), present(host), F.lit("unknown"))
 
 
 def is_portal_search_url(url: Column) -> Column:

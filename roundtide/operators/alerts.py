@@ -92,7 +92,7 @@ def filter_for_watches(alerts: DataFrame, events: DataFrame, watches: DataFrame)
         F.lit("preferred region/venue did not match").alias("detail"),
     )
     passed = (
-        alerts.join(judged.where("match").select("event_id", "watch_id", "allowed"), "event_id")
+        alerts.drop("watch_id").join(judged.where("match").select("event_id", "watch_id", "allowed"), "event_id")
         .where(F.array_contains("allowed", F.lower("type")))
         .select("event_id", "watch_id", "type", F.concat_ws("|", "round", "field", "url").alias("detail"))
     )

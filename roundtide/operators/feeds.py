@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from roundtide import dims
 from roundtide.functions.rounds import (
     latest_day,
-    lookup,
+    label,
     relevant_date,
     schedule_label,
     status_label,
@@ -78,8 +78,8 @@ def feed_rounds(rounds: DataFrame) -> DataFrame:
     labelled = shown_rounds(rounds).withColumns(
         {
             "status_label": status_label(F.col("status")),
-            "round_type_label": lookup(dims.ROUND_TYPE_LABELS, F.col("round_type")),
-            "membership_label": lookup(dims.MEMBERSHIP_LABELS, F.col("membership_required")),
+            "round_type_label": label(dims.ROUND_TYPE_LABELS, F.col("round_type")),
+            "membership_label": label(dims.MEMBERSHIP_LABELS, F.col("membership_required")),
             "schedule_label": schedule_label(),
         }
     )
@@ -245,7 +245,7 @@ def calendar_entries(events: DataFrame, watches: DataFrame, rounds: DataFrame, p
     title = F.coalesce(present(F.col("event_title")), present(F.col("keyword")), F.lit("Tracked event"))
     name = F.coalesce(present(F.col("name")), F.lit("Ticket round"))
     platform = F.coalesce(present(F.col("platform")), F.lit("ticket"))
-    label = F.concat(title, F.lit(" - "), name)
+    caption = F.concat(title, F.lit(" - "), name)
     index = (F.col("position") - 1).cast("string")
     compact = lambda d: F.date_format(d, "yyyyMMdd")
     start, end = F.col("application_start_at"), F.col("application_end_at")
@@ -256,7 +256,7 @@ def calendar_entries(events: DataFrame, watches: DataFrame, rounds: DataFrame, p
         )
         return F.struct(
             uid.alias("uid"),
-            F.concat(F.lit(prefix + ": "), label).alias("summary"),
+            F.concat(F.lit(prefix + ": "), caption).alias("summary"),
             compact(first).alias("dtstart"),
             compact(F.date_add(last, 1)).alias("dtend"),
         )

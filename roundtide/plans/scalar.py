@@ -339,8 +339,8 @@ def _(s):
         "event_id",
         "line",
         rounds.status_label(F.col("status")).alias("status_label"),
-        rounds.lookup(dims.ROUND_TYPE_LABELS, F.col("round_type")).alias("type_label"),
-        rounds.lookup(dims.MEMBERSHIP_LABELS, F.col("membership_required")).alias("member_label"),
+        rounds.label(dims.ROUND_TYPE_LABELS, F.col("round_type")).alias("type_label"),
+        rounds.label(dims.MEMBERSHIP_LABELS, F.col("membership_required")).alias("member_label"),
     )
 
 

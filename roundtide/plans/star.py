@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roundtide import dims
 from roundtide.functions.dates import as_date
+from roundtide.functions.text import lookup
 from roundtide.functions.urls import platform_name
 from roundtide.operators.alerts import lifecycle_alerts
 from roundtide.operators.rounds import normalize_rounds
@@ -33,10 +34,7 @@ DEFAULT_PREFERENCES = ",".join(dims.ALERT_TYPES)
 
 
 def pick(key: Column, table: dict[int, str], default: str) -> Column:
-    chain = F.when(F.lit(False), default)
-    for k, v in table.items():
-        chain = chain.when(key == k, v)
-    return chain.otherwise(default)
+    return F.coalesce(lookup(table, key.cast("int")), F.lit(default))
 
 
 class Star:
