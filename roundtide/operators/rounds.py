@@ -32,20 +32,24 @@ def round_key() -> Column:
     )
 
 
-def normalize_rounds(rounds: DataFrame, as_of: Column) -> DataFrame:
+def normalize_rounds(rounds: DataFrame, as_of: Column, parse_evidence: bool = True) -> DataFrame:
     """Fill platform, window, payment end, number, type, membership; derive status and key.
 
     Narrow: every step is a projection. The evidence window is only parsed for rows that
-    still miss an end of their window and whose evidence holds a digit.
+    still miss an end of their window and whose evidence holds a digit. Read paths over stored
+    rounds pass ``parse_evidence=False``: the window was derived at save time, and without the
+    text scan a status filter is pushed down as a small date predicate.
     """
     name, evidence = F.col("name"), F.coalesce(F.col("evidence"), F.lit(""))
     start = F.coalesce("application_start_at", "lottery_start")
     end = F.coalesce("application_end_at", "lottery_end")
     wants_evidence = (start.isNull() | end.isNull()) & evidence.rlike(r"(?U)\d") & ~is_sale_round(name)
-    from_evidence = F.when(
-        wants_evidence,
-        range_after_label(evidence, string_array(dims.ADVANCE_RANGE_LABELS), dominant_year(evidence), as_of),
-    )
+    from_evidence = F.struct(F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"))
+    if parse_evidence:
+        from_evidence = F.when(
+            wants_evidence,
+            range_after_label(evidence, string_array(dims.ADVANCE_RANGE_LABELS), dominant_year(evidence), as_of),
+        )
     platform = F.coalesce(present(F.col("platform")), present(F.col("source")), platform_name(F.col("url")))
     staged = rounds.withColumns({"platform": platform, "_window": from_evidence})
     filled = staged.withColumns(

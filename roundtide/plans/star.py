@@ -150,7 +150,7 @@ class Star:
 
     @cached_property
     def rounds(self) -> DataFrame:
-        return normalize_rounds(self.raw_rounds, self.as_of)
+        return normalize_rounds(self.raw_rounds, self.as_of, parse_evidence=False)
 
     @cached_property
     def event_links(self) -> DataFrame:
