@@ -56,6 +56,16 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def staged(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
+    """Add computed columns through a one-row ``inline``.
+
+    The generator is evaluated once per row and its outputs are plain attributes afterwards, so
+    later filters and projections refer to the values instead of repeating the text expressions.
+    """
+    kept = list(keep) or [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def pattern_hits(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>>: code-point offsets of matches and one group's text."""
     pieces = F.transform(F.split(text, pattern), lambda p: F.length(p))
@@ -340,10 +350,9 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
         .where(F.col("context").rlike(DATE_RE))
     )
     context, section, year, name = F.col("context"), F.col("section"), F.col("year"), F.col("name")
-    named = (
-        scanned.withColumn("name", F.coalesce(round_name(context), application_name(context)))
-        .where(name.isNotNull())
-        .withColumn("section", round_section(context, name))
+    named = staged(
+        staged(scanned, {"name": F.coalesce(round_name(context), application_name(context))}).where(name.isNotNull()),
+        {"section": round_section(context, name)},
     )
 
     def after(source: Column, *labels: str, width: int = 100) -> Column:
@@ -352,7 +361,8 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
     def before(*labels: str) -> Column:
         return date_before_label(context, string_array(labels), year, as_of)
 
-    ranged = named.withColumns(
+    ranged = staged(
+        named,
         {
             "own": range_after_label(section, F.array(name), year, as_of),
             "pay": range_after_label(section, string_array(dims.PAYMENT_RANGE_LABELS), year, as_of),
@@ -362,8 +372,10 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
                 after(context, "一般発売", "一般前売", "発売日", "発売開始"),
                 before("一般発売", "一般前売", "発売開始"),
             ),
-        }
-    ).withColumns(
+        },
+    )
+    ranged = staged(
+        ranged,
         {
             "window": F.when(
                 F.col("own.start").isNotNull() | F.col("own.end").isNotNull(), F.col("own")
@@ -373,27 +385,25 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
                 "pay.start",
                 after(section, "入金", "支払", "払込", "決済", "支払い", "支払期限", "入金締切"),
             ),
-        }
+        },
     )
     booking = any_contains(name, ("会員先行予約", "先行予約"))
-    dated = (
-        ranged.withColumns(
-            {
-                "start": F.coalesce(
-                    F.when(booking, before("会員先行予約", "先行予約")),
-                    F.col("window.start"),
-                    before("会員先行予約", "先行予約", "先着先行"),
-                    after(context, "先行先着販売", "先着先行", width=40),
-                ),
-                "end": F.col("window.end"),
-                "pay_start": F.col("pay.start"),
-                "pay_end": F.col("pay.end"),
-                "trade_start": F.col("trade.start"),
-                "trade_end": F.col("trade.end"),
-            }
-        )
-        .where(F.coalesce("start", "end", "results", "sale", "deadline", "trade_start", "trade_end").isNotNull())
-    )
+    dated = staged(
+        ranged,
+        {
+            "start": F.coalesce(
+                F.when(booking, before("会員先行予約", "先行予約")),
+                F.col("window.start"),
+                before("会員先行予約", "先行予約", "先着先行"),
+                after(context, "先行先着販売", "先着先行", width=40),
+            ),
+            "end": F.col("window.end"),
+            "pay_start": F.col("pay.start"),
+            "pay_end": F.col("pay.end"),
+            "trade_start": F.col("trade.start"),
+            "trade_end": F.col("trade.end"),
+        },
+    ).where(F.coalesce("start", "end", "results", "sale", "deadline", "trade_start", "trade_end").isNotNull())
     sale_round = is_sale_round(name)
     own = F.struct(
         name.alias("name"),
@@ -401,7 +411,7 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
         F.when(~sale_round, F.col("end")).alias("end"),
     )
     children = F.when(~sale_round, membership_windows(section, name, year, as_of))
-    split = dated.withColumn("children", children).select(
+    split = staged(dated, {"children": children}).select(
         "page_id", "url", "ord", *FACTS, F.substring("section", 1, 260).alias("evidence"),
         F.posexplode(F.when(F.size("children") > 0, F.col("children")).otherwise(F.array(own))).alias("sub", "r"),
     )
@@ -517,17 +527,21 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
     """
     ev = F.coalesce(F.col("evidence"), F.lit(""))
     text = lambda c: F.col(c).cast("string")
-    staged = rounds.withColumns(
+    rows = staged(
+        rounds,
         {
             "_all": evidence_periods(ev, as_of),
             "_periods": performance_periods(F.coalesce(F.col(dates), empty_array()), as_of),
             "_listing": looks_like_listing(ev),
-        }
-    ).withColumn(
-        "_seen", F.when(F.col("_listing"), F.col("_all")).otherwise(F.array_intersect("_all", "_periods"))
+        },
+    )
+    rows = staged(
+        rows,
+        {"_seen": F.when(F.col("_listing"), F.col("_all")).otherwise(F.array_intersect("_all", "_periods"))},
     )
     union = F.array_union("_periods", "_seen")
-    staged = staged.withColumns(
+    rows = staged(
+        rows,
         {
             "_union": union,
             "_days": F.flatten(F.transform(union, lambda r: F.array(r["start"], r["end"]))),
@@ -537,7 +551,7 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
                     text("application_start_at"), text("application_end_at"),
                 )
             ),
-        }
+        },
     )
 
     def is_run(start: str, end: str) -> Column:
@@ -549,7 +563,8 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
     outside = F.array_contains(
         all_dates(_without_ranges(ev, F.col("_seen"), as_of), no_year(), as_of), sale
     )
-    staged = staged.withColumns(
+    rows = staged(
+        rows,
         {
             "_lottery": is_run("lottery_start", "lottery_end"),
             "_application": is_run("application_start_at", "application_end_at"),
@@ -559,19 +574,20 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
             "_sale": F.coalesce(
                 (F.size("_seen") > 0) & F.array_contains("_days", sale) & ~outside, F.lit(False)
             ),
-        }
+        },
     )
     touched = F.col("_lottery") | F.col("_application") | F.col("_isolated") | (F.size("_seen") > 0)
     rejected = F.when(
         F.col("_lottery") | F.col("_application") | F.col("_isolated"),
         F.array_intersect("_window_days", "_days"),
     ).otherwise(empty_array())
-    staged = staged.withColumns(
+    rows = staged(
+        rows,
         {
             "_touched": touched,
             "_rejected": rejected,
             "_bare": F.when(touched, collapse(_without_ranges(ev, F.col("_seen"), as_of))),
-        }
+        },
     )
 
     def rejected_date(h: Column) -> Column:
@@ -582,7 +598,8 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
     def kept(column: str, flag: str) -> Column:
         return F.when(~(F.col(flag) | F.col("_isolated")), F.col(column))
 
-    return staged.withColumns(
+    return staged(
+        rows,
         {
             "lottery_start": kept("lottery_start", "_lottery"),
             "lottery_end": kept("lottery_end", "_lottery"),
@@ -592,16 +609,17 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
             "evidence": F.when(~F.col("_touched"), F.col("evidence"))
             .when(F.size("_rejected") > 0, collapse(_replaced(F.col("_bare"), DATE_RE, rejected_date)))
             .otherwise(F.col("_bare")),
-        }
+        },
     ).select(*rounds.columns)
 
 
 # --- event facts ------------------------------------------------------------------------
 
 def page_facts(parsed: DataFrame) -> DataFrame:
-    """Per-page fact arrays next to the page columns; narrow."""
+    """Per-page fact arrays next to the page columns; narrow, texts evaluated once."""
     text = F.col("text")
-    return parsed.withColumns(
+    return staged(
+        parsed,
         {
             "ticket_links": F.filter("links", lambda l: is_actionable_ticket_link(l["url"], l["label"])),
             "event_dates": event_dates(text),
@@ -611,31 +629,31 @@ def page_facts(parsed: DataFrame) -> DataFrame:
             "summary": present(
                 F.array_join(nearby_phrases(text, string_array(dims.SUMMARY_LABELS), 180, 2), " ")
             ),
-        }
+        },
     )
 
 
+def _texts(kind: str, item, label: Column) -> Column:
+    return F.transform(kind, lambda x, i: item(kind, i, x, label))
+
+
 def collect_facts(facts: DataFrame, owner: list[str], order: str) -> DataFrame:
     """Long form (owner, kind, value, label, first): first sighting of every distinct fact.
 
-    Deduplication is a grouped min that combines map-side, so an owner with very many pages
-    never becomes one array in one task.
+    One explode over all kinds, then a grouped min that combines map-side, so an owner with very
+    many pages never becomes one array in one task.
     """
-    def exploded(kind: str) -> DataFrame:
-        item = F.struct(F.lit(None).cast("string").alias("label"), F.col("v").alias("value"))
-        if kind == "ticket_links":
-            item = F.struct(F.col("v.label").alias("label"), F.col("v.url").alias("value"))
-        return facts.select(*owner, order, F.posexplode(kind).alias("pos", "v")).select(
-            *owner, F.lit(kind).alias("kind"), F.col(order).alias("page_ord"), "pos", item.alias("i")
-        )
-
-    kinds = ("ticket_links", "event_dates", "venues", "ticket_rules", "ticket_prices")
-    rows = exploded(kinds[0])
-    for kind in kinds[1:]:
-        rows = rows.unionByName(exploded(kind))
+    def item(kind: str, pos: Column, value: Column, label: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), value.alias("value"), label.alias("label"))
+
+    no_label = F.lit(None).cast("string")
+    arrays = [F.transform("ticket_links", lambda x, i: item("ticket_links", i, x["url"], x["label"]))]
+    for kind in ("event_dates", "venues", "ticket_rules", "ticket_prices"):
+        arrays.append(_texts(kind, item, no_label))
+    rows = facts.select(*owner, F.col(order).alias("page_ord"), F.inline(F.concat(*arrays)))
     return (
-        rows.groupBy(*owner, "kind", F.col("i.value").alias("value"))
-        .agg(F.min(F.struct("page_ord", "pos", F.col("i.label").alias("label"))).alias("first"))
+        rows.groupBy(*owner, "kind", "value")
+        .agg(F.min(F.struct("page_ord", "pos", "label")).alias("first"))
         .select(*owner, "kind", "value", "first.label", F.struct("first.page_ord", "first.pos").alias("first"))
     )
 

@@ -87,14 +87,14 @@ def _(s):
     d = day()
     token = by(6, jp(d), slash(d), F.date_format(d, "yyyy-MM-dd"), md(d), wide(jp(d)), say("2026年13月1日"))
     token = F.when(pk() % 6 == 4, F.concat(F.lit("20"), F.substring(token, 3, 20))).otherwise(token)
-    return s.table("part").select("p_partkey", dt.normalize_date(token, F.lit(2025), s.as_of).alias("day"))
+    return s.spread("part").select("p_partkey", dt.normalize_date(token, F.lit(2025), s.as_of).alias("day"))
 
 
 @query("infer_year", f"SELECT p_partkey, CASE WHEN {sd()} < {q.AS_OF} - 180 THEN strftime({sd()}, '2027-%m-%d') ELSE {iso(sd())} END AS day {FROM}")
 def _(s):
     d = day()
     token = by(2, md(d), say(n(F.month(d)), "/", n(F.dayofmonth(d))))
-    return s.table("part").select("p_partkey", dt.normalize_date(token, none(), s.as_of).alias("day"))
+    return s.spread("part").select("p_partkey", dt.normalize_date(token, none(), s.as_of).alias("day"))
 
 
 @query("date_range", f"SELECT p_partkey, {iso(sd())} AS first, {arms(4, iso(sd(9)), iso(sd(9)), iso(sd(9)), 'NULL')} AS last {FROM}")
@@ -102,7 +102,7 @@ def _(s):
     a, b = day(), day(9)
     t = by(4, say(jp(a), "(水) 12:00 ～ ", md(b)), say(slash(a), "から", slash(b), "まで"), say("開始 ", jp(a), " 終了 ", md(b)), say("開催 ", jp(a)))
     r = dt.date_range(F.col("t"), none(), s.as_of)
-    return s.table("part").withColumn("t", t).select("p_partkey", r["start"].alias("first"), r["end"].alias("last"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", r["start"].alias("first"), r["end"].alias("last"))
 
 
 @query("label_range", f"SELECT p_partkey, {iso(sd())} AS first, {iso(sd(6))} AS last {FROM}")
@@ -110,13 +110,13 @@ def _(s):
     label = by(2, F.lit("受付期間"), F.lit("申込期間"))
     t = say("公演 2025年1月1日 〜 2025年1月3日 ", F.repeat(F.lit("の"), 150), label, "：", jp(day()), "〜", jp(day(6)))
     r = dt.range_after_label(F.col("t"), string_array(("受付期間", "申込期間")), none(), s.as_of)
-    return s.table("part").withColumn("t", t).select("p_partkey", r["start"].alias("first"), r["end"].alias("last"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", r["start"].alias("first"), r["end"].alias("last"))
 
 
 @query("label_dates", f"SELECT p_partkey, {iso(sd(3))} AS results, {iso(sd(12))} AS sale {FROM}")
 def _(s):
     t = say("受付 ", jp(day()), " 抽選結果：", jp(day(3)), F.repeat(F.lit("〇"), 70), "開始 ", jp(day(5)), " 最終 ", jp(day(12)), "より一般発売")
-    return s.table("part").withColumn("t", t).select(
+    return s.spread("part").withColumn("t", t).select(
         "p_partkey",
         dt.date_after_label(F.col("t"), string_array(("当落", "抽選結果")), none(), s.as_of, 100).alias("results"),
         dt.date_before_label(F.col("t"), string_array(("一般発売",)), none(), s.as_of).alias("sale"),
@@ -129,7 +129,7 @@ def _(s):
 )
 def _(s):
     t = say(F.repeat(F.lit("あ"), (pk() % 30).cast("int")), "先着先行", F.repeat(F.lit("い"), (pk() % 250).cast("int")))
-    return s.table("part").withColumn("t", t).select("p_partkey", F.explode(dt.label_phrases(F.col("t"), string_array(("先着先行", "見当たらない")), 12, 180)).alias("phrase"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.explode(dt.label_phrases(F.col("t"), string_array(("先着先行", "見当たらない")), 12, 180)).alias("phrase"))
 
 
 @query(
@@ -139,7 +139,7 @@ def _(s):
 def _(s):
     t = say(F.repeat(F.lit("あ"), (pk() % 90).cast("int")), "第", n(pk() % 9 + 1), "次先行", F.repeat(F.lit("い"), (pk() % 300).cast("int")))
     got = dt.pattern_windows(F.col("t"), string_array((r"第\s*\d+\s*次先行", "無い語")), 60, 220)
-    return s.table("part").withColumn("t", t).select("p_partkey", F.explode(got).alias("phrase"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.explode(got).alias("phrase"))
 
 
 # --- round facts ----------------------------------------------------------------------
@@ -150,14 +150,14 @@ TYPES = ("fc", "general", "trade", "official", "platform", "platform", "unknown"
 
 @query("round_type", f"SELECT p_partkey, {arms(8, *[q.lit(t) for t in TYPES])} AS round_type {FROM}")
 def _(s):
-    return s.table("part").select("p_partkey", rd.round_type(by(8, *[F.lit(x) for x in NAMES])).alias("round_type"))
+    return s.spread("part").select("p_partkey", rd.round_type(by(8, *[F.lit(x) for x in NAMES])).alias("round_type"))
 
 
 @query("round_membership", f"SELECT p_partkey, {arms(4, *[q.lit(x) for x in ('yes', 'no', 'unknown', 'yes')])} AS membership {FROM}")
 def _(s):
     name = by(4, F.lit("FC先行"), F.lit("一般発売"), F.lit("先着"), F.lit("先着"))
     evidence = by(4, F.lit(""), F.lit(""), F.lit("どなたでも"), F.lit("有料会員のみ"))
-    return s.table("part").select("p_partkey", rd.membership_required(name, evidence).alias("membership"))
+    return s.spread("part").select("p_partkey", rd.membership_required(name, evidence).alias("membership"))
 
 
 @query("round_number", f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE CAST(p_partkey % 99 + 1 AS INTEGER) END AS number {FROM}")
@@ -167,7 +167,7 @@ def _(s):
     digit = lambda c: F.when(c == 0, "").otherwise(F.substring(F.lit(dims.KANJI_DIGITS), c, F.lit(1)))
     kanji = F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), digit(ones))
     t = by(4, say("第", n(k), "次抽選先行"), say("第 ", wide(n(k)), " 次先行"), say("第", kanji, "次先行"), say("抽選先行 ", n(k), "回"))
-    return s.table("part").withColumn("t", t).select("p_partkey", rd.round_number(F.col("t")).alias("number"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", rd.round_number(F.col("t")).alias("number"))
 
 
 CITIES = ("大阪", "名古屋", "東京", "", "札幌")
@@ -176,7 +176,7 @@ CITIES = ("大阪", "名古屋", "東京", "", "札幌")
 @query("city_for_text", f"SELECT p_partkey, {arms(5, *[q.lit(c) for c in CITIES])} AS city {FROM}")
 def _(s):
     t = by(5, say("梅田芸術劇場 ", n(pk())), say("御園座 ", n(pk())), say("札幌のち東京 ", n(pk())), say("hall ", n(pk())), say("in 札幌 ", n(pk())))
-    return s.table("part").withColumn("t", t).select("p_partkey", rd.city_for_text(F.col("t")).alias("city"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", rd.city_for_text(F.col("t")).alias("city"))
 
 
 @query("round_location", f"SELECT p_partkey, {arms(4, q.lit('大阪'), 'chr(104) || ' + q.lit('all ') + ' || p_partkey', q.lit('追加公演'), q.lit(''))} AS place {FROM}")
@@ -185,14 +185,14 @@ def _(s):
     name = by(4, F.lit("大阪公演 先行"), F.lit("先行"), F.lit("追加公演・先着"), F.lit("先行"))
     evidence = by(4, hall, say("会場 hall ", n(pk()), " にて"), F.lit(""), F.lit(""))
     venues = F.array(say("annex ", n(pk())), hall)
-    return s.table("part").select("p_partkey", rd.round_location(name, evidence, venues).alias("place"))
+    return s.spread("part").select("p_partkey", rd.round_location(name, evidence, venues).alias("place"))
 
 
 @query("event_location", f"SELECT p_partkey, {arms(4, q.lit('大阪府'), q.lit('名古屋'), q.lit('hall ') + ' || p_partkey', q.lit(''))} AS place {FROM}")
 def _(s):
     empty = F.expr("cast(array() as array<string>)")
     v = by(4, F.array(say("hall ", n(pk())), say("会 場 梅田（大阪府）")), F.array(say("名古屋　 御園座 ", n(pk()))), F.array(say("：hall ", n(pk()))), empty)
-    return s.table("part").select("p_partkey", rd.event_location(v).alias("place"))
+    return s.spread("part").select("p_partkey", rd.event_location(v).alias("place"))
 
 
 @query("venue_label", f"SELECT p_partkey, {arms(4, q.lit('a; b; c'), q.lit('Multiple cities'), q.lit('—'), q.lit('Multiple cities'))} AS place {FROM}")
@@ -200,25 +200,25 @@ def _(s):
     empty = F.expr("cast(array() as array<string>)")
     v = F.when(pk() % 4 == 0, F.array(F.lit("a"), F.lit(" "), F.lit(" b"), F.lit("c"), F.lit("d"))).otherwise(empty)
     t = by(4, F.lit("x"), say("Summer tour ", n(pk())), say("Contour ", n(pk())), say(n(pk()), "-CITY run"))
-    return s.table("part").withColumn("t", t).select("p_partkey", rd.venue_label(v, t).alias("place"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", rd.venue_label(v, t).alias("place"))
 
 
 @query("evidence_snippet", f"SELECT p_partkey, {arms(3, q.lit('【抽選先行】受付 ') + ' || p_partkey', q.lit('none'), 'repeat(' + q.lit('長') + ', 180) || ' + q.lit('...'))} AS snippet {FROM}")
 def _(s):
     t = by(3, say("※【重要なお知らせ】確認＞＞ 前置き https://a.b/c 【抽選先行】受付　", n(pk()), "。"), F.lit(" ・ https://x.y "), F.repeat(F.lit("長"), 200))
-    return s.table("part").withColumn("t", t).select("p_partkey", rd.evidence_snippet(F.col("t")).alias("snippet"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", rd.evidence_snippet(F.col("t")).alias("snippet"))
 
 
 @query("venue_clean", f"SELECT p_partkey, {arms(3, q.lit('hall ') + ' || p_partkey', q.lit(''), q.lit('御園座'))} AS kept {FROM}")
 def _(s):
     v = by(3, F.array(say("hall ", n(pk())), F.lit("チケット受付 窓口")), F.array(F.lit("グループ観劇"), F.lit(" ")), F.array(F.lit("御園座")))
-    return s.table("part").select("p_partkey", F.array_join(ex.clean_venues(v), "|").alias("kept"))
+    return s.spread("part").select("p_partkey", F.array_join(ex.clean_venues(v), "|").alias("kept"))
 
 
 @query("performance_listing", f"SELECT p_partkey, p_partkey % 3 = 0 AS listing {FROM}")
 def _(s):
     t = by(3, say(jp(day()), "〜", md(day(9)), " 御園ホール"), say("受付期間 ", jp(day()), " 御園ホール"), say(jp(day()), "〜", md(day(9))))
-    return s.table("part").withColumn("t", t).select("p_partkey", rd.looks_like_listing(F.col("t")).alias("listing"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", rd.looks_like_listing(F.col("t")).alias("listing"))
 
 
 @query("round_names", f"SELECT p_partkey, {arms(5, q.lit('第') + ' || (p_partkey % 9 + 1) || ' + q.lit('次抽選先行'), q.lit('追加公演・抽選先行'), q.lit('先着先行'), q.lit('先行受付'), 'NULL')} AS name {FROM}")
@@ -231,7 +231,7 @@ def _(s):
         say("お申し込みは ", jp(day())),
         say("お知らせ ", jp(day())),
     )
-    return s.table("part").withColumn("t", t).select("p_partkey", F.coalesce(rd.round_name(F.col("t")), rd.application_name(F.col("t"))).alias("name"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.coalesce(rd.round_name(F.col("t")), rd.application_name(F.col("t"))).alias("name"))
 
 
 # --- event facts ----------------------------------------------------------------------
@@ -244,7 +244,7 @@ def _(s):
         say("演目 ", slash(day()), "～", slash(day(9)), " 公演 受付 2026/1/1～2026/1/2 公演"),
         say("期 間 ", jp(day()), " 受付期間 ", jp(day(20)), "〜", jp(day(22))),
     )
-    return s.table("part").withColumn("t", t).select("p_partkey", F.array_join(ex.event_dates(F.col("t")), "|").alias("dates"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.array_join(ex.event_dates(F.col("t")), "|").alias("dates"))
 
 
 @query("venues", f"SELECT p_partkey, {arms(3, q.lit('御園座本館'), q.lit('梅田') + ' || (p_partkey % 7) || ' + q.lit('劇場'), q.lit(''))} AS venues {FROM}")
@@ -255,20 +255,20 @@ def _(s):
         say("大阪 梅田", n(pk() % 7), "劇場。"),
         say("会場 チケット受付窓口【"),
     )
-    return s.table("part").withColumn("t", t).select("p_partkey", F.array_join(ex.venues(F.col("t")), "|").alias("venues"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.array_join(ex.venues(F.col("t")), "|").alias("venues"))
 
 
 @query("ticket_rules", f"SELECT p_partkey, '未就学児入場不可 ' || p_partkey || ' なお、膝上も不可|転売禁止です' AS rules {FROM}")
 def _(s):
     t = say("あらすじ。※未就学児入場不可 ", n(pk()), "。なお、膝上も不可。禁止。※転売禁止です https://a.b/c 。クッキー同意。※転売禁止。関係ない話。")
-    return s.table("part").withColumn("t", t).select("p_partkey", F.array_join(F.transform(ex.ticket_rules(F.col("t")), lambda x: F.replace(x, F.lit("※"), F.lit(""))), "|").alias("rules"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.array_join(F.transform(ex.ticket_rules(F.col("t")), lambda x: F.replace(x, F.lit("※"), F.lit(""))), "|").alias("rules"))
 
 
 @query("ticket_prices", f"SELECT p_partkey, {arms(3, q.lit('S席：') + ' || (p_partkey + 1000) || ' + q.lit('円|A席：') + ' || (p_partkey + 500) || ' + q.lit('円'), q.lit('S席は') + ' || (p_partkey + 1000) || ' + q.lit('円です'), q.lit('料金は') + ' || (p_partkey + 1000) || ' + q.lit('円'))} AS prices {FROM}")
 def _(s):
     hi, lo = n(pk() + 1000), n(pk() + 500)
     t = by(3, say("チケット S席：", hi, "円 A席：", lo, "円 ※税込"), say("全席指定。S席は", hi, "円です。"), say("入場料の料金は", hi, "円。"))
-    return s.table("part").withColumn("t", t).select("p_partkey", F.array_join(ex.ticket_prices(F.col("t")), "|").alias("prices"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.array_join(ex.ticket_prices(F.col("t")), "|").alias("prices"))
 
 
 def shows_text():
@@ -280,7 +280,7 @@ def shows_text():
 
 def pages_from_parts(s, text, url=None):
     link = F.expr("cast(array() as array<struct<label:string,url:string>>)")
-    return s.table("part").select(
+    return s.spread("part").select(
         pk().alias("page_id"),
         (url if url is not None else say("https://stage.example.com/p/", n(pk()))).alias("url"),
         say("Show ", n(pk())).alias("title"),
@@ -303,13 +303,13 @@ def _(s):
     t = by(4, say("公演 ", n(pk()), " 大阪・城ホール 夜"), say(n(pk()), " ,Zepp Town"), say("NIGHT ", n(pk()), " IN JAKARTA"), say("day ", n(pk()), " 福岡 夜"))
     # A suffix needs at least one character before it.
     t = F.when(pk() % 4 == 1, say("、 aZepp Town")).otherwise(t)
-    return s.table("part").withColumn("t", t).select("p_partkey", F.when(pk() % 4 == 1, F.substring(ex.tour_venue(F.col("t")), 2, 20)).otherwise(ex.tour_venue(F.col("t"))).alias("venue"))
+    return s.spread("part").withColumn("t", t).select("p_partkey", F.when(pk() % 4 == 1, F.substring(ex.tour_venue(F.col("t")), 2, 20)).otherwise(ex.tour_venue(F.col("t"))).alias("venue"))
 
 
 @query("first_date", f"SELECT p_partkey, {iso(sd(4))} AS day {FROM}")
 def _(s):
     items = F.array(F.lit("未定 13/45"), say("公演 ", jp(day(4)), " と ", jp(day(6))))
-    return s.table("part").select("p_partkey", ex.first_sort_date(items, s.as_of).alias("day"))
+    return s.spread("part").select("p_partkey", ex.first_sort_date(items, s.as_of).alias("day"))
 
 
 # --- rounds -----------------------------------------------------------------------------
@@ -318,7 +318,7 @@ def round_text():
     """One numbered lottery with its dates, then the general sale; the year is printed once."""
     a = F.when(pk() % 3 == 0, wide(md(day(8)))).otherwise(md(day(8)))
     return say(
-        "第", n(pk() % 9 + 1), "次抽選先行 受付期間 ", jp(day()), "(水)12:00 ～ ", a, "(日)23:59 抽選結果 ", md(day(12)),
+        "第", n(pk() % 9 + 1), "次抽選先行 受付期間 ", jp(day()), " ～ ", a, "(日)23:59 抽選結果 ", md(day(12)),
         " 入金期間 ", md(day(12)), " ～ ", md(day(15)), F.repeat(F.lit("・"), 80), "【一般発売】 ", md(day(24)), " 10:00",
     )
 
@@ -356,7 +356,7 @@ def _(s):
 def _(s):
     t = say("先着先行 ゴールド会員：", jp(day()), "～", md(day(3)), " レギュラー会員：", jp(day(2)), "～", md(day(5)))
     got = ex.membership_windows(F.col("t"), F.lit("先着先行"), none(), s.as_of)
-    return s.table("part").withColumn("t", t).select(pk().alias("page_id"), F.inline(got)).select(
+    return s.spread("part").withColumn("t", t).select(pk().alias("page_id"), F.inline(got)).select(
         "page_id", "name", F.col("start").alias("lottery_start"), F.col("end").alias("lottery_end")
     )
 
@@ -370,7 +370,7 @@ def _(s):
     run = say(jp(day()), "〜", jp(day(9)))
     other = say(jp(day(40)), "〜", jp(day(49)))
     evidence = by(3, say("公演 ", run), say("受付期間 ", run), say(run, " 御園ホール"))
-    rows = s.table("part").select(
+    rows = s.spread("part").select(
         "p_partkey",
         day().alias("lottery_start"), day(9).alias("lottery_end"), day().alias("application_start_at"), day(9).alias("application_end_at"),
         F.when(pk() % 3 == 2, day(9)).otherwise(day(30)).alias("general_sale_date"),
@@ -387,16 +387,16 @@ def corpus(s):
     key = n(pk())
     link = lambda label, url: F.struct(F.lit(label).alias("label"), url.alias("url"))
     main_url, sale_url = say("https://stage.example.com/show/", key), say("https://eplus.jp/show/", key)
-    main = s.table("part").select(
+    main = s.spread("part").select(
         (pk() * 3).alias("page_id"), main_url.alias("url"), say("Musical ", key, " 公式").alias("title"),
         say("公演期間 ", jp(day(60)), " 会場 御園座本館【地図】S席：9000円 ※転売禁止 ", key, "。").alias("text"),
         F.array(link("Tickets", sale_url), link("News", say("https://stage.example.com/news/", key))).alias("links"),
     )
-    sale = s.table("part").select(
+    sale = s.spread("part").select(
         (pk() * 3 + 1).alias("page_id"), sale_url.alias("url"), say("eplus ", key).alias("title"), round_text().alias("text"),
         F.expr("cast(array() as array<struct<label:string,url:string>>)").alias("links"),
     )
-    noise = s.table("part").select(
+    noise = s.spread("part").select(
         (pk() * 3 + 2).alias("page_id"), say("https://x.com/", key).alias("url"), say("Musical ", key).alias("title"),
         F.lit("nothing").alias("text"), F.expr("cast(array() as array<struct<label:string,url:string>>)").alias("links"),
     )
@@ -407,7 +407,7 @@ def results(s):
     key = n(pk())
     keyword = say("Musical ", key)
     row = lambda rank, title, url: F.struct(F.lit(rank).alias("rank"), title.alias("title"), url.alias("url"), F.lit("").alias("snippet"))
-    return s.table("part").select(
+    return s.spread("part").select(
         keyword.alias("keyword"),
         F.inline(F.array(row(1, say("Musical ", key), say("https://x.com/", key)), row(2, say("Musical ", key, " 公式"), say("https://stage.example.com/show/", key)))),
     )
@@ -426,7 +426,7 @@ def _(s):
 
 @query("blocks_exact", BLOCK_ROUNDS + "")
 def _(s):
-    req = s.table("part").select(
+    req = s.spread("part").select(
         say("Musical ", n(pk())).alias("keyword"), say("https://stage.example.com/show/", n(pk())).alias("url"), F.lit("hint").alias("snippet")
     )
     b = dc.build_exact(req, corpus(s), s.as_of)
@@ -437,8 +437,8 @@ def _(s):
 
 @query(
     "event_info",
-    f"""SELECT 'Musical ' || p_partkey AS keyword, unnest(['event_dates', 'ticket_links', 'ticket_prices', 'ticket_rules', 'venues']) AS kind,
-      unnest(['公演期間 ' || year({sd(60)}) || '年' || month({sd(60)}) || '月' || day({sd(60)}) || '日 会場 御園座本館【地図】S席：9000円 ※転売禁止 ' || p_partkey || '。', 'https://eplus.jp/show/' || p_partkey, 'S席：9000円', '※転売禁止 ' || p_partkey, '御園座本館']) AS value FROM part""",
+    f"""SELECT 'Musical ' || p_partkey AS keyword, unnest(['event_dates', 'event_dates', 'ticket_links', 'ticket_prices', 'ticket_rules', 'venues']) AS kind,
+      unnest([year({sd(60)}) || '年' || month({sd(60)}) || '月' || day({sd(60)}) || '日', '公演期間 ' || year({sd(60)}) || '年' || month({sd(60)}) || '月' || day({sd(60)}) || '日 会場 御園座本館【地図】S席：9000円 ※転売禁止 ' || p_partkey || '。', 'https://eplus.jp/show/' || p_partkey, 'S席：9000円', '※転売禁止 ' || p_partkey, '御園座本館']) AS value FROM part""",
 )
 def _(s):
     owned = dc.official_pages(results(s), corpus(s))
@@ -461,9 +461,9 @@ def artist_corpus(s):
     link = lambda label, url: F.struct(label.alias("label"), url.alias("url"))
     empty = F.expr("cast(array() as array<struct<label:string,url:string>>)")
     tour, detail = say("https://band.example.com/tour/", key), say("https://band.example.com/d/", key)
-    land = s.table("part").select((pk() * 3).alias("page_id"), say("https://band.example.com/", key).alias("url"), say("Band ", key).alias("title"), say("news ", jp(day(90))).alias("text"), F.array(link(F.lit("Tour"), tour), link(F.lit("About"), detail)).alias("links"))
-    sched = s.table("part").select((pk() * 3 + 1).alias("page_id"), tour.alias("url"), say("Tour ", key).alias("title"), say(slash(day()), " WINTER NIGHT ", key, " ", slash(day(1)), " 終了 GONE").alias("text"), F.array(link(say("WINTER NIGHT ", key, " details"), detail)).alias("links"))
-    info = s.table("part").select((pk() * 3 + 2).alias("page_id"), detail.alias("url"), say("Detail ", key).alias("title"), say("会場 御園座本館【地図】").alias("text"), empty.alias("links"))
+    land = s.spread("part").select((pk() * 3).alias("page_id"), say("https://band.example.com/", key).alias("url"), say("Band ", key).alias("title"), say("news ", jp(day(90))).alias("text"), F.array(link(F.lit("Tour"), tour), link(F.lit("About"), detail)).alias("links"))
+    sched = s.spread("part").select((pk() * 3 + 1).alias("page_id"), tour.alias("url"), say("Tour ", key).alias("title"), say(slash(day()), " WINTER NIGHT ", key, " ", slash(day(1)), " 終了 GONE").alias("text"), F.array(link(say("WINTER NIGHT ", key, " details"), detail)).alias("links"))
+    info = s.spread("part").select((pk() * 3 + 2).alias("page_id"), detail.alias("url"), say("Detail ", key).alias("title"), say("会場 御園座本館【地図】").alias("text"), empty.alias("links"))
     return land.unionByName(sched).unionByName(info)
 
 
@@ -476,7 +476,7 @@ def _(s):
     from roundtide.sources.pages import exploded_links
 
     pages = artist_corpus(s)
-    owned = s.table("part").select(say("Band ", n(pk())).alias("keyword"), (pk() * 3).alias("page_id"), F.lit(1).alias("place"))
+    owned = s.spread("part").select(say("Band ", n(pk())).alias("keyword"), (pk() * 3).alias("page_id"), F.lit(1).alias("place"))
     got = dc.artist_shows(owned, pages, exploded_links(pages), s.as_of)
     return got.select("keyword", "date", "title", "venue", "official_url")
 
@@ -496,7 +496,7 @@ def payloads(s):
     key = n(pk())
     item = lambda t, u, d: lambda i: F.concat(F.lit(f'{{"{t}":"  Title '), i, F.lit(f'　x","{u}":"'), F.when(i == "3", "ftp://bad").otherwise(F.concat(F.lit("https://h.example.com/"), key, F.lit("/"), i)), F.lit(f'","{d}":"about '), i, F.lit('"}'))
     rows = lambda f: F.concat_ws(",", *[f(F.lit(str(i))) for i in range(1, 13)])
-    return s.table("part").select(
+    return s.spread("part").select(
         say("kw ", key).alias("keyword"),
         by(3, F.lit("brave"), F.lit("bing"), F.lit("serpapi")).alias("provider"),
         by(
@@ -521,7 +521,7 @@ def result_html(s):
     block = lambda url, title, snip: F.concat(F.lit('<li class="b_algo" data-x="1"><h2 class="t"><a h="1" href="'), url, F.lit('">'), title, F.lit("</a></h2><p>"), snip, F.lit("</p></li>\n"))
     target = say("https://site.example.com/", key)
     packed = F.translate(F.regexp_replace(F.base64(F.encode(target, "utf-8")), "[=\\r\\n]", ""), "+/", "-_")
-    return s.table("part").select(
+    return s.spread("part").select(
         say("kw ", key).alias("keyword"),
         F.concat(
             F.lit("<ol>"),

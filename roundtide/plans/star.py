@@ -47,6 +47,10 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A small table whose rows carry heavy text work, spread over all task slots."""
+        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism)
+
     @cached_property
     def watches(self) -> DataFrame:
         k = F.col("c_custkey")
