@@ -24,6 +24,7 @@ YMD_JP = U + r"(20\d{2})年\s*(\d{1,2})月\s*(\d{1,2})日"
 YMD_WEST = U + r"(20\d{2})[./-](\d{1,2})[./-](\d{1,2})"
 MD_JP = U + r"(\d{1,2})月\s*(\d{1,2})日"
 MD_WEST = U + r"(\d{1,2})[./-](\d{1,2})"
+TOKEN_PARTS = U + r"^(?:(20\d{2})(?:年\s*|[./-]))?(\d{1,2})(?:月\s*|[./-])(\d{1,2})日?$"
 
 
 def as_date(day: dt.date | str) -> Column:
@@ -47,52 +48,44 @@ def dominant_year(text: Column) -> Column:
     return F.when(F.size(years) == 1, F.try_element_at(years, F.lit(1)).cast("int"))
 
 
-def infer_year(month: Column, day: Column, year_hint: Column, as_of: Column) -> Column:
-    """Hint, else the as-of year, or the next one when the day lies over 180 days back."""
+def infer_year(month: Column, day: Column, as_of: Column) -> Column:
+    """The as-of year, or the next one when the day lies over 180 days back; NULL for no such day."""
     candidate = _try_iso(_iso(F.year(as_of), month, day))
-    guess = F.when(candidate < F.date_sub(as_of, 180), F.year(as_of) + 1).when(
+    return F.when(candidate < F.date_sub(as_of, 180), F.year(as_of) + 1).when(
         candidate.isNotNull(), F.year(as_of)
     )
-    return F.coalesce(year_hint, guess)
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws(
-        "-",
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
-
-
-def _number(value: Column, pattern: str, group: int) -> Column:
-    return ascii_digits(F.regexp_extract(value, pattern, group)).try_cast("int")
+    return F.format_string("%04d-%02d-%02d", year, month, day)
 
 
 def is_valid_month_day(month: Column, day: Column) -> Column:
     return month.between(1, 12) & day.between(1, 31)
 
 
+def token_iso(token: Column, year_hint: Column, as_of: Column) -> Column:
+    """ISO text of one date token, or NULL. Parts are bound once to keep the expression small."""
+    plain = ascii_digits(token)
+    part = lambda g: F.regexp_extract(plain, TOKEN_PARTS, g).try_cast("int")
+    parts = F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
+
+    def build(p: Column) -> Column:
+        year = F.coalesce(p["y"], year_hint, infer_year(p["m"], p["d"], as_of))
+        return F.when(is_valid_month_day(p["m"], p["d"]) & year.between(2000, 2099), _iso(year, p["m"], p["d"]))
+
+    return F.transform(F.array(parts), build)[0]
+
+
 def normalize_date(value: Column, year_hint: Column, as_of: Column) -> Column:
-    """ISO text for the first date shape that occurs, else NULL (four shapes, in order)."""
-    def shaped(pattern: str, with_year: bool) -> Column:
-        off = 1 if with_year else 0
-        month, day = _number(value, pattern, off + 1), _number(value, pattern, off + 2)
-        year = _number(value, pattern, 1) if with_year else infer_year(month, day, year_hint, as_of)
-        return F.when(is_valid_month_day(month, day) & year.isNotNull(), _iso(year, month, day))
-
-    iso = (
-        F.when(value.rlike(YMD_JP), shaped(YMD_JP, True))
-        .when(value.rlike(YMD_WEST), shaped(YMD_WEST, True))
-        .when(value.rlike(MD_JP), shaped(MD_JP, False))
-        .when(value.rlike(MD_WEST), shaped(MD_WEST, False))
-    )
-    return F.when(iso.startswith("20"), iso)
+    """ISO text for the first date shape that occurs (four shapes, tried in order), else NULL."""
+    shapes = [F.nullif(F.regexp_extract(value, p, 0), F.lit("")) for p in (YMD_JP, YMD_WEST, MD_JP, MD_WEST)]
+    return token_iso(F.coalesce(*shapes), year_hint, as_of)
 
 
 def all_dates(text: Column, year_hint: Column, as_of: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(DATE_RE), F.lit(0))
-    return F.array_compact(F.transform(tokens, lambda t: normalize_date(t, year_hint, as_of)))
+    return F.array_compact(F.transform(tokens, lambda t: token_iso(t, year_hint, as_of)))
 
 
 def first_date_token(text: Column) -> Column:
@@ -111,8 +104,8 @@ def date_range(text: Column, year_hint: Column, as_of: Column) -> Column:
     def build(h: Column) -> Column:
         dates = all_dates(text, h, as_of)
         paired = F.struct(
-            normalize_date(F.regexp_extract(text, RANGE_RE, 1), h, as_of).alias("start"),
-            normalize_date(F.regexp_extract(text, RANGE_RE, 2), h, as_of).alias("end"),
+            token_iso(F.regexp_extract(text, RANGE_RE, 1), h, as_of).alias("start"),
+            token_iso(F.regexp_extract(text, RANGE_RE, 2), h, as_of).alias("end"),
         )
         listed = F.transform(
             F.array(dates),
@@ -163,7 +156,7 @@ def label_windows(text: Column, labels: Column, before: int | None, after: int |
 def date_after_label(text: Column, labels: Column, year_hint: Column, as_of: Column, width: int) -> Column:
     """First label window whose first date token normalises."""
     def of_window(w: Column) -> Column:
-        return normalize_date(first_date_token(w), F.coalesce(dominant_year(w), year_hint), as_of)
+        return token_iso(first_date_token(w), F.coalesce(dominant_year(w), year_hint), as_of)
 
     dates = F.transform(label_windows(text, labels, 0, width), of_window)
     return F.try_element_at(F.array_compact(dates), F.lit(1))

@@ -18,9 +18,9 @@ from roundtide.functions.dates import (
     iso_date,
     label_phrases,
     nearby_phrases,
-    normalize_date,
     pattern_windows,
     range_after_label,
+    token_iso,
 )
 from roundtide.functions.rounds import (
     application_name,
@@ -277,7 +277,7 @@ def tour_entries(text: Column, as_of: Column) -> Column:
                 h["start"].alias("start"),
                 h["end"].alias("end"),
                 h["value"].alias("value"),
-                normalize_date(h["value"], year, as_of).alias("iso"),
+                token_iso(h["value"], year, as_of).alias("iso"),
             ),
         )
         return F.filter(with_iso, lambda h: h["iso"].isNotNull())
@@ -592,7 +592,7 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
 
     def rejected_date(h: Column) -> Column:
         return F.coalesce(
-            F.array_contains("_rejected", normalize_date(h, no_year(), as_of)), F.lit(False)
+            F.array_contains("_rejected", token_iso(h, no_year(), as_of)), F.lit(False)
         )
 
     def kept(column: str, flag: str) -> Column:
