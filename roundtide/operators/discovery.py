@@ -25,6 +25,7 @@ from roundtide.operators.extraction import (
 )
 from roundtide.operators.ranking import choose_official
 from roundtide.operators.rounds import dedupe_rounds, normalize_rounds
+from roundtide.sources.tables import written
 
 
 def follow_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -89,10 +90,13 @@ def event_blocks(owned: DataFrame, parsed: DataFrame, as_of: Column, scope: str
     """Facts, header and rounds of every owner of ordered pages.
 
     ``owned`` is parsed pages with the owner column ``scope`` and an ordinal ``place``. Each
-    distinct page is extracted once, whoever shares it. Facts stay in long form.
+    distinct page is extracted once, whoever shares it. Facts stay in long form. Runs jobs: the
+    per-page facts go through a written table.
     """
-    facts = page_facts(owned)
-    long = collect_facts(facts, [scope], "place")
+    # Facts feed the header, the links and the rounds: written once, not recomputed per use.
+    facts = written(page_facts(owned), "page_facts")
+    long = written(collect_facts(facts, [scope], "place"), "facts")
+    owned = facts
     head = facts.groupBy(scope).agg(F.min(F.struct("place", "url", "title", "summary")).alias("h")).select(
         scope,
         F.col("h.url").alias("official_url"),
@@ -239,3 +243,35 @@ def artist_shows(owned: DataFrame, parsed: DataFrame, links: DataFrame, as_of: C
         F.array(F.coalesce(present(F.col("date_text")), day)).alias("event_dates"),
         F.when(F.col("venue") != "", F.array("venue")).otherwise(empty_array()).alias("venues"),
     )
+
+
+def blocks_to_batch(blocks: dict[str, DataFrame], watches: DataFrame) -> dict[str, DataFrame]:
+    """Keyword blocks as one save batch; events are keyed by (watch, page), ids are stable hashes."""
+    long = blocks["facts"]
+
+    def values(kind: str) -> DataFrame:
+        picked = long.where(F.col("kind") == kind)
+        return picked.groupBy("keyword").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias(kind)
+        )
+
+    url = F.coalesce("official_url", F.concat(F.lit("keyword:"), F.col("keyword")))
+    events = (
+        blocks["header"]
+        .join(watches.select("watch_id", "keyword"), "keyword")
+        .join(values("event_dates"), "keyword", "left")
+        .join(values("venues"), "keyword", "left")
+        .withColumn("official_url", url)
+        .select(
+            stable_key(F.concat_ws("|", F.col("watch_id").cast("string"), F.col("official_url"))).alias("event_id"),
+            "watch_id", "keyword", "title", "official_url", "summary",
+            F.coalesce("event_dates", empty_array()).alias("event_dates"),
+            F.coalesce("venues", empty_array()).alias("venues"),
+        )
+    )
+    ids = events.select("keyword", "event_id")
+    return {
+        "events": events.drop("keyword"),
+        "links": blocks["links"].join(ids, "keyword").select("event_id", "url", "label"),
+        "rounds": blocks["rounds"].drop("lane", "round_ord", "page_id", "status", "round_key").join(ids, "keyword").drop("keyword"),
+    }

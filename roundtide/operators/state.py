@@ -503,3 +503,10 @@ def apply_batch(
     return nxt, {"changes": changes, "lifecycle": life}
 
 
+
+
+def normalize_for_state(rounds: DataFrame, as_of: Column) -> DataFrame:
+    """Rounds in the column layout of the state table."""
+    from roundtide.operators.rounds import normalize_rounds
+
+    return normalize_rounds(rounds, as_of)
