@@ -38,7 +38,7 @@ from roundtide.functions.text import (
     strip_chars,
 )
 from roundtide.functions.urls import is_actionable_ticket_link, platform_confidence, platform_name
-from roundtide.operators.rounds import is_sale_round, normalize_rounds
+from roundtide.operators.rounds import is_sale_round, normalize_rounds, staged
 
 EDGE = " ：:、。"
 NOTE_EDGE = " ・:：。"
@@ -56,16 +56,6 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def staged(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
-    """Add computed columns through a one-row ``inline``.
-
-    The generator is evaluated once per row and its outputs are plain attributes afterwards, so
-    later filters and projections refer to the values instead of repeating the text expressions.
-    """
-    kept = list(keep) or [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
-
-
 def pattern_hits(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>>: code-point offsets of matches and one group's text."""
     pieces = F.transform(F.split(text, pattern), lambda p: F.length(p))

@@ -18,6 +18,16 @@ from roundtide.functions.text import any_contains, joined_key, present, round_na
 from roundtide.functions.urls import platform_confidence, platform_name
 
 
+def staged(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
+    """Add computed columns through a one-row ``inline``.
+
+    The generator is evaluated once per row and its outputs are plain attributes afterwards, so
+    later filters and projections refer to the values instead of repeating the text expressions.
+    """
+    kept = list(keep) or [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def is_sale_round(name: Column) -> Column:
     return any_contains(name, ("一般発売", "一般前売"))
 
@@ -51,8 +61,9 @@ def normalize_rounds(rounds: DataFrame, as_of: Column, parse_evidence: bool = Tr
             range_after_label(evidence, string_array(dims.ADVANCE_RANGE_LABELS), dominant_year(evidence), as_of),
         )
     platform = F.coalesce(present(F.col("platform")), present(F.col("source")), platform_name(F.col("url")))
-    staged = rounds.withColumns({"platform": platform, "_window": from_evidence})
-    filled = staged.withColumns(
+    columns = {"platform": platform, "_window": from_evidence}
+    base = staged(rounds, columns) if parse_evidence else rounds.withColumns(columns)
+    filled = base.withColumns(
         {
             "application_start_at": F.when(
                 ~is_sale_round(name), F.coalesce(start, iso_date(F.col("_window.start")))
