@@ -472,19 +472,22 @@ def apply_batch(
 
     Order of the effects: event upsert, stale fallbacks leave with their children, links,
     rounds with change rows and scoped prune, lifecycle alerts, snapshots. Returns the next
-    state and the alert tables ``changes`` (returned only) and ``lifecycle`` (logged).
+    state and the alert tables ``changes`` (returned only) and ``lifecycle`` (logged). The incoming
+    rounds, events and retired fallbacks feed every output, so they go through written tables.
     """
     from roundtide.operators.alerts import change_alerts, lifecycle_alerts, new_alerts
     from roundtide.operators.rounds import dedupe_rounds, normalize_rounds, one_per_key
+    from roundtide.sources.tables import written
 
     incoming = normalize_rounds(batch["rounds"], as_of)
-    rounds_in = one_per_key(dedupe_rounds(incoming, ["event_id"], []), ["event_id"])
+    rounds_in = written(one_per_key(dedupe_rounds(incoming, ["event_id"], []), ["event_id"]), "rounds_in")
     status = event_status(batch["events"], rounds_in, batch["links"])
     events_in = batch["events"].drop("status").join(status, "event_id").withColumns(
         {"event_key": event_identity(), "updated_at": now}
     )
+    events_in = written(events_in, "events_in")
     merged = upsert_events(state["events"], events_in)
-    gone = stale_fallbacks(state["events"], events_in)
+    gone = written(stale_fallbacks(state["events"], events_in), "fallbacks")
     links = upsert_links(drop_events(state["links"], gone), batch["links"])
     old_rounds = drop_events(state["rounds"], gone)
     rounds = upsert_rounds(old_rounds, rounds_in)
