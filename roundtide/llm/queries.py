@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roundtide.llm import neardup, toxicity
+from roundtide.llm import linededup, neardup, toxicity
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 LOWER_AZ = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TRIMMED = LOWER_AZ.format(text=r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +53,37 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN least ON least.x = d.doc_id
 """
 
+
+def op9_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = linededup.dedup_lines(docs, min_length=40, min_docs=5, counts=("n_lines", "n_dropped"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return done.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+OP9_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), k AS (
+  SELECT *, {TRIMMED} AS key FROM l
+), r AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT doc_id, i, line, coalesce(keeper <> doc_id, false) AS gone FROM k LEFT JOIN r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_noisy_or": op1_toxicity_noisy_or,
     "op2_odd_sketch_neardup": op2_odd_sketch_neardup,
+    "op9_bloom_line_dedup": op9_bloom_line_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op2_odd_sketch_neardup": OP2_SQL,
+    "op9_bloom_line_dedup": OP9_SQL,
 }
-ORACLES: dict[str, str] = {"op2_odd_sketch_neardup": OP2_SQL}
