@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundtide.llm import linededup, neardup, toxicity
+from roundtide.llm import decontaminate, linededup, mixing, neardup, toxicity
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 LOWER_AZ = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,6 +54,25 @@ FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN least ON least.
 """
 
 
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Wanted shares of the tokens by what ``labels`` says of a document.
+MIX_TARGETS = {"good": 0.73, "plain": 0.25, "toxic": 0.02}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): toxic where labelled so, else good or plain by the quality label."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labelled_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
 def op9_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = linededup.dedup_lines(docs, min_length=40, min_docs=5, counts=("n_lines", "n_dropped"))
@@ -81,6 +100,8 @@ FROM m GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_noisy_or": op1_toxicity_noisy_or,
     "op2_odd_sketch_neardup": op2_odd_sketch_neardup,
+    "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
+    "op8_soft_mixing": op8_soft_mixing,
     "op9_bloom_line_dedup": op9_bloom_line_dedup,
 }
 ORACLES: dict[str, str] = {
