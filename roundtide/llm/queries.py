@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundtide.llm import decontaminate, linededup, mixing, neardup, toxicity
+from roundtide.llm import decontaminate, linededup, media, mixing, neardup, toxicity, warc
+from roundtide.llm.common import work_path
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 LOWER_AZ = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -58,6 +59,10 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.as_media(table(spark, sf_dir, "documents"))).drop("error")
+
+
 #: Wanted shares of the tokens by what ``labels`` says of a document.
 MIX_TARGETS = {"good": 0.73, "plain": 0.25, "toxic": 0.02}
 
@@ -97,14 +102,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_warc(spark, path))
+
+
+BASE32_SQL = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+  (CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT), 1)), '')"""
+
+OP10_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {BASE32_SQL} AS payload_digest,
+       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> m THEN m END AS refers_to
+FROM p JOIN g USING (h)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_noisy_or": op1_toxicity_noisy_or,
     "op2_odd_sketch_neardup": op2_odd_sketch_neardup,
     "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
+    "op4_png_media": op4_png_media,
     "op8_soft_mixing": op8_soft_mixing,
     "op9_bloom_line_dedup": op9_bloom_line_dedup,
+    "op10_warc_archives": op10_warc_archives,
 }
 ORACLES: dict[str, str] = {
     "op2_odd_sketch_neardup": OP2_SQL,
     "op9_bloom_line_dedup": OP9_SQL,
+    "op10_warc_archives": OP10_SQL,
 }
