@@ -26,6 +26,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go; labels come from the labels table."""
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
@@ -48,12 +54,17 @@ def benchmark_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its rate and copies for the target mix; those of rate 0 are not part of it."""
+    """Every document gets its rate and copies for the target mix; those of rate 0 are not part of it.
+
+    Adds the columns domain, rate and copies, with underscores where documents have such a column.
+    """
     labels = _table(spark, sf_dir, "labels").where(F.coalesce("toxic", F.lit(0)) != 1)
     domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
     rates = mixing.mix(docs, labels.select("doc_id", domain.alias("domain")), TARGETS)
-    rates = rates.select(F.col("doc_id").alias("rated_id"), "domain", "rate", "copies").where("rate > 0")
-    return docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(rates["rated_id"])).drop("rated_id")
+    added = {c: _free(c, docs.columns) for c in ("domain", "rate", "copies")}
+    key = _free("rated_id", docs.columns)
+    rates = rates.where("rate > 0").select(F.col("doc_id").alias(key), *[F.col(c).alias(n) for c, n in added.items()])
+    return docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(rates[key])).drop(key)
 
 
 STAGES = [

@@ -179,7 +179,10 @@ def first_label(b: Block, short: int = 70, long: int = 200, stop_low: float = 0.
 
 
 def final_labels(blocks: list[Block]) -> list[bool]:
-    """Pass 2: undecided blocks take the label of the nearest decided neighbours."""
+    """Pass 2: undecided blocks take the label of the nearest decided neighbours.
+
+    Furniture inside a content element (a form in an article) says nothing about what stands around it.
+    """
     first = [first_label(b) for b in blocks]
     n = len(blocks)
     before: list[tuple[int, str] | None] = [None] * n
@@ -187,12 +190,12 @@ def final_labels(blocks: list[Block]) -> list[bool]:
     last = None
     for i in range(n):
         before[i] = last
-        if first[i] in (GOOD, BAD):
+        if first[i] in (GOOD, BAD) and not (blocks[i].content and blocks[i].furniture):
             last = (i, first[i])
     last = None
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if first[i] in (GOOD, BAD):
+        if first[i] in (GOOD, BAD) and not (blocks[i].content and blocks[i].furniture):
             last = (i, first[i])
     labels = []
     for i, b in enumerate(blocks):

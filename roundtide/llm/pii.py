@@ -175,7 +175,8 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 200
     p = np.full(len(patterns), 0.5)
     each = np.arange(len(LABELERS))
     for _ in range(rounds):
-        chance = np.log(tables[:, each, v]).sum(axis=2) + np.log(np.stack([1 - share, share]))[:, kind]
+        chance = np.where(v == 1, 0, np.log(tables[:, each, v])).sum(axis=2)  # no opinion says nothing
+        chance = chance + np.log(np.stack([1 - share, share]))[:, kind]
         new = 1 / (1 + np.exp(np.clip(chance[0] - chance[1], -30, 30)))
         done, p = np.abs(new - p).max() < 1e-7, new
         for c, weight in enumerate((n * (1 - p), n * p)):

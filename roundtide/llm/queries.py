@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundtide.llm import decontaminate, linededup, media, mixing, neardup, toxicity, warc
+from roundtide.llm import article, decontaminate, linededup, media, mixing, neardup, pii, secrets, toxicity, warc
 from roundtide.llm.common import work_path
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -63,6 +63,18 @@ def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.as_media(table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op5_recursive_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 #: Wanted shares of the tokens by what ``labels`` says of a document.
 MIX_TARGETS = {"good": 0.73, "plain": 0.25, "toxic": 0.02}
 
@@ -127,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_odd_sketch_neardup": op2_odd_sketch_neardup,
     "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
     "op4_png_media": op4_png_media,
+    "op5_recursive_secret_scan": op5_recursive_secret_scan,
+    "op6_main_text": op6_main_text,
+    "op7_weak_supervision_pii": op7_weak_supervision_pii,
     "op8_soft_mixing": op8_soft_mixing,
     "op9_bloom_line_dedup": op9_bloom_line_dedup,
     "op10_warc_archives": op10_warc_archives,
