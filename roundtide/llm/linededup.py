@@ -192,7 +192,8 @@ def dedup_lines(
     spare = "lost_keys"
     while spare in docs.columns:
         spare += "_"
-    lost = lost.select(F.col("doc_id").alias(spare + "id"), F.col("keys").alias(spare))
+    # by sort-merge at every size: the lost lines grow with the corpus
+    lost = lost.select(F.col("doc_id").alias(spare + "id"), F.col("keys").alias(spare)).hint("merge")
     joined = docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost[spare + "id"]), "left").drop(spare + "id")
     at = docs.columns.index(text_col)
     schema = T.StructType(list(docs.schema.fields) + [T.StructField(c, T.LongType()) for c in counts or ()])
