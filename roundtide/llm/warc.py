@@ -3,11 +3,11 @@
 Writing: records of one payload group share a digest; the largest id of a group is the response, the
 others are revisit records without payload that name it. Records are lines of a text table whose
 line separator is the two CRLFs that end a WARC record, so Spark's committed writer makes the
-archives on any file system, and a lost executor's part is written again.
+archives on any file system, and a lost executor's part is written again. Archives are gzip files unless told otherwise.
 
 Reading: the data source lists the files, deals them out as partitions by size, accepts filters on
-record type and other headers, parses the header block first and seeks past the payload of records
-that are filtered out or whose payload no column asks for.
+record type and other headers, parses the header block first and passes over the payload of records
+that are filtered out: by seeking, or in a gzip stream by inflating without keeping.
 
 Edge cases: null html is an empty payload; a null id or url becomes an empty header value and reads
 back as null; rows that repeat an id with one payload are both written, one of them as response only
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,47 @@ def _file_system(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+class Inflated:
+    """Forward reads from a gzip stream of one or more members; what lies between reads is inflated and let go."""
+
+    def __init__(self, f):
+        self.f, self.at, self.left = f, 0, b""
+        self.stream = zlib.decompressobj(31)
+        self.ended = False
+
+    def more(self) -> bytes:
+        while not self.ended:
+            if self.stream.eof:
+                packed = self.stream.unused_data or self.f.read(1 << 18)
+                self.stream = zlib.decompressobj(31)
+            else:
+                packed = self.stream.unconsumed_tail or self.f.read(1 << 18)
+            if not packed:
+                self.ended = True
+                break
+            out = self.stream.decompress(packed, 1 << 20)
+            if out:
+                return out
+        return b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        parts, got = [], 0
+        while got < n:
+            piece = self.left or self.more()
+            if not piece:
+                break
+            skip = min(len(piece), max(0, at - self.at))
+            take = piece[skip : skip + n - got] if self.at + skip >= at else b""
+            self.left = piece[skip + len(take) :]
+            self.at += skip + len(take)
+            if take:
+                parts.append(take)
+                got += len(take)
+        if at > self.at:
+            raise EOFError
+        return b"".join(parts)
+
+
 class Files(InputPartition):
     def __init__(self, files: list[tuple[str, int]]):
         self.files = files
@@ -95,19 +137,28 @@ class WarcReader(DataSourceReader):
         system, _ = _file_system(self.path)
         for path, size in partition.files:
             with system.open_input_file(path) as f:
-                yield from self.records(f, size, path)
+                if path.endswith(".gz"):
+                    yield from self.records(Inflated(f), None, path)
+                else:
+                    yield from self.records(f, size, path)
 
-    def records(self, f, size: int, path: str):
+    def records(self, f, size: int | None, path: str):
+        """Records in order; the size is unknown (None) for a compressed stream, which only moves forward."""
         at, buffer = 0, b""  # buffer holds the file's bytes from `at` on
-        while at < size:
-            head = self.until(f, at, buffer, size)
+        while size is None or at < size:
+            try:
+                head = self.until(f, at, buffer)
+            except EOFError:
+                raise ValueError(f"{path}: the record before byte {at} ends early") from None
+            if head == b"":
+                return
             if head is None:
                 raise ValueError(f"{path}: no header block at byte {at}")
             block, buffer = head
             headers = parse_headers(block)
             length = int(headers.get("content-length", -1))
             start = len(block)
-            if not block.startswith(b"WARC/1.") or length < 0 or at + start + length > size:
+            if not block.startswith(b"WARC/1.") or length < 0 or size is not None and at + start + length > size:
                 raise ValueError(f"{path}: no whole record at byte {at}")
             row = {
                 "record_id": headers.get("warc-record-id", "").removeprefix("<urn:page:").removesuffix(">") or None,
@@ -130,12 +181,12 @@ class WarcReader(DataSourceReader):
             at, buffer = at + ahead, buffer[ahead:] if len(buffer) > ahead else b""
 
     @staticmethod
-    def until(f, at: int, buffer: bytes, size: int):
-        """The header block at ``at``, blank line included, and the buffer that holds it."""
+    def until(f, at: int, buffer: bytes):
+        """The header block at ``at``, blank line included, and the buffer that holds it; b"" at the end."""
         while (end := buffer.find(b"\r\n\r\n")) < 0:
-            more = f.read_at(1 << 16, at + len(buffer)) if at + len(buffer) < size else b""
+            more = f.read_at(1 << 16, at + len(buffer))
             if not more:
-                return None
+                return None if buffer else b""
             buffer += more
         return buffer[: end + 4], buffer
 
@@ -186,8 +237,11 @@ def record_text(page_id, url, html: str, digest: str, n: int, kind: str, refers)
     )
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """One record a page; of equal payloads of ``min_bytes`` or more the largest id is the response."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
+    """One record a page; of equal payloads of ``min_bytes`` or more the largest id is the response.
+
+    ``compression`` is gzip or none.
+    """
     rows = pages.select(
         pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
         F.coalesce(pages["html"], F.lit("")).alias("html"),
@@ -210,7 +264,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         return step
 
     records = map_columns(joined.select("page_id", "url", "html", "sha", "n", "refers"), make, "value string", chunk=64)
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression=compression)
 
 
 def page_records(records: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -15,11 +16,11 @@ def sha(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
 
-@pytest.fixture(scope="module")
-def archive(spark, tmp_path_factory):
+@pytest.fixture(scope="module", params=["gzip", "none"])
+def archive(spark, tmp_path_factory, request):
     path = str(tmp_path_factory.mktemp("warc") / "out")
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "'x' as sha", "1 as n", "2 as first")
-    warc.write_warc(df, path)
+    warc.write_warc(df, path, compression=request.param)
     return path
 
 
@@ -52,9 +53,11 @@ def test_filters_reach_the_reader(spark, archive):
     assert warc.read_warc(spark, archive).where("http_length > 100000").count() == 1
 
 
-def test_unwanted_payloads_are_not_read(archive):
+def test_unwanted_payloads_are_not_read(spark, tmp_path):
     import pyarrow.fs as pafs
 
+    archive = str(tmp_path / "plain")
+    warc.write_warc(spark.createDataFrame(PAGES, "page_id long, url string, html string"), archive, compression="none")
     reader = warc.WarcReader(None, {"path": archive})
     list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")]))
     asked = []
@@ -88,3 +91,10 @@ def test_empty_and_damaged(spark, tmp_path):
     (tmp_path / "d" / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")
     with pytest.raises(Exception, match="no whole record at byte 0"):
         warc.read_warc(spark, str(tmp_path / "d")).collect()
+    (tmp_path / "z").mkdir()
+    whole = gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nwhole\r\n\r\n")
+    (tmp_path / "z" / "a.warc.gz").write_bytes(whole + whole)  # one member a record
+    assert warc.read_warc(spark, str(tmp_path / "z")).count() == 2
+    (tmp_path / "z" / "b.warc.gz").write_bytes(whole + gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"))
+    with pytest.raises(Exception, match="ends early"):
+        warc.read_warc(spark, str(tmp_path / "z")).collect()
