@@ -448,21 +448,28 @@ def page_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
 
 
 def split_memberships(rounds: DataFrame, as_of: Column) -> DataFrame:
-    """Membership children of stored rounds that name an advance sale; (all columns, child struct)."""
+    """Membership windows in the evidence of stored rounds: all columns, ``child``, ``member_name``.
+
+    A round named after a membership is read again from its evidence, under the name found there;
+    any other must name an advance sale that is no draw.
+    """
     name, evidence = F.col("name"), F.coalesce(F.col("evidence"), F.lit(""))
-    eligible = (
-        (evidence != "")
-        & ~any_contains(name, ("会員", "/", "抽選"))
-        & any_contains(name, ("先行", "先着"))
+    member = F.contains(name, F.lit("会員"))
+    eligible = (evidence != "") & (
+        member | ~any_contains(name, ("/", "抽選")) & any_contains(name, ("先行", "先着"))
     )
-    base = F.when(name == "先行", F.coalesce(round_name(evidence), name)).otherwise(name)
+    named = F.coalesce(round_name(evidence), F.lit("先行"))
+    base = F.when(member | (name == "先行"), named).otherwise(name)
+    year = F.when(~member, dominant_year(evidence))
     children = F.when(
-        eligible & evidence.rlike(MEMBER_PATTERN),
-        membership_windows(evidence, base, dominant_year(evidence), as_of),
+        eligible & evidence.rlike(MEMBER_PATTERN), membership_windows(evidence, base, year, as_of)
+    )
+    return (
+        rounds.withColumns({"children": children, "member_name": member})
+        .where(F.size("children") > 0)
+        .withColumn("child", F.explode("children"))
+        .drop("children")
     )
-    return rounds.withColumn("children", children).where(F.size("children") > 0).withColumn(
-        "child", F.explode("children")
-    ).drop("children")
 
 
 # --- performance-run scrub ------------------------------------------------------------

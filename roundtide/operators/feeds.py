@@ -1,8 +1,7 @@
 """Read models: feeds, priority list, calendar, dashboards, health.
 
 Children of events stay rows (event key + position) instead of nested arrays, so one event with
-very many rounds is never gathered in one task. A ``limit`` is a feature of a feed; the limited
-header rows are the only thing broadcast, and their number is the limit.
+very many rounds is never gathered in one task. A ``limit`` is a feature of a feed.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from roundtide.functions.text import collapse, present, stable_key
 from roundtide.functions.urls import is_actionable_ticket_link, is_noisy_url, is_web_url
 from roundtide.operators.rounds import numbered_within
 
-BROADCAST_ROWS = 1000  # headers above this many rows join by shuffle
-
 
 def visible_watches(
     watches: DataFrame, user_watches: DataFrame | None = None, user_id: int | None = None,
@@ -65,12 +62,9 @@ def event_headers(events: DataFrame, watches: DataFrame, limit: int | None = 50)
     return joined.orderBy(F.col("updated_at").desc(), "event_id").limit(limit)
 
 
-def of_headers(child: DataFrame, headers: DataFrame, limit: int | None, key: str = "event_id") -> DataFrame:
-    """Child rows of limited headers; broadcast only when the limit bounds the header count."""
-    ids = headers.select(key)
-    if limit is not None and limit <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return child.join(ids, key, "left_semi")
+def of_headers(child: DataFrame, headers: DataFrame, key: str = "event_id") -> DataFrame:
+    """Child rows of the given headers; the measured size of the headers decides how they join."""
+    return child.join(headers.select(key), key, "left_semi")
 
 
 def feed_rounds(rounds: DataFrame) -> DataFrame:
@@ -160,10 +154,10 @@ def event_feed(
 ) -> DataFrame:
     """Newest events of the given (already scoped) watches with counts, labels and reasons."""
     head = event_headers(events, watches, limit)
-    n_links = shown_links(of_headers(links, head, limit)).groupBy("event_id").agg(F.count("*").alias("n_links"))
+    n_links = shown_links(of_headers(links, head)).groupBy("event_id").agg(F.count("*").alias("n_links"))
     live = sources.where(~F.col("muted"))
     return (
-        with_reasons(head, of_headers(rounds, head, limit), of_headers(live, head, limit, "watch_id"))
+        with_reasons(head, of_headers(rounds, head), of_headers(live, head, "watch_id"))
         .join(n_links, "event_id", "left")
         .withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     )
@@ -215,9 +209,9 @@ def upcoming_with_reasons(
 ) -> DataFrame:
     """Attach match reasons to a limited priority list (its events are at most ``limit``)."""
     ids = top.select("event_id").distinct()
-    head = event_headers(of_headers(events, ids, limit), watches, None)
-    live = of_headers(sources.where(~F.col("muted")), head, limit, "watch_id")
-    reasons = with_reasons(head, of_headers(rounds, ids, limit), live).select("event_id", "match_reasons")
+    head = event_headers(of_headers(events, ids), watches, None)
+    live = of_headers(sources.where(~F.col("muted")), head, "watch_id")
+    reasons = with_reasons(head, of_headers(rounds, ids), live).select("event_id", "match_reasons")
     return top.join(reasons, "event_id")
 
 

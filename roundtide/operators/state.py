@@ -33,11 +33,28 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_l")).select(*keys, *[f"_l.{c}" for c in rest])
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the last by ``ord`` where there is such a column, else the greatest row."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    ranked = sorted(rest, key=lambda c: c != "ord")
+    return rows.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("_l")).select(*keys, *[f"_l.{c}" for c in rest])
+
+
+def stable_id(*parts: Column) -> Column:
+    """A positive id of 60 bits from the natural key."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
     """Next version of ``old``: new rows win, columns in ``kept`` keep their old value.
 
-    Adds ``is_new`` (key not seen before) and ``touched`` (key in the batch).
+    The batch may repeat a key; its last row counts. Adds ``is_new`` (key not seen before) and
+    ``touched`` (key in the batch).
     """
+    new = one_per_key(new, keys)
     o, n = old.withColumn("_o", F.lit(True)), new.withColumn("_n", F.lit(True))
     joined = o.alias("o").join(n.alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
     out = []
@@ -77,10 +94,12 @@ def upsert_watches(watches: DataFrame, requests: DataFrame, now: Column) -> Data
     picked = {
         c: F.when(explicit, F.col(f"n.r.{c}")).when(F.col("w._o"), F.col(f"w.{c}")).otherwise(default[c]) for c in fields
     }
+    shaped = ("watch_id", "keyword", *fields, "muted", "updated_at", "created_at")
     return j.select(
-        "w.watch_id",
+        F.coalesce("w.watch_id", stable_id(F.col("keyword"))).alias("watch_id"),
         "keyword",
         *[picked[c].alias(c) for c in fields],
+        *[F.col(f"w.{c}").alias(c) for c in watches.columns if c not in shaped],
         F.when(explicit, F.lit(False)).otherwise(F.coalesce("w.muted", F.lit(False))).alias("muted"),
         F.when(F.col("n._n"), now).otherwise(F.col("w.updated_at")).alias("updated_at"),
         F.coalesce("w.created_at", now).alias("created_at"),
@@ -127,12 +146,12 @@ def apply_mutes(watches: DataFrame, requests: DataFrame, now: Column) -> DataFra
 def mute_sources(sources: DataFrame, requests: DataFrame, only_if_changed: bool = False) -> DataFrame:
     """Mute / unmute curated sources by id or URL; adds ``changed``."""
     digits = F.col("identifier").rlike("^[0-9]+$")
-    by_id = requests.where(digits).select(F.col("identifier").try_cast("bigint").alias("source_id"), F.col("muted").alias("w1"))
-    by_url = requests.where(~digits).select(F.col("identifier").alias("url"), F.col("muted").alias("w2"))
-    j = sources.join(by_id.groupBy("source_id").agg(F.max("w1").alias("w1")), "source_id", "left").join(
-        by_url.groupBy("url").agg(F.max("w2").alias("w2")), "url", "left"
-    )
-    want = F.coalesce("w1", "w2")
+    order = F.col("ord") if "ord" in requests.columns else F.lit(0)
+    asked = F.struct(order.alias("ord"), F.col("muted").alias("muted"))
+    by_id = requests.where(digits).groupBy(F.col("identifier").try_cast("bigint").alias("source_id")).agg(F.max(asked).alias("w1"))
+    by_url = requests.where(~digits).groupBy(F.col("identifier").alias("url")).agg(F.max(asked).alias("w2"))
+    j = sources.join(by_id, "source_id", "left").join(by_url, "url", "left")
+    want = F.greatest("w1", "w2")["muted"]  # the last request counts, by id or by URL
     changed = want.isNotNull() & ((want != F.col("muted")) if only_if_changed else F.lit(True))
     return j.select(
         *[c for c in sources.columns if c != "muted"],
@@ -174,18 +193,32 @@ def upsert_sources(sources: DataFrame, requests: DataFrame) -> DataFrame:
             "muted": F.lit(False),
         }
     )
-    return upsert(sources, latest_per_key(shaped, ["watch_id", "url"], "ord"), ["watch_id", "url"])
+    out = upsert(sources, shaped, ["watch_id", "url"])
+    if "source_id" not in out.columns:
+        return out
+    return out.withColumn("source_id", F.coalesce("source_id", stable_id(F.col("watch_id"), F.col("url"))))
 
 
 def upsert_subscriptions(subscriptions: DataFrame, requests: DataFrame) -> DataFrame:
     """Add subscriptions on (watch, scope, location, round); re-adding enables them again."""
     keys = ["watch_id", "scope", "location", "round_key"]
     valid = requests.where(F.col("scope").isin(*dims.SCOPES)).withColumn("enabled", F.lit(True))
-    return upsert(subscriptions, latest_per_key(valid, keys, "ord"), keys, kept=("subscription_id",))
+    out = upsert(subscriptions, valid, keys, kept=("subscription_id",))
+    return out.withColumn("subscription_id", F.coalesce("subscription_id", stable_id(*map(F.col, keys))))
+
+
+def list_subscriptions(subscriptions: DataFrame, watch_id: int | None = None, include_disabled: bool = True) -> DataFrame:
+    """Subscriptions by id, of one watch or all, with or without the disabled ones."""
+    out = subscriptions if watch_id is None else subscriptions.where(F.col("watch_id") == watch_id)
+    return (out if include_disabled else out.where("enabled")).orderBy("subscription_id")
 
 
 def enable_subscriptions(subscriptions: DataFrame, requests: DataFrame) -> DataFrame:
-    want = requests.groupBy("subscription_id").agg(F.max("enabled").alias("want"))
+    """Switch subscriptions on or off; of several requests the last by ``ord`` counts."""
+    order = F.col("ord") if "ord" in requests.columns else F.lit(0)
+    want = requests.groupBy("subscription_id").agg(F.max(F.struct(order.alias("ord"), "enabled")).alias("w")).select(
+        "subscription_id", F.col("w.enabled").alias("want")
+    )
     return subscriptions.join(want, "subscription_id", "left").withColumn(
         "enabled", F.coalesce("want", "enabled")
     ).drop("want")
@@ -380,14 +413,51 @@ def new_snapshots(current: DataFrame, stored: DataFrame) -> DataFrame:
 
 # --- cleanup --------------------------------------------------------------------------------
 
+WINDOW = ("application_start_at", "application_end_at", "status")
+
+
+def id_in(struct: str) -> list[Column]:
+    return [F.col(f"{struct}.{c}").alias(c) for c in ROUND_ID]
+
+
+def member_children(rounds: DataFrame, as_of: Column) -> DataFrame:
+    """Membership rounds that the evidence of stored rounds prints, in the layout of ``rounds``.
+
+    Adds ``parent`` (the stored round's key), ``member_name`` (the stored name is one of a
+    membership itself) and ``canonical`` (the stored name is among the printed ones).
+    """
+    from roundtide.operators.extraction import split_memberships
+    from roundtide.operators.rounds import normalize_rounds
+
+    nothing = F.lit(None).cast("date")
+    split = split_memberships(rounds.withColumn("parent", F.col("round_key")), as_of)
+    shaped = split.withColumns(
+        {
+            "canonical": F.col("child.name") == F.col("name"),
+            "name": F.col("child.name"),
+            "round_number": F.lit(None).cast("int"),
+            "lottery_start": F.try_to_date("child.start"),
+            "lottery_end": F.try_to_date("child.end"),
+            "application_start_at": nothing,
+            "application_end_at": nothing,
+            **{c: F.when(~F.col("member_name"), F.col(c)) for c in ("payment_start_at", "trade_start_at", "trade_end_at")},
+            "payment_end_at": F.when(~F.col("member_name"), F.col("payment_end_at")),
+        }
+    )
+    return normalize_rounds(shaped.drop("child"), as_of).select(*rounds.columns, "parent", "member_name", "canonical")
+
+
 def cleanup(tables: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, DataFrame], DataFrame]:
     """Repair stored state; returns the next tables and (item, n) counts. Idempotent.
 
     ``tables`` holds watches, events, links, rounds, snapshots, alert_log, watch_sources.
     Links of a stale keyword fallback move to its watch's smallest official event unless that
     event has the URL already. A fallback counts once however many official pages it meets.
+    Stored round keys stay: only window and status of a round change. A round whose evidence prints
+    membership windows gives way to one round for each; of a round named after a membership, one
+    child may bear its name, and then it stays.
     """
-    from roundtide.operators.extraction import clean_venues, split_memberships
+    from roundtide.operators.extraction import clean_venues
     from roundtide.operators.rounds import normalize_rounds
 
     events, links, rounds = tables["events"], tables["links"], tables["rounds"]
@@ -410,26 +480,40 @@ def cleanup(tables: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, Data
 
     live_rounds = drop_events(rounds.join(events.select("event_id"), "event_id", "left_semi"), stale)
     named = live_rounds.where(F.col("name") != "Fetch failed")
-    fresh = normalize_rounds(named, as_of)
-    changed = named.select(*ROUND_ID, F.struct("application_start_at", "application_end_at", "status").alias("o")).join(
-        fresh.select(*ROUND_ID, F.struct("application_start_at", "application_end_at", "status").alias("n")), ROUND_ID
-    ).where(~F.col("o").eqNullSafe(F.col("n")))
-    parents = split_memberships(named, as_of)
-    children = normalize_rounds(
-        parents.withColumns(
-            {
-                "name": F.col("child.name"),
-                "lottery_start": F.try_to_date("child.start"),
-                "lottery_end": F.try_to_date("child.end"),
-                "application_start_at": F.lit(None).cast("date"),
-                "application_end_at": F.lit(None).cast("date"),
-            }
-        ).select(*named.columns),
-        as_of,
+    was = F.struct(*[F.col(c) for c in named.columns])
+    children = member_children(named, as_of)
+    taken = rounds.join(events.select("event_id"), "event_id", "left_semi").select(*ROUND_ID)
+    won = (
+        children.join(taken, ROUND_ID, "left_anti")
+        .groupBy(*ROUND_ID)
+        .agg(F.min(F.struct("parent", *[c for c in named.columns if c not in ROUND_ID])).alias("k"))
+        .select(*ROUND_ID, "k.*")
     )
-    next_rounds = fresh.join(parents.select(*ROUND_ID).distinct(), ROUND_ID, "left_anti").unionByName(
-        children.dropDuplicates(ROUND_ID)
+    # per stored round: how many children it gained, and whether it leaves
+    gained = won.groupBy("event_id", F.col("parent").alias("round_key")).agg(F.count("*").alias("inserted"))
+    split = (
+        children.groupBy("event_id", F.col("parent").alias("round_key"))
+        .agg(F.max("canonical").alias("canonical"), F.max("member_name").alias("member_name"))
+        .join(gained, ROUND_ID, "left")
+        .select(
+            *ROUND_ID,
+            F.coalesce("inserted", F.lit(0)).alias("inserted"),
+            F.when(F.col("member_name"), ~F.col("canonical")).otherwise(F.col("inserted").isNotNull()).alias("leaves"),
+            F.col("member_name"),
+        )
     )
+    fresh = normalize_rounds(named.withColumn("was", was), as_of)
+    window = F.struct("application_start_at", "application_end_at", "status")
+    dated = fresh.select(*id_in("was"), window.alias("now"), "was").join(split, ROUND_ID, "left")
+    moved_dates = ~F.col("now").eqNullSafe(F.struct(*[F.col(f"was.{c}") for c in WINDOW])) & F.coalesce(F.col("inserted") == 0, F.lit(True))
+    stay = dated.where(~F.coalesce("leaves", F.lit(False)))
+    kept_rounds = stay.select(
+        *[
+            F.when(moved_dates, F.col(f"now.{c}")).otherwise(F.col(f"was.{c}")).alias(c) if c in WINDOW else F.col(f"was.{c}").alias(c)
+            for c in named.columns
+        ]
+    )
+    next_rounds = kept_rounds.unionByName(won.select(*named.columns))
 
     out = dict(tables)
     out["links"], out["rounds"] = next_links, next_rounds
@@ -443,19 +527,26 @@ def cleanup(tables: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, Data
         b = after.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), (-F.col("n")).alias("n"))
         return a.unionByName(b)
 
+    def lost(name: str, table: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        """Rows without a parent, counted in one pass."""
+        flagged = table.select(key).join(parents.select(key, F.lit(True).alias("there")), key, "left")
+        return flagged.agg(F.count_if(F.col("there").isNull()).alias("n")).select(F.lit(name).alias("item"), "n")
+
     def counted(name: str, rows: DataFrame) -> DataFrame:
         return rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n")
 
     parts = [
         removed("sources", links, next_links),
         removed("ticket_rounds", rounds, named),
-        removed("snapshots", tables["snapshots"], out["snapshots"]),
-        removed("alert_log", tables["alert_log"], out["alert_log"]),
-        removed("watch_sources", tables["watch_sources"], out["watch_sources"]),
+        lost("snapshots", tables["snapshots"], next_events, "event_id"),
+        lost("alert_log", tables["alert_log"], next_events, "event_id"),
+        lost("watch_sources", tables["watch_sources"], tables["watches"], "watch_id"),
         counted("keyword_fallback_events", stale),
         counted("event_venues", next_events.where(dirty_venues)),
-        counted("ticket_round_dates", changed),
-        counted("ticket_round_memberships", parents),
+        counted("ticket_round_dates", stay.where(moved_dates)),
+        split.agg(F.sum(F.col("inserted") + (F.col("leaves") & F.col("member_name")).cast("int")).alias("n")).select(
+            F.lit("ticket_round_memberships").alias("item"), F.coalesce("n", F.lit(0)).alias("n")
+        ),
     ]
     counts = parts[0]
     for p in parts[1:]:
@@ -465,6 +556,41 @@ def cleanup(tables: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, Data
 
 # --- one batch ------------------------------------------------------------------------------
 
+def with_stored_ids(stored: DataFrame, batch: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The batch under the ids of the events table.
+
+    A known (watch, URL) has its stored id; a new one keeps the batch's id if no stored event has it,
+    else gets one derived from watch and URL. Rows of one (watch, URL) become one event, the greatest
+    row; links and rounds of all its ids follow it.
+    """
+    key = ["watch_id", "official_url"]
+    known = stored.select(*key, F.col("event_id").alias("stored_id"))
+    taken = stored.select(F.col("event_id").alias("batch_id"), F.lit(True).alias("taken"))
+    asked = batch["events"].select(*key, F.col("event_id").alias("batch_id"))
+    least = asked.groupBy(*key).agg(F.min("batch_id").alias("least_id"))
+    ids = (
+        asked.join(least, key)
+        .join(known, key, "left")
+        .join(taken.withColumnRenamed("batch_id", "least_id"), "least_id", "left")
+        .select(
+            "batch_id",
+            F.coalesce(
+                "stored_id", F.when(F.col("taken").isNull(), F.col("least_id")), stable_id(*map(F.col, key))
+            ).alias("event_id"),
+        )
+        .distinct()
+    )
+
+    def moved(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("event_id", "batch_id").join(ids, "batch_id", "left").select(
+            *[F.coalesce("event_id", "batch_id").alias(c) if c == "event_id" else F.col(c) for c in rows.columns]
+        )
+
+    out = {name: moved(rows) if "event_id" in rows.columns else rows for name, rows in batch.items()}
+    out["events"] = one_per_key(out["events"], key)
+    return out
+
+
 def apply_batch(
     state: dict[str, DataFrame], batch: dict[str, DataFrame], as_of: Column, now: Column
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -479,6 +605,7 @@ def apply_batch(
     from roundtide.operators.rounds import dedupe_rounds, normalize_rounds, one_per_key
     from roundtide.sources.tables import written
 
+    batch = with_stored_ids(state["events"], batch)
     incoming = normalize_rounds(batch["rounds"], as_of)
     rounds_in = written(one_per_key(dedupe_rounds(incoming, ["event_id"], []), ["event_id"]), "rounds_in")
     status = event_status(batch["events"], rounds_in, batch["links"])

@@ -57,7 +57,7 @@ def _(s):
 )
 def _(s):
     head = feeds.event_headers(s.events, feeds.visible_watches(s.watches), 50)
-    rows = feeds.feed_rounds(feeds.of_headers(s.rounds, head, 50))
+    rows = feeds.feed_rounds(feeds.of_headers(s.rounds, head))
     return rows.select("event_id", "round_key", "position", "platform", "name", "status", "status_label")
 
 
@@ -71,7 +71,7 @@ def _(s):
     from roundtide.operators.state import shape_links
 
     head = feeds.event_headers(s.events, feeds.visible_watches(s.watches), 50)
-    rows = feeds.feed_links(shape_links(feeds.of_headers(s.event_links, head, 50)))
+    rows = feeds.feed_links(shape_links(feeds.of_headers(s.event_links, head)))
     return rows.select("event_id", "url", "label", "confidence", "position")
 
 
@@ -195,13 +195,13 @@ def _(s):
     BASE
     + f""", {SHOWN_LINKS} SELECT e.event_id, CASE WHEN r.is_open THEN 'lottery_open' WHEN r.is_open IS NOT NULL THEN 'lottery_found' WHEN l.event_id IS NOT NULL THEN 'ticket_links_found'
       WHEN NOT starts_with(official_url, 'keyword:') THEN 'official_found' ELSE 'watching' END AS status
-      FROM events_t e LEFT JOIN (SELECT event_id, bool_or(status IN ('open', 'closing_soon')) AS is_open FROM rounds WHERE line > 2 GROUP BY 1) r USING (event_id)
+      FROM events_t e LEFT JOIN (SELECT event_id, bool_or(status IN ('open', 'closing_soon')) AS is_open FROM rounds GROUP BY 1) r USING (event_id)
       LEFT JOIN (SELECT DISTINCT event_id FROM shown_links) l USING (event_id)""",
 )
 def _(s):
     from roundtide.operators.state import event_status
 
-    return event_status(s.events, s.rounds.where(F.col("line") > 2), s.event_links)
+    return event_status(s.events, s.rounds, s.event_links)
 
 
 CAL = f"""cal AS (SELECT event_id, line, platform, name, status, application_start_at, application_end_at, results_date, payment_end_at, general_sale_date, url, title, idx
@@ -313,11 +313,11 @@ def _(s):
 
 @query(
     "watch_display_order",
-    f"""{FEED}, {LATEST}, {DASH} SELECT watch_id, has_official, n_rounds FROM dash ORDER BY event_id IS NULL, has_official DESC, n_rounds DESC, n_dates DESC, n_links DESC, lower(keyword), watch_id LIMIT 100""",
+    f"""{FEED}, {LATEST}, {DASH} SELECT watch_id, has_official, n_rounds FROM dash ORDER BY event_id IS NULL, has_official DESC, n_rounds DESC, n_dates DESC, n_links DESC, lower(keyword), watch_id""",
 )
 def _(s):
     got = feeds.watch_dashboard(s.watches, s.events, s.rounds, s.event_links)
-    return got.orderBy(*feeds.display_order()).limit(100).select("watch_id", "has_official", "n_rounds")
+    return got.orderBy(*feeds.display_order()).select("watch_id", "has_official", "n_rounds")
 
 
 @query(

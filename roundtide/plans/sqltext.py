@@ -164,11 +164,11 @@ EVENTS = f"""events_t AS (
     CAST(CAST(o_orderdate AS DATE) + {_SHIFT} AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS updated_at
   FROM orders)"""
 RAW_ROUNDS = f"""picked AS (
-  SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate,
-    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_shipdate) AS rn FROM lineitem) WHERE rn = 1),
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, CAST(l_shipdate AS DATE) AS day,
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER), CAST(l_shipdate AS DATE)) AS copy FROM lineitem),
 raw_rounds AS (
   SELECT l_orderkey AS event_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
-    'https://' || CASE WHEN l_suppkey % 29 = 0 THEN 'x.com' ELSE {case_of('l_suppkey % 8', star.ROUND_HOSTS, "''")} END || '/e/' || l_orderkey || '/' || l_linenumber AS url,
+    'https://' || CASE WHEN l_suppkey % 29 = 0 THEN 'x.com' ELSE {case_of('l_suppkey % 8', star.ROUND_HOSTS, "''")} END || '/e/' || concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, q, day, copy) AS url,
     {case_of('l_linenumber', star.ROUND_NAMES, "'Stage  pass'")} AS name,
     CASE WHEN l_partkey % 7 <> 0 THEN ship END AS lottery_start,
     CASE WHEN l_partkey % 11 <> 0 THEN ship + q END AS lottery_end,
@@ -177,7 +177,7 @@ raw_rounds AS (
     CASE WHEN l_partkey % 3 <> 0 THEN ship + q + 6 END AS payment_deadline,
     {case_of('l_partkey % 6', star.EVIDENCES, "''")} AS evidence,
     CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 50 END AS confidence
-  FROM (SELECT *, CAST(l_shipdate AS DATE) + {_SHIFT} AS ship, CAST(l_quantity AS INTEGER) AS q FROM picked))"""
+  FROM (SELECT *, day + {_SHIFT} AS ship FROM picked))"""
 
 
 def rounds_from(raw: str, name: str = "rounds", as_of: str = AS_OF) -> str:

@@ -105,18 +105,20 @@ class Star:
 
     @cached_property
     def raw_rounds(self) -> DataFrame:
-        """In-flight rounds: lineitem, one row per (order, line), smallest by the used columns."""
-        picked = (
-            self.table("lineitem")
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")).alias("m"))
-            .select("l_orderkey", "l_linenumber", "m.*")
-        )
-        ship = F.date_add(F.col("l_shipdate").cast("date"), SHIFT_DAYS)
-        end = F.date_add(ship, F.col("l_quantity").cast("int"))
+        """In-flight rounds: every lineitem row is one.
+
+        Order and line repeat, so a round's page names part, supplier, quantity and day as well, and
+        rows equal in all of these are told apart by a running number.
+        """
+        ship_day, quantity = F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")
+        keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "day"]
+        counted = self.table("lineitem").withColumns({"quantity": quantity, "day": ship_day}).groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+        picked = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
+        ship = F.date_add("day", SHIFT_DAYS)
+        end = F.date_add(ship, F.col("quantity"))
         part, supp, order, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
         nodate = F.lit(None).cast("date")
-        path = F.concat(F.lit("/e/"), order.cast("string"), F.lit("/"), line.cast("string"))
+        path = F.concat(F.lit("/e/"), F.concat_ws("/", *[c.cast("string") for c in (order, line, part, supp, F.col("quantity"), F.col("day"), F.col("copy"))]))
         url = F.concat(
             F.lit("https://"), F.when(supp % 29 == 0, "x.com").otherwise(pick(supp % 8, ROUND_HOSTS, "")), path
         )

@@ -415,7 +415,7 @@ DIRTY = f"""d_links AS (SELECT CASE WHEN event_id % 23 = 0 THEN -event_id - 1 EL
    {q.status('(' + q.AS_OF + ' - 30)', 'coalesce(application_start_at, lottery_start)', 'coalesce(application_end_at, lottery_end)')} AS status) FROM rounds),
  official AS (SELECT watch_id, min(event_id) AS target FROM events_t WHERE regexp_matches(official_url, '^https?://') GROUP BY 1),
  stale AS (SELECT event_id, target FROM events_t JOIN official USING (watch_id) WHERE starts_with(official_url, 'keyword:')),
- live AS (SELECT * FROM d_rounds WHERE event_id IN (SELECT event_id FROM events_t) AND event_id NOT IN (SELECT event_id FROM stale) AND name <> 'Fetch failed'),
+ live AS (SELECT *, part % 12 = 3 AND line IN (2, 4) AS splits FROM d_rounds WHERE event_id IN (SELECT event_id FROM events_t) AND event_id NOT IN (SELECT event_id FROM stale) AND name <> 'Fetch failed'),
  kept_links AS (SELECT DISTINCT coalesce(target, l.event_id) AS event_id, url FROM d_links l LEFT JOIN stale s USING (event_id) WHERE l.event_id IN (SELECT event_id FROM events_t) AND {q.actionable('url', 'label')}),
  d_sources AS (SELECT CASE WHEN source_id % 4 = 0 THEN -watch_id - 1 ELSE watch_id END AS watch_id FROM watch_sources)"""
 
@@ -430,20 +430,47 @@ DIRTY = f"""d_links AS (SELECT CASE WHEN event_id % 23 = 0 THEN -event_id - 1 EL
       SELECT 'watch_sources', (SELECT count(*) FROM d_sources WHERE watch_id NOT IN (SELECT watch_id FROM watches)) UNION ALL
       SELECT 'keyword_fallback_events', (SELECT count(*) FROM stale) UNION ALL
       SELECT 'event_venues', (SELECT count(*) FROM events_t WHERE event_id NOT IN (SELECT event_id FROM stale) AND event_id % 5 = 3) UNION ALL
-      SELECT 'ticket_round_dates', (SELECT count(*) FROM live l JOIN rounds r ON r.event_id = l.event_id AND r.round_key = l.round_key WHERE r.status <> l.status) UNION ALL
-      SELECT 'ticket_round_memberships', 0""",
+      SELECT 'ticket_round_dates', (SELECT count(*) FROM live l JOIN rounds r ON r.event_id = l.event_id AND r.round_key = l.round_key WHERE r.status <> l.status AND NOT splits) UNION ALL
+      SELECT 'ticket_round_memberships', (SELECT sum(CASE line WHEN 2 THEN 3 ELSE 2 END) FROM live WHERE splits)""",
 )
 def _(s):
+    return st.cleanup(dirty_state(s), s.as_of)[1]
+
+
+#: Evidence of some rounds on lines 2 (named after a membership) and 4 (an advance sale).
+MEMBER_EVIDENCE = "プレミアム会員：2026/07/01～2026/07/10 非会員：2026/07/28～2026/08/05"
+MEMBERS = "(VALUES ('プレミアム会員', DATE '2026-07-01', DATE '2026-07-10'), ('非会員', DATE '2026-07-28', DATE '2026-08-05')) m(member, a, b)"
+
+
+@query(
+    "cleanup_rounds",
+    f"""{BASE}, {DIRTY}, kids AS (SELECT event_id, platform, url, CASE line WHEN 2 THEN '先行 / ' ELSE name || ' / ' END || member AS name, a, b, results_date, general_sale_date, payment_end_at
+        FROM live, {MEMBERS} WHERE splits)
+      SELECT l.event_id, l.round_key, l.name, CAST(l.application_start_at AS VARCHAR) AS application_start_at, CAST(l.application_end_at AS VARCHAR) AS application_end_at, r.status
+        FROM live l JOIN rounds r ON r.event_id = l.event_id AND r.round_key = l.round_key WHERE NOT splits UNION ALL
+      SELECT event_id, {q.key24('platform', 'url', 'lower(name)', 'CAST(a AS VARCHAR)', 'CAST(general_sale_date AS VARCHAR)')}, name, CAST(a AS VARCHAR), CAST(b AS VARCHAR), {q.status(q.AS_OF, 'a', 'b')} FROM kids""",
+)
+def _(s):
+    cleaned = st.cleanup(dirty_state(s), s.as_of)[0]["rounds"]
+    return cleaned.select("event_id", "round_key", "name", "application_start_at", "application_end_at", "status")
+
+
+def dirty_state(s):
+    """Stored tables with orphans, placeholders, stale fallbacks and rounds that print memberships."""
     from roundtide.functions.rounds import status_at
 
     e = F.col("event_id")
     moved = F.when(e % 23 == 0, -e - 1).otherwise(e)
-    tables = {
+    return {
         "watches": s.watches,
         "events": s.events,
         "links": s.event_links.withColumn("event_id", moved),
         "rounds": s.rounds.withColumn("status", status_at(F.date_sub(s.as_of, 30))).withColumns(
-            {"event_id": moved, "name": F.when(F.col("part") % 37 == 0, "Fetch failed").otherwise(F.col("name"))}
+            {
+                "event_id": moved,
+                "name": F.when(F.col("part") % 37 == 0, "Fetch failed").otherwise(F.col("name")),
+                "evidence": F.when((F.col("part") % 12 == 3) & F.col("line").isin(2, 4), MEMBER_EVIDENCE).otherwise(F.col("evidence")),
+            }
         ),
         "snapshots": st.snapshots(s.events, s.rounds),
         "alert_log": s.alert_log,
@@ -451,7 +478,6 @@ def _(s):
             "watch_id", F.when(F.col("source_id") % 4 == 0, -F.col("watch_id") - 1).otherwise(F.col("watch_id"))
         ),
     }
-    return st.cleanup(tables, s.as_of)[1]
 
 
 def batch_state(s):
