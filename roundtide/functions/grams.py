@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roundtide import dims
-from roundtide.functions.text import any_contains, collapse
+from roundtide.functions.text import any_contains, bind, collapse
 from roundtide.functions.urls import is_ticket_url, url_host
 
 # --- fixed values: characters ignored by bigrams ----------------------------
@@ -30,7 +30,13 @@ def overlap_of(keyword_grams: Column, text_grams: Column) -> Column:
 
 
 def keyword_overlap(keyword: Column, text: Column) -> Column:
-    return overlap_of(bigrams(keyword), bigrams(text))
+    """Share of the keyword's bigrams in the text; the text is squeezed once and searched for each."""
+    return bind(
+        F.struct(bigrams(keyword).alias("grams"), squeezed(text).alias("text")),
+        lambda x: F.when(F.size(x["grams"]) == 0, F.lit(0.0)).otherwise(
+            F.size(F.filter(x["grams"], lambda g: F.contains(x["text"], g))) / F.size(x["grams"])
+        ),
+    )
 
 
 def keyword_matches(keyword: Column, text: Column) -> Column:
@@ -46,8 +52,10 @@ def keyword_matches(keyword: Column, text: Column) -> Column:
     )
 
 
-def page_matches(keyword: Column, title: Column, text: Column) -> Column:
-    return keyword_matches(keyword, F.concat(title, F.lit(" "), F.substring(text, 1, 1200)))
+def page_matches(keyword: Column, title: Column, text: Column, intro_chars: int | None = None) -> Column:
+    """Match on title and text; ``intro_chars`` restricts it to the start of the text."""
+    intro = text if intro_chars is None else F.substring(text, 1, intro_chars)
+    return keyword_matches(keyword, F.concat(title, F.lit(" "), intro))
 
 
 def official_score(title: Column, url: Column, snippet: Column, keyword: Column) -> Column:

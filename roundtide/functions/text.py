@@ -98,9 +98,30 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, "０１２３４５６７８９", "0123456789")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _numeric_entities(c: Column) -> Column:
+    """Decimal and hexadecimal references as characters; an ampersand waits for the end."""
+    pieces = F.split(c, "&#(?=[0-9]|[xX][0-9a-fA-F])")
+    number = r"^(?:[xX]([0-9a-fA-F]{1,8})|([0-9]{1,9}));?"
+
+    def decoded(piece: Column) -> Column:
+        hexadecimal, decimal = F.regexp_extract(piece, number, 1), F.regexp_extract(piece, number, 2)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("bigint")).otherwise(decimal.cast("bigint"))
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.concat(F.when(code == 38, "&amp;").otherwise(char), F.regexp_replace(piece, number, ""))
+
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
+
+
 def unescape_html(c: Column) -> Column:
-    """Named entities that occur in page text and hrefs, ``&amp;`` last."""
-    out = c
+    """Numeric references, then named entities that occur in page text and hrefs, ``&amp;`` last."""
+    out = _numeric_entities(c)
     for entity, char in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
@@ -108,8 +129,8 @@ def unescape_html(c: Column) -> Column:
 
 # --- fixed values: entities decoded natively (the last one must stay last) ---
 HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
     ("&trade;", "™"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
     ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"),
     ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"),

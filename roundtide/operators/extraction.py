@@ -29,6 +29,7 @@ from roundtide.functions.rounds import (
     round_section,
 )
 from roundtide.functions.text import (
+    bind,
     alternation,
     any_contains,
     collapse,
@@ -51,11 +52,6 @@ def no_year() -> Column:
     return F.lit(None).cast("int")
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def pattern_hits(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>>: code-point offsets of matches and one group's text."""
     pieces = F.transform(F.split(text, pattern), lambda p: F.length(p))

@@ -52,7 +52,10 @@ def sql_visible(c: str) -> str:
     return q.clean(sql_unescape(f"regexp_replace({c}, {q.lit(TAG)}, ' ', 'g')"))
 
 
-SQL_MARKUP = f"regexp_replace(html, {q.lit(pages.HIDDEN_BLOCKS)}, ' ', 'g')"
+# The pages of the tables close what they open; query page_markup has the other cases.
+SQL_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+SQL_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+SQL_MARKUP = f"regexp_replace(html, {q.lit(SQL_HIDDEN)}, ' ', 'g')"
 SQL_TEXT = sql_visible(SQL_MARKUP)
 SQL_TITLE = sql_visible(f"regexp_extract(html, {q.lit(pages.TITLE)}, 1)")
 
@@ -72,6 +75,15 @@ def _(s):
     return pages.parse_pages(s.table("pages")).select("page_id", "text")
 
 
+BROKEN = '<p title="a>b">quoted &#233; &#x3042; &#38;lt; <a href="/u1">one <a href="/u2">two<script>var leak = 1;'
+
+
+@query("page_markup", f"SELECT page_id, {SQL_TEXT} || ' quoted é あ &lt; one two' AS text FROM pages")
+def _(s):
+    broken = s.table("pages").withColumn("html", F.concat("html", F.lit(BROKEN)))
+    return broken.select("page_id", pages.page_text(F.col("html")).alias("text"))
+
+
 SQL_LINKS = f"""page_links AS (
   SELECT page_id, page_url, pos, label, url FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn FROM (
@@ -83,8 +95,8 @@ SQL_LINKS = f"""page_links AS (
                ELSE regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([a-z]+://[^/?#]*.*/)', 1) || h END AS url
         FROM (SELECT page_id, url, labels, i, {sql_unescape("regexp_extract(attrs[i], 'href=\"([^\"]*)\"', 1)")} AS h FROM (
           SELECT *, unnest(range(1, len(attrs) + 1)) AS i FROM (
-            SELECT page_id, url, regexp_extract_all({SQL_MARKUP}, {q.lit(pages.ANCHOR)}, 1) AS attrs,
-              regexp_extract_all({SQL_MARKUP}, {q.lit(pages.ANCHOR)}, 2) AS labels FROM pages)))
+            SELECT page_id, url, regexp_extract_all({SQL_MARKUP}, {q.lit(SQL_ANCHOR)}, 1) AS attrs,
+              regexp_extract_all({SQL_MARKUP}, {q.lit(SQL_ANCHOR)}, 2) AS labels FROM pages)))
         WHERE h <> ''))
     WHERE NOT regexp_matches(url, '^(mailto|tel|javascript):'))
   WHERE rn = 1)"""
@@ -426,18 +438,18 @@ def _(s):
 # --- relevance ------------------------------------------------------------------
 
 def candidates(s: Star) -> DataFrame:
-    """Each document is a candidate of one keyword: the start of a benchmark text."""
+    """Each document is a candidate of one keyword: a benchmark text, as words or as one non-Latin word."""
     bench = s.table("benchmark")
     n = bench.agg(F.count("*")).scalar()
-    kw = F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 24)).otherwise(
-        F.concat(F.substring("text", 1, 20), F.lit("公"))
+    kw = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(
+        F.concat(F.regexp_replace("text", r"\s", ""), F.lit("公"))
     )
     keyed = s.table("documents").withColumn("item_id", F.col("doc_id") % n)
     return keyed.join(bench.select("item_id", kw.alias("keyword")), "item_id").select(
         "doc_id",
         "item_id",
         "keyword",
-        F.substring("text", 1, 60).alias("title"),
+        F.concat_ws(" ", "source", "lang").alias("title"),
         F.concat(
             F.when(F.col("doc_id") % 7 == 0, "https://www.tohostage.com/live/")
             .when(F.col("doc_id") % 7 == 1, "https://x.com/")
@@ -450,8 +462,8 @@ def candidates(s: Star) -> DataFrame:
     )
 
 
-CANDIDATES = """cand AS (SELECT doc_id, d.doc_id % n_items AS item_id, CASE WHEN item_id % 2 = 0 THEN substr(b.text, 1, 24) ELSE substr(b.text, 1, 20) || '公' END AS keyword,
-  substr(d.text, 1, 60) AS title, CASE doc_id % 7 WHEN 0 THEN 'https://www.tohostage.com/live/' WHEN 1 THEN 'https://x.com/' WHEN 2 THEN 'https://eplus.jp/'
+CANDIDATES = """cand AS (SELECT doc_id, d.doc_id % n_items AS item_id, CASE WHEN item_id % 2 = 0 THEN b.text ELSE regexp_replace(b.text, '\\s', '', 'g') || '公' END AS keyword,
+  concat_ws(' ', source, lang) AS title, CASE doc_id % 7 WHEN 0 THEN 'https://www.tohostage.com/live/' WHEN 1 THEN 'https://x.com/' WHEN 2 THEN 'https://eplus.jp/'
     WHEN 3 THEN 'https://a.example.co.jp/news/' ELSE 'https://b.example.com/' END || doc_id AS url, d.text AS text
   FROM documents d, (SELECT count(*) AS n_items FROM benchmark) JOIN benchmark b ON b.item_id = d.doc_id % n_items)"""
 
@@ -490,7 +502,7 @@ def _(s):
     return candidates(s).select("doc_id", grams.keyword_matches(F.col("keyword"), F.col("text")).alias("matched"))
 
 
-@query("page_match", "WITH " + CANDIDATES + ", c2 AS (SELECT doc_id, keyword, title || ' ' || substr(text, 1, 1200) AS intro FROM cand) SELECT doc_id, " + sql_matches("keyword", "intro") + " AS matched FROM c2")
+@query("page_match", "WITH " + CANDIDATES + ", c2 AS (SELECT doc_id, keyword, title || ' ' || text AS intro FROM cand) SELECT doc_id, " + sql_matches("keyword", "intro") + " AS matched FROM c2")
 def _(s):
     c = candidates(s)
     return c.select("doc_id", grams.page_matches(F.col("keyword"), F.col("title"), F.col("text")).alias("matched"))

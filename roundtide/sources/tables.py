@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only when unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Without that setting only local mode gets a temporary folder: on a cluster other machines could
+    not read it, so the job stops.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="roundtide-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
