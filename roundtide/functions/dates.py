@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roundtide import dims
-from roundtide.functions.text import ascii_digits, collapse
+from roundtide.functions.text import ascii_digits, collapse, first_n
 
 U = dims.UNI
 DATE_RE = U + dims.DATE_TOKEN
@@ -218,5 +218,5 @@ def label_phrases(text: Column, labels: Column, before: int, after: int) -> Colu
     )
 
 
-def nearby_phrases(text: Column, labels: Column, width: int = 90, limit: int = 4) -> Column:
-    return F.slice(label_phrases(text, labels, width // 3, width), 1, limit)
+def nearby_phrases(text: Column, labels: Column, width: int = 90, limit: int | None = None) -> Column:
+    return first_n(label_phrases(text, labels, width // 3, width), limit)

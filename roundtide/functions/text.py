@@ -98,6 +98,11 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, "０１２３４５６７８９", "0123456789")
 
 
+def first_n(items: Column, limit: int | None) -> Column:
+    """The first items of an array; all of them without a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -37,8 +37,8 @@ def follow_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     return wanted.join(pages, "url")
 
 
-def schedule_pages(links: DataFrame, pages: DataFrame, limit: int = 3) -> DataFrame:
-    """Stored live/tour/schedule pages linked from a page, the first ``limit`` per page.
+def schedule_pages(links: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stored live/tour/schedule pages linked from a page, all or the first ``limit`` per page.
 
     ``links`` is (page_id, page_url, pos, label, url).
     """
@@ -48,6 +48,8 @@ def schedule_pages(links: DataFrame, pages: DataFrame, limit: int = 3) -> DataFr
     )
     first = wanted.groupBy("page_id", "url").agg(F.min("pos").alias("pos"))
     found = first.join(pages.withColumnRenamed("page_id", "to_page_id"), "url")
+    if limit is None:
+        return found
     w = Window.partitionBy("page_id").orderBy("pos")
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
 
@@ -79,11 +81,11 @@ def artist_fallback(artists: DataFrame, shows: DataFrame) -> DataFrame:
     )
 
 
-def official_pages(results: DataFrame, parsed: DataFrame, limit: int = 3) -> DataFrame:
-    """Best results per keyword that have a stored page matching the keyword."""
+def official_pages(results: DataFrame, parsed: DataFrame, limit: int | None = 3, intro_chars: int | None = None) -> DataFrame:
+    """Best results per keyword (top-k, or all with ``None``) that have a stored page matching the keyword."""
     chosen = choose_official(results, limit).select("keyword", "url", "place")
     joined = chosen.join(parsed, "url")
-    return joined.where(page_matches(F.col("keyword"), F.coalesce("title", F.lit("")), F.col("text")))
+    return joined.where(page_matches(F.col("keyword"), F.coalesce("title", F.lit("")), F.col("text"), intro_chars))
 
 
 def event_blocks(owned: DataFrame, parsed: DataFrame, as_of: Column, scope: str = "keyword") -> dict[str, DataFrame]:
@@ -118,14 +120,21 @@ def event_blocks(owned: DataFrame, parsed: DataFrame, as_of: Column, scope: str
     return {"header": head, "facts": long, "links": links, "rounds": final}
 
 
-def build_blocks(results: DataFrame, parsed: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+def with_portal_links(keywords: DataFrame, links: DataFrame) -> DataFrame:
+    """Ticket links plus portal searches for the keywords that have none."""
+    bare = keywords.join(links.select("keyword"), "keyword", "left_anti")
+    portal = bare.select("keyword", F.inline(portal_search_links(F.col("keyword")))).select("keyword", "url", "label")
+    return links.unionByName(portal)
+
+
+def build_blocks(
+    results: DataFrame, parsed: DataFrame, as_of: Column, limit: int | None = 3, intro_chars: int | None = None
+) -> dict[str, DataFrame]:
     """Keyword search over a stored corpus; portal searches stand in when no ticket link is found."""
-    owned = official_pages(results, parsed)
+    owned = official_pages(results, parsed, limit, intro_chars)
     blocks = event_blocks(owned, parsed, as_of)
     keywords = results.select("keyword").distinct()
-    bare = keywords.join(blocks["links"].select("keyword"), "keyword", "left_anti")
-    portal = bare.select("keyword", F.inline(portal_search_links(F.col("keyword")))).select("keyword", "url", "label")
-    blocks["links"] = blocks["links"].unionByName(portal)
+    blocks["links"] = with_portal_links(keywords, blocks["links"])
     missing = keywords.join(blocks["header"].select("keyword"), "keyword", "left_anti").select(
         "keyword", F.lit(None).cast("string").alias("official_url"), F.col("keyword").alias("title"),
         F.lit(None).cast("string").alias("summary"),
@@ -142,6 +151,7 @@ def build_exact(requests: DataFrame, parsed: DataFrame, as_of: Column) -> dict[s
     blocks["header"] = blocks["header"].join(hint, "keyword", "left").withColumn(
         "summary", F.coalesce("summary", present(F.col("snippet")))
     ).drop("snippet")
+    blocks["links"] = with_portal_links(requests.select("keyword").distinct(), blocks["links"])
     return blocks
 
 
@@ -190,19 +200,19 @@ def detail_links(shows: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def page_venue(text: Column) -> Column:
-    """First venue of a detail page, else a place named near its start."""
-    return F.coalesce(
-        F.try_element_at(venues(text), F.lit(1)), present(tour_venue(F.substring(text, 1, 400))), F.lit("")
-    )
+def page_venue(text: Column, intro_chars: int | None = None) -> Column:
+    """First venue of a detail page, else a place it names (near its start with ``intro_chars``)."""
+    intro = text if intro_chars is None else F.substring(text, 1, intro_chars)
+    return F.coalesce(F.try_element_at(venues(text), F.lit(1)), present(tour_venue(intro)), F.lit(""))
 
 
-def enrich_venues(shows: DataFrame, parsed: DataFrame, links: DataFrame, per_owner: list[str], limit: int = 6) -> DataFrame:
-    """Fill missing show venues from detail pages, at most ``limit`` look-ups per owner."""
+def enrich_venues(shows: DataFrame, parsed: DataFrame, links: DataFrame, per_owner: list[str], limit: int | None = None) -> DataFrame:
+    """Fill missing show venues from detail pages, with ``limit`` only that many look-ups per owner."""
     wanted = detail_links(shows, links)
     w = Window.partitionBy(*per_owner).orderBy("page_id", "date", "title")
     capped = wanted.join(shows.select("page_id", *[c for c in per_owner if c != "page_id"]).distinct(), "page_id")
-    capped = capped.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    if limit is not None:
+        capped = capped.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
     found = capped.join(
         parsed.select(F.col("url").alias("detail_url"), "text"), "detail_url"
     ).select(*per_owner, "page_id", "date", "title", page_venue(F.col("text")).alias("detail_venue"))

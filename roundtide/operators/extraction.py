@@ -29,6 +29,7 @@ from roundtide.functions.rounds import (
     round_section,
 )
 from roundtide.functions.text import (
+    first_n,
     bind,
     alternation,
     any_contains,
@@ -93,7 +94,7 @@ def sanitize_note(value: Column) -> Column:
     return strip_chars(collapse(out), NOTE_EDGE)
 
 
-def ticket_rules(text: Column, limit: int = 6) -> Column:
+def ticket_rules(text: Column, limit: int | None = None) -> Column:
     """Hinted notes; a leading continuation joins the item before it; contained notes drop out."""
     notes = F.filter(
         F.transform(split_notes(text), sanitize_note),
@@ -113,7 +114,7 @@ def ticket_rules(text: Column, limit: int = 6) -> Column:
         )
         known = F.exists(acc, lambda e: F.contains(e, n) | F.contains(n, e))
         return (
-            F.when(F.size(acc) >= limit, acc)
+            F.when(F.lit(False) if limit is None else F.size(acc) >= limit, acc)
             .when(continues & F.contains(F.try_element_at(acc, F.lit(-1)), n), acc)
             .when(continues, merged)
             .when(known | ~any_contains(n, dims.RULE_HINTS), acc)
@@ -123,7 +124,7 @@ def ticket_rules(text: Column, limit: int = 6) -> Column:
     return F.aggregate(notes, empty_array(), step)
 
 
-def ticket_prices(text: Column, limit: int = 6) -> Column:
+def ticket_prices(text: Column, limit: int | None = None) -> Column:
     """Tier sections, else loose tier prices, else notes that name an amount."""
     flat = collapse(text)
     yen = U + dims.PRICE_YEN
@@ -156,12 +157,12 @@ def ticket_prices(text: Column, limit: int = 6) -> Column:
     def choose(level: Column, below: Column) -> Column:
         return bind(level, lambda xs: F.when(F.size(xs) > 0, xs).otherwise(below))
 
-    return F.slice(F.array_distinct(choose(tiers, choose(loose, noted))), 1, limit)
+    return first_n(F.array_distinct(choose(tiers, choose(loose, noted))), limit)
 
 
 # --- event dates and venues ---------------------------------------------------------
 
-def event_dates(text: Column) -> Column:
+def event_dates(text: Column, limit: int | None = None) -> Column:
     labels = string_array(dims.EVENT_DATE_LABELS)
 
     def clean_phrase(p: Column) -> Column:
@@ -169,7 +170,7 @@ def event_dates(text: Column) -> Column:
         scope = F.when(any_contains(lead, dims.EVENT_DATE_LABELS), lead).otherwise(p)
         return p.rlike(DATE_RE) & ~any_contains(scope, dims.EVENT_DATE_NOISE)
 
-    labelled = F.filter(nearby_phrases(text, labels, 90, 5), clean_phrase)
+    labelled = F.filter(nearby_phrases(text, labels, 90, limit), clean_phrase)
 
     def periods(pattern: str, lead_width: int) -> Column:
         def lead(h: Column) -> Column:
@@ -193,7 +194,7 @@ def venue_is_noisy(venue: Column, context: Column) -> Column:
     )
 
 
-def venues(text: Column, limit: int = 5) -> Column:
+def venues(text: Column, limit: int | None = None) -> Column:
     """Ordered patterns; the loosest one only when the others found nothing."""
     def found(pattern: str) -> Column:
         def tidy(h: Column) -> Column:
@@ -212,7 +213,9 @@ def venues(text: Column, limit: int = 5) -> Column:
             candidates,
             empty_array(),
             lambda acc, v: F.when(
-                (F.size(acc) >= limit) | F.exists(acc, lambda e: F.contains(e, v) | F.contains(v, e)), acc
+                (F.lit(False) if limit is None else F.size(acc) >= limit)
+                | F.exists(acc, lambda e: F.contains(e, v) | F.contains(v, e)),
+                acc,
             ).otherwise(F.concat(acc, F.array(v))),
         )
 
@@ -398,7 +401,7 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
     )
     children = F.when(~sale_round, membership_windows(section, name, year, as_of))
     split = staged(dated, {"children": children}).select(
-        "page_id", "url", "ord", *FACTS, F.substring("section", 1, 260).alias("evidence"),
+        "page_id", "url", "ord", *FACTS, F.col("section").alias("evidence"),
         F.posexplode(F.when(F.size("children") > 0, F.col("children")).otherwise(F.array(own))).alias("sub", "r"),
     )
     first = split.groupBy(
@@ -608,19 +611,24 @@ def scrub_performance_windows(rounds: DataFrame, as_of: Column, dates: str = "ev
 
 # --- event facts ------------------------------------------------------------------------
 
-def page_facts(parsed: DataFrame) -> DataFrame:
-    """Per-page fact arrays next to the page columns; narrow, texts evaluated once."""
+def page_facts(parsed: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Per-page fact arrays next to the page columns; narrow, texts evaluated once.
+
+    ``limits`` caps kinds of facts per page (event_dates, venues, ticket_rules, ticket_prices,
+    summary); without it every fact is kept.
+    """
+    most = (limits or {}).get
     text = F.col("text")
     return staged(
         parsed,
         {
             "ticket_links": F.filter("links", lambda l: is_actionable_ticket_link(l["url"], l["label"])),
-            "event_dates": event_dates(text),
-            "venues": venues(text),
-            "ticket_rules": ticket_rules(text),
-            "ticket_prices": ticket_prices(text),
+            "event_dates": event_dates(text, most("event_dates")),
+            "venues": venues(text, most("venues")),
+            "ticket_rules": ticket_rules(text, most("ticket_rules")),
+            "ticket_prices": ticket_prices(text, most("ticket_prices")),
             "summary": present(
-                F.array_join(nearby_phrases(text, string_array(dims.SUMMARY_LABELS), 180, 2), " ")
+                F.array_join(nearby_phrases(text, string_array(dims.SUMMARY_LABELS), 180, most("summary")), " ")
             ),
         },
     )

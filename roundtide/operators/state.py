@@ -564,6 +564,7 @@ def with_stored_ids(stored: DataFrame, batch: dict[str, DataFrame]) -> dict[str,
     row; links and rounds of all its ids follow it.
     """
     key = ["watch_id", "official_url"]
+    kind = batch["events"].schema["event_id"].dataType  # a number, or a key as text
     known = stored.select(*key, F.col("event_id").alias("stored_id"))
     taken = stored.select(F.col("event_id").alias("batch_id"), F.lit(True).alias("taken"))
     asked = batch["events"].select(*key, F.col("event_id").alias("batch_id"))
@@ -575,7 +576,7 @@ def with_stored_ids(stored: DataFrame, batch: dict[str, DataFrame]) -> dict[str,
         .select(
             "batch_id",
             F.coalesce(
-                "stored_id", F.when(F.col("taken").isNull(), F.col("least_id")), stable_id(*map(F.col, key))
+                "stored_id", F.when(F.col("taken").isNull(), F.col("least_id")), stable_id(*map(F.col, key)).cast(kind)
             ).alias("event_id"),
         )
         .distinct()

@@ -428,7 +428,7 @@ def _(s):
     """WITH l AS (SELECT a.page_id AS from_id, k AS pos, p.page_id AS to_id, p.url AS url, CASE WHEN k % 2 = 0 THEN 'Live ' || k ELSE 'about' END AS label
         FROM pages a, (SELECT unnest(range(1, 11)) AS k) t JOIN pages p ON p.page_id = (a.page_id * 7 + k * k) % (SELECT count(*) FROM pages)),
       f AS (SELECT from_id, to_id, min(pos) AS pos FROM l WHERE from_id <> to_id AND regexp_matches(lower(label || ' ' || url), 'live|tour|schedule|concert|event|公演|ライブ|ツアー|スケジュール|コンサート') GROUP BY 1, 2)
-      SELECT from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY pos) AS rn FROM f) WHERE rn <= 3""",
+      SELECT from_id, to_id FROM f""",
 )
 def _(s):
     from roundtide.operators.discovery import schedule_pages

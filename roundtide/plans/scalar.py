@@ -87,7 +87,7 @@ def _(s):
 SQL_LINKS = f"""page_links AS (
   SELECT page_id, page_url, pos, label, url FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn FROM (
-      SELECT page_id, page_url, pos, substr(coalesce(nullif(label, ''), url), 1, 120) AS label, url FROM (
+      SELECT page_id, page_url, pos, coalesce(nullif(label, ''), url) AS label, url FROM (
         SELECT page_id, url AS page_url, i AS pos, {sql_visible('labels[i]')} AS label,
           CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h
                WHEN starts_with(h, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || h

@@ -19,17 +19,17 @@ RESULT_ANCHOR = r"(?s)<h2[^>]*>\s*<a[^>]+href=\"([^\"]+)\"[^>]*>(.*?)</a>"
 RESULT_SNIPPET = r"(?s)<p[^>]*>(.*?)</p>"
 
 
-def _first_n(rows: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` rows per keyword; the group limit trims map-side, so hot keywords are safe."""
+def _first_n(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Ranked rows per keyword; a ``limit`` becomes a group limit that trims map-side."""
     w = Window.partitionBy("keyword").orderBy("ord")
     return (
         rows.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= limit)
+        .where(F.lit(True) if limit is None else F.col("rank") <= limit)
         .select("keyword", "rank", "title", "url", "snippet")
     )
 
 
-def ingest_json(payloads: DataFrame, limit: int = 8) -> DataFrame:
+def ingest_json(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     """(keyword, provider, payload JSON) -> ranked results, whatever the provider's field names."""
     item = "array<struct<title:string,name:string,url:string,link:string,description:string,snippet:string>>"
 
@@ -57,7 +57,7 @@ def _untagged(markup):
     return collapse(F.regexp_replace(unescape_html(markup), r"<[^>]+>", " "))
 
 
-def ingest_html(result_pages: DataFrame, own_host: str = "bing.com", limit: int = 8) -> DataFrame:
+def ingest_html(result_pages: DataFrame, own_host: str = "bing.com", limit: int | None = None) -> DataFrame:
     """(keyword, html) of list-block result pages -> ranked results, own host dropped, first URL wins."""
     blocks = result_pages.select(
         "keyword", F.posexplode(F.regexp_extract_all("html", F.lit(RESULT_BLOCK), F.lit(0))).alias("ord", "block")
@@ -73,7 +73,7 @@ def ingest_html(result_pages: DataFrame, own_host: str = "bing.com", limit: int
     return _first_n(first.select("keyword", "url", "f.*"), limit)
 
 
-def ingest_link_results(links: DataFrame, limit: int = 8) -> DataFrame:
+def ingest_link_results(links: DataFrame, limit: int | None = None) -> DataFrame:
     """(keyword, ord, label, url) links of a redirecting result page -> ranked results."""
     wrapped = links.where(F.contains("url", F.lit("uddg=")) | F.contains("url", F.lit("duckduckgo.com/l/")))
     rows = wrapped.select(
