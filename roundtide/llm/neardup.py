@@ -7,9 +7,11 @@
    population count of two XORed sketches estimates their similarity; pairs far below the threshold
    stop there, the others are confirmed on full sets. Components of these links settle most buckets
    with a number of comparisons linear in the bucket's size.
-4. In a bucket that still spans several components, members outside the largest one are compared
-   with all members of other components, in blocks of bounded size, inside tasks: sketch first, full
-   sets next. Blocks emit only links that join different components, so no pairs pile up.
+4. Of the documents in buckets that still span several components, those with too many shingles that
+   no other of them has can't reach the threshold and leave (exact). In what remains, members outside
+   a bucket's largest component are compared with each other, and once for all their buckets with
+   that component, in cells of bounded size, inside tasks: sketch first, full sets next. Cells emit
+   only links that join different components, so no pairs pile up.
 
 Two sets at the threshold share no band key with a probability below 1e-6 at the default setting.
 
@@ -26,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundtide.llm.common import map_columns, stage_table, texts
+from roundtide.llm.common import CACHE_WORDS, map_columns, stage_table, texts
 from roundtide.llm.graph import components
 
 BANDS, ROWS = 30, 4
 SKETCH_BITS = 512
 #: Estimates below this are not confirmed: seven standard deviations of 120 samples under 0.8.
 SKETCH_FLOOR = 0.55
-#: Shingles in a block of the last step; bounds its memory.
-BLOCK_SHINGLES = 1 << 17
+#: Shingles on one side of a cell of the last step; bounds its memory.
+BLOCK_SHINGLES = 1 << 18
 MASK = (1 << 64) - 1
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
@@ -53,7 +55,7 @@ def shingler(width: int):
     def word_hash(word: bytes) -> int:
         got = known.get(word)
         if got is None:
-            if len(known) > 400_000:
+            if len(known) > CACHE_WORDS:
                 known.clear()
             got = known[word] = xxhash.xxh64_intdigest(word)
         return got
@@ -150,6 +152,66 @@ def _bits_apart(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
+def _open_buckets(placed: DataFrame, least: int) -> DataFrame:
+    """Buckets of several components, with the largest of them."""
+    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    return (
+        parts.groupBy("band", "key")
+        .agg(
+            F.sum("n").alias("n"),
+            F.count("*").alias("k"),
+            F.max_by("component", F.struct("n", "component")).alias("main"),
+        )
+        .where(F.expr(f"k > 1 and n >= {least}"))
+        .select("band", "key", "main")
+    )
+
+
+def _cells(inside: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt into cells of bounded size, in each of which ``outer`` rows meet the others.
+
+    Documents outside a bucket's largest component meet each other bucket by bucket, and meet the
+    largest component once for all the buckets they share with it (band -1, the component as key).
+    """
+    outer = inside.where("component != main").select("band", "key", "doc_id", "component", "n_shingles", "main")
+    around = F.lit(-1).alias("band"), F.col("main").alias("key"), "doc_id", "component", "n_shingles"
+    left = outer.drop("main").unionByName(outer.select(*around).distinct())
+    right = outer.drop("main").unionByName(inside.where("component = main").select(*around).distinct())
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("band", "key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias(name))
+
+    sizes = stage_table(blocks(left, "lefts").join(blocks(right, "rights"), ["band", "key"]), "cell-sizes")
+    block = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    columns = "band", "key", "doc_id", "component"
+    lefts = left.join(sizes, ["band", "key"]).select(
+        *columns, F.lit(True).alias("outer"), block("lefts").alias("against"), every("rights").alias("block")
+    )
+    rights = right.join(sizes, ["band", "key"]).select(
+        *columns, F.lit(False).alias("outer"), every("lefts").alias("against"), block("rights").alias("block")
+    )
+    return lefts.unionByName(rights)
+
+
+def _lonely(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """Ids with so many shingles of their own among ``ids`` that the rest can't reach the threshold."""
+
+    def make():
+        def step(ids, packed):
+            arrays = [np.frombuffer(p, np.uint64).view(np.int64) for p in packed]
+            return [np.repeat(np.array(ids, np.int64), [len(a) for a in arrays]), np.concatenate(arrays) if arrays else []]
+
+        return step
+
+    inside = sets.join(ids, "doc_id", "left_semi")
+    each = map_columns(inside, make, "doc_id long, shingle long", chunk=64)
+    own = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1")
+    own = own.groupBy("doc_id").agg(F.count("*").alias("own"))
+    sizes = inside.select("doc_id", (F.octet_length("shingles") / 8).alias("size"))
+    return own.join(sizes, "doc_id").where(F.expr(f"100 * (size - own) < {percent} * size")).select("doc_id")
+
+
 def _blocks(percent: int, floor_bits: int):
     """Links between members of different components inside one block of a bucket."""
     ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -177,7 +239,8 @@ def _blocks(percent: int, floor_bits: int):
             near = inner[comp[inner] != comp[i]]
             near = near[100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i])]
             near = near[ones[sketch[near] ^ sketch[i]].sum(axis=1, dtype=np.int64) <= floor_bits]
-            near = near[(bands[near] == bands[i]).argmax(axis=1) == band]  # each pair in its first band only
+            shared = bands[near] == bands[i]  # in a bucket only the pairs that meet in no earlier one
+            near = near[shared.any(axis=1) if band < 0 else shared.argmax(axis=1) == band]
             for j in near:
                 x, y = find(comp[i]), find(comp[j])
                 if x != y and linked(sets[i], sets[j], percent):
@@ -233,23 +296,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         "component", F.coalesce("component", "doc_id")
     )
     placed = stage_table(placed.select("band", "key", "doc_id", "n_shingles", "component"), "placed")
-    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    open_ = (
-        parts.groupBy("band", "key")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("shingles").alias("shingles"), F.max_by("component", F.struct("n", "component")).alias("main"))
-        .where("k > 1 and n > 2")
-    )
-    open_ = stage_table(
-        open_.select("band", "key", "main", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")), "open-buckets"
-    )
-    inside = placed.join(open_, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    inner = inside.select("*", F.lit(False).alias("outer"), F.explode(every).alias("against"))
-    outer = inside.where("component != main").select(
-        "*", F.lit(True).alias("outer"), F.explode(every).alias("other")
-    ).withColumn("against", F.col("block")).withColumn("block", F.col("other")).drop("other")
-    cells = inner.unionByName(outer).select("band", "key", "block", "against", "outer", "doc_id", "component")
-    filled = cells.join(reps.select("doc_id", "bands", "sketch"), "doc_id").join(sets, "doc_id")
+    mixed = stage_table(_open_buckets(placed, least=3), "mixed-buckets")
+    left = placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+    lonely = stage_table(_lonely(sets, left.select("doc_id").distinct(), percent), "lonely")
+    left = stage_table(left.join(lonely, "doc_id", "left_anti"), "open-members")
+    open_ = stage_table(_open_buckets(left, least=2), "open-buckets")
+    inside = left.join(open_, ["band", "key"])
+    filled = _cells(inside).join(reps.select("doc_id", "bands", "sketch"), "doc_id").join(sets, "doc_id")
     late = filled.groupBy("band", "key", "block", "against").applyInPandas(_blocks(percent, floor_bits), "a long, b long")
     late = stage_table(late, "late-links")
     linked_all = components(links.unionByName(late))
