@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roundtide import dims
-from roundtide.functions.text import ascii_digits, collapse, first_n
+from roundtide.functions.text import ascii_digits, bind, chunked, collapse, cut, first_n, running_starts
 
 U = dims.UNI
 DATE_RE = U + dims.DATE_TOKEN
@@ -66,15 +66,15 @@ def is_valid_month_day(month: Column, day: Column) -> Column:
 
 def token_iso(token: Column, year_hint: Column, as_of: Column) -> Column:
     """ISO text of one date token, or NULL. Parts are bound once to keep the expression small."""
-    plain = ascii_digits(token)
-    part = lambda g: F.regexp_extract(plain, TOKEN_PARTS, g).try_cast("int")
-    parts = F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
+    def parts(plain: Column) -> Column:
+        part = lambda g: F.regexp_extract(plain, TOKEN_PARTS, g).try_cast("int")
+        return F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
 
     def build(p: Column) -> Column:
         year = F.coalesce(p["y"], year_hint, infer_year(p["m"], p["d"], as_of))
         return F.when(is_valid_month_day(p["m"], p["d"]) & year.between(2000, 2099), _iso(year, p["m"], p["d"]))
 
-    return F.transform(F.array(parts), build)[0]
+    return bind(bind(ascii_digits(token), parts), build)
 
 
 def normalize_date(value: Column, year_hint: Column, as_of: Column) -> Column:
@@ -123,33 +123,24 @@ def occurrences(text: Column, label: Column) -> Column:
     """0-based code-point offsets of a literal label, case-insensitively, in order."""
     parts = F.split(text, F.concat(F.lit(r"(?iu)\Q"), label, F.lit(r"\E")))
     sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
-    zero = F.expr("named_struct('at', 0, 'starts', cast(array() as array<int>))")
-    return F.aggregate(
-        sizes,
-        zero,
-        lambda acc, n: F.struct(
-            (acc["at"] + n + F.length(label)).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + n)).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    return running_starts(sizes, F.transform(sizes, lambda _: F.length(label)))
 
 
-def label_windows(text: Column, labels: Column, before: int | None, after: int | None) -> Column:
+def label_windows(text: Column, labels: Column, before: int | None, after: int | None, chunks: Column | None = None) -> Column:
     """Raw windows around each label, labels in list order, then occurrences in order.
 
     ``before`` counts characters in front of the label; ``after`` counts characters past its
-    end, ``None`` meaning the window stops where the label starts.
+    end, ``None`` meaning the window stops where the label starts. Long texts bring their ``chunks``.
     """
     def of_label(label: Column) -> Column:
         def window(start: Column) -> Column:
             left = F.greatest(start - (before or 0), F.lit(0))
             right = start if after is None else start + F.length(label) + after
-            return F.substring(text, left + 1, right - left)
+            return F.substring(text, left + 1, right - left) if chunks is None else cut(chunks, left, right)
 
         return F.transform(occurrences(text, label), window)
 
-    hits = F.filter(labels, lambda l: F.contains(F.lower(text), F.lower(l)))
+    hits = bind(F.lower(text), lambda low: F.filter(labels, lambda l: F.contains(low, F.lower(l))))
     return F.flatten(F.transform(hits, of_label))
 
 
@@ -184,37 +175,29 @@ def range_after_label(text: Column, labels: Column, year_hint: Column, as_of: Co
 
 def pattern_windows(text: Column, patterns: Column, before: int, after: int) -> Column:
     """Collapsed windows around regex matches: pattern order, then position order."""
-    def of_pattern(pattern: Column) -> Column:
-        rx = F.concat(F.lit("(?iUd)"), pattern)
-        pieces = F.transform(F.split(text, rx), lambda p: F.length(p))
-        hits = F.transform(F.regexp_extract_all(text, rx, F.lit(0)), lambda m: F.length(m))
-        steps = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(hits)),
-            hits,
-            lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
-        )
-        zero = F.expr("named_struct('at', 0, 'wins', cast(array() as array<string>))")
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            end = start + s["hit"]
-            left = F.greatest(start - before, F.lit(0))
-            return F.struct(
-                end.alias("at"),
-                F.concat(
-                    acc["wins"], F.array(collapse(F.substring(text, left + 1, end + after - left)))
-                ).alias("wins"),
+    def of_page(chunks: Column) -> Column:
+        def of_pattern(pattern: Column) -> Column:
+            rx = F.concat(F.lit("(?iUd)"), pattern)
+            gaps = F.transform(F.split(text, rx), lambda p: F.length(p))
+            return bind(
+                F.transform(F.regexp_extract_all(text, rx, F.lit(0)), lambda m: F.length(m)),
+                lambda lengths: F.zip_with(
+                    running_starts(gaps, lengths), lengths, lambda at, n: collapse(cut(chunks, at - before, at + n + after))
+                ),
             )
 
-        return F.aggregate(steps, zero, step, lambda acc: acc["wins"])
+        return F.array_distinct(F.flatten(F.transform(patterns, of_pattern)))
 
-    return F.array_distinct(F.flatten(F.transform(patterns, of_pattern)))
+    return bind(chunked(text), of_page)
 
 
 def label_phrases(text: Column, labels: Column, before: int, after: int) -> Column:
-    """Distinct collapsed label windows."""
-    return F.array_distinct(
-        F.transform(label_windows(text, labels, before, after), lambda w: collapse(w))
+    """Distinct collapsed label windows of a page."""
+    return bind(
+        chunked(text),
+        lambda chunks: F.array_distinct(
+            F.transform(label_windows(text, labels, before, after, chunks), lambda w: collapse(w))
+        ),
     )
 
 

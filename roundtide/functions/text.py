@@ -103,6 +103,35 @@ def first_n(items: Column, limit: int | None) -> Column:
     return items if limit is None else F.slice(items, 1, limit)
 
 
+CHUNK = 512
+
+
+def chunked(text: Column) -> Column:
+    """The text in pieces of 512 characters, so that a place in a long text is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` (0-based, at least 0) to before ``end`` of a chunked text."""
+    left = F.greatest(start, F.lit(0))
+    first = F.floor(left / CHUNK).cast("int")
+    count = F.greatest(F.ceil(end / CHUNK).cast("int") - first, F.lit(1))
+    return F.substring(F.array_join(F.slice(chunks, first + 1, count), ""), left - first * CHUNK + 1, end - left)
+
+
+def running_starts(gaps: Column, lengths: Column) -> Column:
+    """Start offsets of hits from the lengths of the gaps before them and their own; only numbers accumulate."""
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: F.struct(g.alias("gap"), n.alias("len")))
+    return F.aggregate(
+        steps,
+        F.expr("named_struct('at', 0, 'starts', cast(array() as array<int>))"),
+        lambda acc, s: F.struct(
+            (acc["at"] + s["gap"] + s["len"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + s["gap"])).alias("starts")
+        ),
+        lambda acc: acc["starts"],
+    )
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.transform(F.array(value), body)[0]

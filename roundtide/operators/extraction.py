@@ -29,7 +29,10 @@ from roundtide.functions.rounds import (
     round_section,
 )
 from roundtide.functions.text import (
+    chunked,
+    cut,
     first_n,
+    running_starts,
     bind,
     alternation,
     any_contains,
@@ -55,29 +58,18 @@ def no_year() -> Column:
 
 def pattern_hits(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>>: code-point offsets of matches and one group's text."""
-    pieces = F.transform(F.split(text, pattern), lambda p: F.length(p))
-    wholes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern), lambda p: F.length(p))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.zip_with(
-        F.zip_with(F.slice(pieces, F.lit(1), F.size(wholes)), wholes, lambda g, w: F.struct(g.alias("gap"), F.length(w).alias("len"))),
-        values,
-        lambda s, v: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), v.alias("value")),
-    )
-    zero = F.expr(
-        "named_struct('at', 0, 'hits', cast(array() as array<struct<start:int,end:int,value:string>>))"
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        hit = F.struct(start.alias("start"), (start + s["len"]).alias("end"), s["value"].alias("value"))
-        return F.struct((start + s["len"]).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
-
-    return F.aggregate(steps, zero, step, lambda acc: acc["hits"])
 
+    def placed(lengths: Column) -> Column:
+        ends = F.zip_with(
+            running_starts(gaps, lengths), lengths, lambda at, n: F.struct(at.alias("start"), (at + n).alias("end"))
+        )
+        return F.zip_with(
+            ends, values, lambda e, v: F.struct(e["start"].alias("start"), e["end"].alias("end"), v.alias("value"))
+        )
 
-def cut(text: Column, start: Column, end: Column) -> Column:
-    left = F.greatest(start, F.lit(0))
-    return F.substring(text, left + 1, end - left)
+    return bind(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.length(w)), placed)
 
 
 # --- notes, rules, prices ---------------------------------------------------------
@@ -126,7 +118,10 @@ def ticket_rules(text: Column, limit: int | None = None) -> Column:
 
 def ticket_prices(text: Column, limit: int | None = None) -> Column:
     """Tier sections, else loose tier prices, else notes that name an amount."""
-    flat = collapse(text)
+    return bind(collapse(text), lambda flat: bind(chunked(flat), lambda chunks: _prices(flat, chunks, limit)))
+
+
+def _prices(flat: Column, chunks: Column, limit: int | None) -> Column:
     yen = U + dims.PRICE_YEN
 
     def sections(hits: Column) -> Column:
@@ -134,7 +129,7 @@ def ticket_prices(text: Column, limit: int | None = None) -> Column:
             own = h["end"] - 1 - F.length(h["value"])
             nxt = F.get(hits, i + 1)
             stop = F.coalesce(nxt["end"] - 1 - F.length(nxt["value"]), F.length(flat))
-            body = F.split(cut(flat, own, stop), dims.PRICE_STOP, 2)[0]
+            body = F.split(cut(chunks, own, stop), dims.PRICE_STOP, 2)[0]
             return strip_chars(body, NOTE_EDGE + "＊*")
 
         return F.transform(hits, section)
@@ -148,7 +143,7 @@ def ticket_prices(text: Column, limit: int | None = None) -> Column:
     )
     noted = F.filter(
         F.transform(
-            F.filter(split_notes(text), lambda n: n.rlike(yen)),
+            F.filter(split_notes(flat), lambda n: n.rlike(yen)),
             lambda n: F.trim(F.regexp_replace(n, U + dims.PRICE_LEAD, "")),
         ),
         lambda n: n != "",
@@ -163,6 +158,10 @@ def ticket_prices(text: Column, limit: int | None = None) -> Column:
 # --- event dates and venues ---------------------------------------------------------
 
 def event_dates(text: Column, limit: int | None = None) -> Column:
+    return bind(chunked(text), lambda chunks: _event_dates(text, chunks, limit))
+
+
+def _event_dates(text: Column, chunks: Column, limit: int | None) -> Column:
     labels = string_array(dims.EVENT_DATE_LABELS)
 
     def clean_phrase(p: Column) -> Column:
@@ -174,7 +173,7 @@ def event_dates(text: Column, limit: int | None = None) -> Column:
 
     def periods(pattern: str, lead_width: int) -> Column:
         def lead(h: Column) -> Column:
-            return F.translate(cut(text, h["start"] - lead_width, h["start"]), " 　", "")
+            return F.translate(cut(chunks, h["start"] - lead_width, h["start"]), " 　", "")
 
         kept = F.filter(
             pattern_hits(text, U + pattern, 1), lambda h: ~any_contains(lead(h), dims.PERIOD_LEAD_NOISE)
@@ -196,11 +195,15 @@ def venue_is_noisy(venue: Column, context: Column) -> Column:
 
 def venues(text: Column, limit: int | None = None) -> Column:
     """Ordered patterns; the loosest one only when the others found nothing."""
+    return bind(chunked(text), lambda chunks: _venues(text, chunks, limit))
+
+
+def _venues(text: Column, chunks: Column, limit: int | None) -> Column:
     def found(pattern: str) -> Column:
         def tidy(h: Column) -> Column:
             v = strip_chars(collapse(h["value"]), EDGE)
             v = F.trim(F.regexp_replace(v, r"(?U)^(?:のご案内|会場のご案内)\s*", ""))
-            return F.struct(v.alias("v"), collapse(cut(text, h["start"] - 24, h["end"] + 80)).alias("ctx"))
+            return F.struct(v.alias("v"), collapse(cut(chunks, h["start"] - 24, h["end"] + 80)).alias("ctx"))
 
         kept = F.filter(
             F.transform(pattern_hits(text, U + pattern, 1), tidy),
@@ -242,10 +245,14 @@ def tour_venue(window: Column) -> Column:
 
 def tour_entries(text: Column, as_of: Column) -> Column:
     """array of (date, date_text, title, venue, ended): text between one date and the next."""
+    return bind(chunked(text), lambda chunks: _tour_entries(text, chunks, as_of))
+
+
+def _tour_entries(text: Column, chunks: Column, as_of: Column) -> Column:
     def entries(hits: Column) -> Column:
         def entry(h: Column, i: Column) -> Column:
             stop = F.coalesce(F.get(hits, i + 1)["start"], h["end"] + 80)
-            chunk = collapse(cut(text, h["end"], stop))
+            chunk = collapse(cut(chunks, h["end"], stop))
             chunk = F.regexp_replace(chunk, r"(?U)^[\[\(（][^\]\)）]{1,12}[\]\)）]\s*", "")
             flag = r"(?U)^[\[【]?\s*終了\s*[\]】]?\s*"
             rest = F.regexp_replace(chunk, flag, "")
@@ -329,7 +336,8 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
     """(page_id, url, text) -> raw rounds with a page ordinal; DATE columns, first wins.
 
     Pages without any round word or date token are dropped before the window scan. After the
-    explode only the context travels; every fact is its own projected column, so a window is
+    explode only the context travels, dealt out by page and window, as reading a window costs far more
+    than moving it and a long page has very many; every fact is its own projected column, so a window is
     evaluated once.
     """
     text = F.col("text")
@@ -337,6 +345,7 @@ def extract_rounds(parsed: DataFrame, as_of: Column) -> DataFrame:
         parsed.where(text.rlike(ROUND_PREFILTER) & text.rlike(DATE_RE))
         .select("page_id", "url", dominant_year(text).alias("year"), F.posexplode(round_contexts(text)).alias("ord", "context"))
         .where(F.col("context").rlike(DATE_RE))
+        .repartition("page_id", "ord")
     )
     context, section, year, name = F.col("context"), F.col("section"), F.col("year"), F.col("name")
     named = staged(

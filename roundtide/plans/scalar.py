@@ -309,8 +309,7 @@ PHRASE_LABELS = ("tion", "Éen", "hand")
       FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM p)),
     w AS (SELECT doc_id, lord, i, {q.clean('substr(text, CAST(greatest(st - 30, 0) AS BIGINT) + 1, CAST(st + length(label) + 90 - greatest(st - 30, 0) AS BIGINT))')} AS phrase FROM m),
     f AS (SELECT doc_id, phrase, min((lord, i)) AS o FROM w GROUP BY 1, 2)
-    SELECT doc_id, array_to_string(list(phrase ORDER BY o), '|') AS phrases FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS rn FROM f) WHERE rn <= 4 GROUP BY 1""",
+    SELECT doc_id, array_to_string(list(phrase ORDER BY o), '|') AS phrases FROM f GROUP BY 1""",
 )
 def _(s):
     got = dates.nearby_phrases(F.col("text"), text.string_array(PHRASE_LABELS))
