@@ -40,10 +40,19 @@ def visible_watches(
     return out
 
 
-def visible_sources(sources: DataFrame, watches: DataFrame) -> DataFrame:
-    """Curated sources that are not muted themselves nor through their watch."""
-    live = watches.where(~F.col("muted")).select("watch_id")
-    return sources.where(~F.col("muted")).join(live, "watch_id", "left_semi")
+def visible_sources(
+    sources: DataFrame, watches: DataFrame, watch_id: int | None = None, include_muted: bool = False,
+    user_watches: DataFrame | None = None, user_id: int | None = None,
+) -> DataFrame:
+    """Curated sources in scope: of one watch, of a user's watches, with or without the muted ones.
+
+    A source is muted by itself or through its watch.
+    """
+    scoped = visible_watches(watches, user_watches, user_id, include_muted)
+    if watch_id is not None:
+        scoped = scoped.where(F.col("watch_id") == watch_id)
+    live = sources if include_muted else sources.where(~F.col("muted"))
+    return live.join(scoped.select("watch_id"), "watch_id", "left_semi")
 
 
 def shown_rounds(rounds: DataFrame) -> DataFrame:
@@ -83,9 +92,9 @@ def feed_rounds(rounds: DataFrame) -> DataFrame:
 
 def feed_links(links: DataFrame) -> DataFrame:
     """Visible links by confidence, then label."""
-    return numbered_within(
-        shown_links(links), ["event_id"], -F.col("confidence"), [F.col("label"), F.col("url")], "position"
-    )
+    # confidence has three values only: the label's first characters split the links of a large event further
+    rank = F.struct((-F.col("confidence")).alias("confidence"), F.substring("label", 1, 10).alias("lead"))
+    return numbered_within(shown_links(links), ["event_id"], rank, [F.col("label"), F.col("url")], "position")
 
 
 def round_summary(rounds: DataFrame) -> DataFrame:
@@ -291,7 +300,9 @@ def artist_events(events: DataFrame, watches: DataFrame, sort_date: Column) -> D
     artists = watches.where(F.col("kind") == "artist").select("watch_id", "keyword")
     rows = events.join(artists, "watch_id").withColumn("first_date", sort_date)
     last = F.lit("9999-12-31").cast("date")
-    return numbered_within(rows, ["watch_id"], F.coalesce("first_date", last), [F.col("title"), F.col("event_id")], "position")
+    # all undated events share the last date: the title's start splits them further
+    rank = F.struct(F.coalesce("first_date", last).alias("date"), F.substring("title", 1, 10).alias("lead"))
+    return numbered_within(rows, ["watch_id"], rank, [F.col("title"), F.col("event_id")], "position")
 
 
 def latest_events(events: DataFrame) -> DataFrame:

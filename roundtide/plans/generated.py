@@ -445,14 +445,28 @@ def _(s):
     return ex.collect_facts(ex.page_facts(owned), ["keyword"], "place").select("keyword", "kind", "value")
 
 
-@query("export_blocks_json")
+@query(
+    "export_blocks_json",
+    f"""WITH {ROUND_SQL} SELECT 'Musical ' || p_partkey AS keyword, 'https://stage.example.com/show/' || p_partkey AS official_url, 'Musical ' || p_partkey || ' 公式' AS title, 6 AS n_facts,
+      (SELECT array_to_string(list_sort(list(concat_ws('~', name, 'eplus', CAST(lottery_start AS VARCHAR), CAST(general_sale_date AS VARCHAR)))), '|') FROM g WHERE g.page_id = p_partkey) AS rounds FROM part""",
+)
 def _(s):
-    from roundtide.sources.exports import blocks_json
+    """Documents read back from the written JSON: header, number of facts, and every round's name and dates."""
+    from roundtide.sources.exports import block_documents, export_json
+    from roundtide.sources.tables import scratch_dir
 
-    b = dc.build_blocks(results(s), corpus(s), s.as_of)
-    info = F.struct("keyword", "official_url", "title", "summary")
-    ticket = F.struct("name", "platform", "lottery_start", "lottery_end", "general_sale_date")
-    return b["header"].join(b["rounds"].drop("official_url"), "keyword").select("keyword", blocks_json(info, ticket).alias("document"))
+    out = scratch_dir(s.spark, "export_blocks")
+    export_json(block_documents(dc.build_blocks(results(s), corpus(s), s.as_of)), out)
+    shape = (
+        "general_info struct<official_url:string,title:string,facts:array<struct<kind:string>>>,"
+        "ticket_info array<struct<name:string,platform:string,lottery_start:string,general_sale_date:string>>"
+    )
+    read = s.spark.read.schema("keyword string, document string").json(out).select("keyword", F.from_json("document", shape).alias("d"))
+    line = F.transform("d.ticket_info", lambda r: F.concat_ws("~", r["name"], r["platform"], r["lottery_start"], r["general_sale_date"]))
+    return read.select(
+        "keyword", "d.general_info.official_url", "d.general_info.title", F.size("d.general_info.facts").alias("n_facts"),
+        F.array_join(F.array_sort(line), "|").alias("rounds"),
+    )
 
 
 def artist_corpus(s):

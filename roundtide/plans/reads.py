@@ -158,6 +158,23 @@ def _(s):
     return feeds.visible_sources(s.watch_sources, s.watches).select("source_id", "watch_id", "url", "label", "platform", "confidence", "private_note")
 
 
+@query(
+    "user_sources",
+    q.with_(q.WATCHES, q.SOURCES, q.USERS) + "SELECT source_id, watch_id, url, muted FROM watch_sources WHERE watch_id IN (SELECT watch_id FROM user_watches WHERE user_id = 7)",
+)
+def _(s):
+    mine = feeds.visible_sources(s.watch_sources, s.watches, include_muted=True, user_watches=s.user_watches, user_id=7)
+    return mine.select("source_id", "watch_id", "url", "muted")
+
+
+@query(
+    "watch_source_list",
+    q.with_(q.WATCHES, q.SOURCES) + "SELECT source_id, url, label FROM watch_sources WHERE watch_id = 12",
+)
+def _(s):
+    return feeds.visible_sources(s.watch_sources, s.watches, watch_id=12, include_muted=True).select("source_id", "url", "label")
+
+
 @query("label_sources", q.with_(q.SOURCES) + "SELECT source_id, label, platform, confidence FROM watch_sources")
 def _(s):
     return s.watch_sources.select("source_id", "label", "platform", "confidence")
@@ -273,6 +290,30 @@ def _(s):
     return feed.select("event_id", "alert_key", "alert_type", "created_at", "event_title", "watch_id", "watch_keyword", "watch_muted")
 
 
+MINE = f"{q.USERS}, mine AS (SELECT watch_id FROM user_watches WHERE user_id = 7)"
+
+
+@query(
+    "event_feed_user",
+    FEED
+    + f""", {MINE} SELECT event_id, keyword, title, {TS} AS updated_at FROM heads WHERE NOT muted AND watch_id IN (SELECT watch_id FROM mine)
+      ORDER BY updated_at DESC, event_id LIMIT 50""",
+)
+def _(s):
+    w = feeds.visible_watches(s.watches, s.user_watches, 7)
+    feed = feeds.event_feed(s.events, w, s.rounds, s.event_links, s.watch_sources, 50)
+    return feed.select("event_id", "keyword", "title", "updated_at")
+
+
+@query(
+    "alert_feed_user",
+    f"""{BASE}, {ALERT_LOG}, {MINE} SELECT event_id, alert_key, watch_id FROM alert_log JOIN events_t USING (event_id) WHERE watch_id IN (SELECT watch_id FROM mine)
+      ORDER BY alert_log.created_at DESC, event_id, alert_key LIMIT 50""",
+)
+def _(s):
+    return feeds.alert_feed(s.alert_log, s.events, s.watches, 50, s.user_watches, 7).select("event_id", "alert_key", "watch_id")
+
+
 @query(
     "artist_events",
     q.with_(q.WATCHES, q.EVENTS)
@@ -344,6 +385,29 @@ def _(s):
     return s.spark.read.schema(s.watches.schema).json(out).select("watch_id", "keyword", "kind", "tags", "muted")
 
 
+def _exported(s, rows, name):
+    from roundtide.sources.exports import export_json
+    from roundtide.sources.tables import scratch_dir
+
+    out = scratch_dir(s.spark, name)
+    export_json(rows, out)
+    return s.spark.read.schema(rows.schema).json(out)
+
+
+@query("export_sources", q.with_(q.SOURCES) + "SELECT source_id, watch_id, url, label, platform, confidence, private_note, muted FROM watch_sources")
+def _(s):
+    columns = ("source_id", "watch_id", "url", "label", "platform", "confidence", "private_note", "muted")
+    return _exported(s, s.watch_sources.select(*columns), "export_sources")
+
+
+@query(
+    "export_subscriptions",
+    f"{q.with_(q.WATCHES, q.EVENTS, q.ROUNDS)}, {q.SUBSCRIPTIONS} SELECT subscription_id, watch_id, scope, location, round_key, channels, lead_days, enabled FROM subscriptions",
+)
+def _(s):
+    return _exported(s, s.subscriptions, "export_subscriptions")
+
+
 @query(
     "curated_first",
     f"""{BASE}, heads AS (SELECT watch_id, official_url AS url FROM events_t WHERE regexp_matches(official_url, '^https?://')),

@@ -335,6 +335,38 @@ def _(s):
     return got.select("watch_id", "scope", "location", "round_key", "lead_days", "enabled", "is_new")
 
 
+@query("subscription_list", f"{SUBS} SELECT subscription_id, watch_id, scope, lead_days FROM subscriptions WHERE enabled ORDER BY subscription_id")
+def _(s):
+    return st.list_subscriptions(s.subscriptions, include_disabled=False).select("subscription_id", "watch_id", "scope", "lead_days")
+
+
+@query(
+    "subscription_switch",
+    f"{SUBS} SELECT subscription_id, CASE WHEN subscription_id % 5 = 0 THEN false WHEN subscription_id % 5 = 1 THEN true ELSE enabled END AS enabled FROM subscriptions",
+)
+def _(s):
+    """Every fifth is switched on, then off; the next ones on: the last request counts."""
+    k = F.col("subscription_id")
+    on = s.subscriptions.where(k % 5 < 2).select(k, F.lit(1).alias("ord"), F.lit(True).alias("enabled"))
+    off = s.subscriptions.where(k % 5 == 0).select(k, F.lit(2).alias("ord"), F.lit(False).alias("enabled"))
+    return st.enable_subscriptions(s.subscriptions, on.unionByName(off)).select("subscription_id", "enabled")
+
+
+@query("subscription_remove", f"{SUBS} SELECT subscription_id, scope FROM subscriptions WHERE subscription_id % 6 <> 2")
+def _(s):
+    gone = s.subscriptions.where(F.col("subscription_id") % 6 == 2)
+    return st.remove_subscriptions(s.subscriptions, gone).select("subscription_id", "scope")
+
+
+@query(
+    "subscribe_users",
+    q.with_(q.WATCHES, q.USERS) + "SELECT user_id, watch_id FROM user_watches UNION SELECT 7, watch_id FROM watches WHERE kind = 'artist'",
+)
+def _(s):
+    asked = s.watches.where(F.col("kind") == "artist").select(F.lit(7).cast("bigint").alias("user_id"), "watch_id")
+    return st.subscribe_users(s.user_watches, asked.unionByName(asked))
+
+
 # --- reminders ------------------------------------------------------------------------
 
 OCC = f"""occ0 AS (SELECT event_id, round_key, name, url, evidence, field, label, date FROM (

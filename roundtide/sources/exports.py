@@ -10,9 +10,20 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def blocks_json(info: Column, rounds: Column) -> Column:
-    """One document per event: general information next to its rounds."""
-    return F.to_json(F.struct(info.alias("general_info"), rounds.alias("ticket_info")))
+def block_documents(blocks: dict[str, DataFrame], scope: str = "keyword") -> DataFrame:
+    """One JSON document per block: header and facts as general information, the list of its rounds.
+
+    Blocks without facts or rounds keep empty lists. A document holds its whole block, so it is as
+    large as the block's own text.
+    """
+    facts = blocks["facts"].groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("kind", "first", "value", "label"))).alias("facts"))
+    dated = ["lottery_start", "lottery_end", "results_date", "general_sale_date", "payment_deadline"]
+    ticket = F.struct("name", "platform", "url", *[F.col(c).cast("string").alias(c) for c in dated], "status", "evidence")
+    rounds = blocks["rounds"].groupBy(scope).agg(F.array_sort(F.collect_list(ticket)).alias("rounds"))
+    joined = blocks["header"].join(facts, scope, "left").join(rounds, scope, "left")
+    info = F.struct(*blocks["header"].columns, F.coalesce("facts", F.array()).alias("facts"))
+    document = F.to_json(F.struct(info.alias("general_info"), F.coalesce("rounds", F.array()).alias("ticket_info")))
+    return joined.select(scope, document.alias("document"))
 
 
 def ics_escape(c: Column) -> Column:
