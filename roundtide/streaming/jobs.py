@@ -29,38 +29,50 @@ def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: s
     return writer.start()
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """Rows of all earlier micro-batches."""
-    if before == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path).where(
-        F.col("batch") < before
-    ).drop("batch")
+def dedupe_step(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Append only keys not seen in any earlier batch (idempotent alert and reminder logs).
 
-
-def dedupe_step(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Append only keys not seen in any earlier batch (idempotent alert and reminder logs)."""
+    The log lies in folders by batch and key bucket; a batch reads the buckets of its own keys only.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         once = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
-        seen = stored(batch.sparkSession, path, once.schema, batch_id).select(*keys)
-        once.join(seen, keys, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        once = once.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
+        schema = T.StructType([*once.drop("bucket").schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        touched = [r["bucket"] for r in once.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        seen = spark.createDataFrame([], schema)
+        if batch_id:
+            seen = spark.read.schema(schema).parquet(path).where((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+        new = once.join(seen.select(*keys), keys, "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return step
 
 
 def history_step(path: str, keys: list[str], field: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Field changes across micro-batches; the only state is the last observation per key."""
+    """Field changes across micro-batches.
+
+    The state is the last observation of each key, one row, written as version n+1 from version n and
+    the batch. A row that is not after its key's last observation comes too late to be a change that
+    can still be told: it goes to ``late`` and takes no part.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = stored(spark, f"{path}/last", batch.schema, batch_id)
         rest = [c for c in batch.columns if c not in keys and c not in order]
-        newest = last.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("l")).select(*keys, "l.*").select(*batch.columns)
-        field_history(newest.unionByName(batch), keys, field, order).write.mode("overwrite").parquet(
-            f"{path}/changes/batch={batch_id}"
-        )
-        tail = batch.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("l")).select(*keys, "l.*")
-        tail.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+        last = spark.createDataFrame([], batch.schema)
+        if batch_id:
+            last = spark.read.schema(batch.schema).parquet(f"{path}/last/v={batch_id}")
+        mark = last.select(*keys, F.struct(*order).alias("_mark"))
+        judged = batch.join(mark, keys, "left").withColumn(
+            "_late", F.coalesce(F.struct(*order) <= F.col("_mark"), F.lit(False))
+        ).drop("_mark")
+        judged.where("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        fresh = judged.where("not _late").drop("_late").select(*batch.columns)
+        both = last.unionByName(fresh)
+        field_history(both, keys, field, order).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        newest = both.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("l")).select(*keys, "l.*")
+        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/last/v={batch_id + 1}")
 
     return step
 
