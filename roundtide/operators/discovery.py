@@ -255,33 +255,33 @@ def artist_shows(owned: DataFrame, parsed: DataFrame, links: DataFrame, as_of: C
     )
 
 
-def blocks_to_batch(blocks: dict[str, DataFrame], watches: DataFrame) -> dict[str, DataFrame]:
-    """Keyword blocks as one save batch; events are keyed by (watch, page), ids are stable hashes."""
+def blocks_to_batch(blocks: dict[str, DataFrame], watches: DataFrame, scope: str = "keyword") -> dict[str, DataFrame]:
+    """Blocks of keywords or watches as one save batch; events are keyed by (watch, page), ids are stable hashes."""
     long = blocks["facts"]
 
     def values(kind: str) -> DataFrame:
         picked = long.where(F.col("kind") == kind)
-        return picked.groupBy("keyword").agg(
+        return picked.groupBy(scope).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias(kind)
         )
 
     url = F.coalesce("official_url", F.concat(F.lit("keyword:"), F.col("keyword")))
     events = (
         blocks["header"]
-        .join(watches.select("watch_id", "keyword"), "keyword")
-        .join(values("event_dates"), "keyword", "left")
-        .join(values("venues"), "keyword", "left")
+        .join(watches.select("watch_id", "keyword"), scope)
+        .join(values("event_dates"), scope, "left")
+        .join(values("venues"), scope, "left")
         .withColumn("official_url", url)
         .select(
             stable_key(F.concat_ws("|", F.col("watch_id").cast("string"), F.col("official_url"))).alias("event_id"),
-            "watch_id", "keyword", "title", "official_url", "summary",
+            "watch_id", "keyword", F.coalesce("title", "keyword").alias("title"), "official_url", "summary",
             F.coalesce("event_dates", empty_array()).alias("event_dates"),
             F.coalesce("venues", empty_array()).alias("venues"),
         )
     )
-    ids = events.select("keyword", "event_id")
+    ids = events.select(scope, "event_id")
     return {
         "events": events.drop("keyword"),
-        "links": blocks["links"].join(ids, "keyword").select("event_id", "url", "label"),
-        "rounds": blocks["rounds"].drop("lane", "round_ord", "page_id", "status", "round_key").join(ids, "keyword").drop("keyword"),
+        "links": blocks["links"].join(ids, scope).select("event_id", "url", "label"),
+        "rounds": blocks["rounds"].drop("lane", "round_ord", "page_id", "status", "round_key").join(ids, scope).drop(scope),
     }
