@@ -200,10 +200,6 @@ ALERT_TYPES = (
     "lottery_opened", "lottery_closing_soon", "results_today", "payment_due_soon",
     "general_sale_soon", "watch_failed",
 )
-CHANGE_FIELDS = (
-    "lottery_start", "lottery_end", "results_date", "general_sale_date",
-    "payment_deadline", "payment_start_at", "trade_start_at", "trade_end_at",
-)
 REMINDER_FIELDS = (
     ("application_start_at", "Lottery application opens"),
     ("application_end_at", "Lottery application closes"),
@@ -212,3 +208,14 @@ REMINDER_FIELDS = (
     ("general_sale_date", "General sale"),
 )
 SCOPES = ("artist_all", "event_all", "event_location", "round")
+
+# --- fixed values: words that tell a round's type and membership, and snippet patterns ---
+FAN_CLUB_WORDS = ("fc", "ファンクラブ")
+GENERAL_WORDS = ("一般発売",)
+TRADE_WORDS = ("トレード", "リセール")
+OFFICIAL_WORDS = ("公式", "オフィシャル")
+PLATFORM_WORDS = ("pia", "ぴあ", "e+", "ローソン", "lawson")
+ADVANCE_WORDS = ("抽選", "先行", "プレオーダー")
+MEMBER_WORDS = ("fc", "ファンクラブ", "会員")
+SNIPPET_NOTICE = r"※【重要なお知らせ】[^＞>]*(?:＞＞|>>)?"
+SNIPPET_LABEL = r"【[^】]*(?:抽選|先行|一般発売|発売|受付)[^】]*】"

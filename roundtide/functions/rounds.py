@@ -21,12 +21,12 @@ from roundtide.functions.text import (
 def round_type(name: Column) -> Column:
     low = F.lower(name)
     return (
-        F.when(any_contains(low, ("fc", "ファンクラブ")), "fc")
-        .when(any_contains(name, ("一般発売",)), "general")
-        .when(any_contains(name, ("トレード", "リセール")), "trade")
-        .when(any_contains(name, ("公式", "オフィシャル")), "official")
-        .when(any_contains(low, ("pia", "ぴあ", "e+", "ローソン", "lawson")), "platform")
-        .when(any_contains(name, ("抽選", "先行", "プレオーダー")), "platform")
+        F.when(any_contains(low, dims.FAN_CLUB_WORDS), "fc")
+        .when(any_contains(name, dims.GENERAL_WORDS), "general")
+        .when(any_contains(name, dims.TRADE_WORDS), "trade")
+        .when(any_contains(name, dims.OFFICIAL_WORDS), "official")
+        .when(any_contains(low, dims.PLATFORM_WORDS), "platform")
+        .when(any_contains(name, dims.ADVANCE_WORDS), "platform")
         .otherwise("unknown")
     )
 
@@ -34,8 +34,8 @@ def round_type(name: Column) -> Column:
 def membership_required(name: Column, evidence: Column) -> Column:
     text = F.lower(F.concat(name, F.lit(" "), F.coalesce(evidence, F.lit(""))))
     return (
-        F.when(any_contains(text, ("fc", "ファンクラブ", "会員")), "yes")
-        .when(any_contains(name, ("一般発売",)), "no")
+        F.when(any_contains(text, dims.MEMBER_WORDS), "yes")
+        .when(any_contains(name, dims.GENERAL_WORDS), "no")
         .otherwise("unknown")
     )
 
@@ -194,11 +194,10 @@ def venue_label(venues: Column, title: Column) -> Column:
 
 def evidence_snippet(value: Column, limit: int = 180) -> Column:
     text = collapse(F.coalesce(value, F.lit("")))
-    text = F.regexp_replace(text, r"※【重要なお知らせ】[^＞>]*(?:＞＞|>>)?", " ")
+    text = F.regexp_replace(text, dims.SNIPPET_NOTICE, " ")
     text = F.regexp_replace(text, r"(?U)https?://\S+", " ")
     text = F.regexp_replace(collapse(text), "^[ ・:：。]+|[ ・:：。]+$", "")
-    label = r"【[^】]*(?:抽選|先行|一般発売|発売|受付)[^】]*】"
-    tail = F.regexp_extract(text, r"(?s)^.*?(" + label + r".*)$", 1)
+    tail = F.regexp_extract(text, r"(?s)^.*?(" + dims.SNIPPET_LABEL + r".*)$", 1)
     text = F.when(tail != "", tail).otherwise(text)
     return (
         F.when(text == "", "none")

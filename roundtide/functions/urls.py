@@ -188,7 +188,3 @@ def portal_search_links(keyword: Column) -> Column:
         ("Lawson Ticket search", F.concat(F.lit("https://l-tike.com/search/?keyword="), percent)),
     )
     return F.array(*[F.struct(F.lit(label).alias("label"), url.alias("url")) for label, url in rows])
-
-
-def source_label(label: Column, url: Column) -> Column:
-    return F.coalesce(F.nullif(collapse(label), F.lit("")), url)

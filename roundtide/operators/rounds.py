@@ -83,11 +83,6 @@ def normalize_rounds(rounds: DataFrame, as_of: Column, parse_evidence: bool = Tr
     return filled.withColumns({"status": status_at(as_of), "round_key": round_key()})
 
 
-def with_status(rounds: DataFrame, as_of: Column) -> DataFrame:
-    """Status is derived at ``as_of``; a stored one is only a cache."""
-    return rounds.withColumn("status", status_at(as_of))
-
-
 DEDUPE_KEY = (
     "application_start_at", "application_end_at", "results_date", "general_sale_date",
 )
