@@ -14,6 +14,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows handed to a task function at once; bounds the memory of a Python worker, not the result.
 CHUNK_ROWS = 256
+#: Bytes and rows of an Arrow batch between Spark and a worker, and entries of a worker's word cache.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+CACHE_WORDS = 60_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches are held to a few megabytes, unless the session asks for less."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def workspace(spark: SparkSession) -> str:
@@ -48,6 +60,7 @@ def map_columns(
     df: DataFrame, make: Callable[[], Callable[..., list]], schema: str | T.StructType, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """``make()`` runs once a task and gives a function from column lists to output column lists."""
+    small_batches(df.sparkSession)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roundtide.llm.common import map_columns, stage_table, texts
+from roundtide.llm.common import map_columns, small_batches, stage_table, texts
 
 SEGMENT_BITS = 1 << 20
 MIN_BITS, MAX_BITS = 1 << 22, 1 << 30
@@ -35,7 +35,7 @@ MIN_BITS, MAX_BITS = 1 << 22, 1 << 30
 BITS_PER_LINE = 8
 PROBES = 3
 #: Hashes that a task holds before it emits their positions.
-FLUSH = 500_000
+FLUSH = 200_000
 
 
 def line_key(line: bytes, min_length: int) -> bytes | None:
@@ -79,6 +79,7 @@ SEGMENTS = T.StructType().add("segment", "integer").add("once", "binary").add("t
 
 def repeated_line_filter(docs: DataFrame, min_length: int, bits: int) -> np.ndarray:
     """The twice-seen filter as bytes: every line of two documents has all its bits set."""
+    small_batches(docs.sparkSession)
     arrow = to_arrow_schema(SEGMENTS)
 
     def scan(batches):
@@ -124,7 +125,7 @@ def repeated_line_filter(docs: DataFrame, min_length: int, bits: int) -> np.ndar
     marks = docs.select("text").mapInArrow(scan, SEGMENTS)
     merged = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
     whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # bits / 8 bytes in all, at most MAX_BITS / 8
+    for row in merged.toLocalIterator():  # bits / 8 bytes in all before that, at most MAX_BITS / 8
         size = SEGMENT_BITS // 8
         whole[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return whole

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundtide.llm.common import map_columns, stage_table, texts
+from roundtide.llm.common import CACHE_WORDS, map_columns, small_batches, stage_table, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
@@ -176,7 +176,7 @@ def scorer(model: ToxicityModel):
     def weight(word: str) -> float:
         got = known.get(word)
         if got is None:
-            if len(known) > 500_000:
+            if len(known) > CACHE_WORDS:
                 known.clear()
             got = known[word] = sum(model.weights.get(k, 0.0) for k in terms_of(word))
         return got
@@ -227,4 +227,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             keep = [score(t or "")[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
