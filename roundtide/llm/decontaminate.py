@@ -135,7 +135,7 @@ def seed_filter(seeds: DataFrame, count: int) -> tuple[np.ndarray, int]:
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
     )
     table = np.zeros(bits // 64, np.int64)
-    for row in words.toLocalIterator():
+    for row in words.collect():
         table[row["word"]] = row["mask"]
     return table, bits
 

@@ -125,7 +125,7 @@ def repeated_line_filter(docs: DataFrame, min_length: int, bits: int) -> np.ndar
     marks = docs.select("text").mapInArrow(scan, SEGMENTS)
     merged = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
     whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # bits / 8 bytes in all before that, at most MAX_BITS / 8
+    for row in merged.collect():  # compressed, bits / 8 bytes in all before that, at most MAX_BITS / 8
         size = SEGMENT_BITS // 8
         whole[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return whole

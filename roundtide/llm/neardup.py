@@ -305,9 +305,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     filled = _cells(inside).join(reps.select("doc_id", "bands", "sketch"), "doc_id").join(sets, "doc_id")
     late = filled.groupBy("band", "key", "block", "against").applyInPandas(_blocks(percent, floor_bits), "a long, b long")
     late = stage_table(late, "late-links")
-    linked_all = components(links.unionByName(late))
-
-    placed_all = linked_all.select(F.col("node").alias("class_id"), "component")
+    # late links join components of the first links: a small graph of its own
+    names = first.select("node", "component")
+    ends = late.join(names.toDF("a", "ca"), "a", "left").join(names.toDF("b", "cb"), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    moved = names.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(names, "node", "left_anti")
+    placed_all = moved.unionByName(alone).select(F.col("node").alias("class_id"), "component")
     named = classes.join(placed_all, "class_id", "left").select(
         "digest", "n_shingles", F.coalesce("component", "class_id").alias("component")
     )
