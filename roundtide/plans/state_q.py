@@ -501,7 +501,9 @@ def dirty_state(s):
             {
                 "event_id": moved,
                 "name": F.when(F.col("part") % 37 == 0, "Fetch failed").otherwise(F.col("name")),
-                "evidence": F.when((F.col("part") % 12 == 3) & F.col("line").isin(2, 4), MEMBER_EVIDENCE).otherwise(F.col("evidence")),
+                "evidence": F.when((F.col("part") % 12 == 3) & (F.col("line") == 2), MEMBER_EVIDENCE)
+                .when((F.col("part") % 12 == 3) & (F.col("line") == 4), F.concat("name", F.lit(" " + MEMBER_EVIDENCE)))
+                .otherwise(F.col("evidence")),
             }
         ),
         "snapshots": st.snapshots(s.events, s.rounds),
