@@ -457,7 +457,7 @@ def _(s):
     "rounds_union",
     q.with_(q.ROUNDS)
     + """, u AS (SELECT *, 0 AS origin FROM rounds WHERE line <= 3 UNION ALL SELECT *, 1 FROM rounds WHERE line BETWEEN 2 AND 5 UNION ALL SELECT *, 2 FROM rounds WHERE line >= 4)
-      SELECT event_id, line, min(origin) AS origin FROM u GROUP BY 1, 2""",
+      SELECT event_id, line, min(origin) AS origin FROM u GROUP BY event_id, line, round_key""",
 )
 def _(s):
     line = F.col("line")
