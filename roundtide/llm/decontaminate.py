@@ -5,7 +5,7 @@ spoils only the seeds that keep its position. Benchmark items give a table of se
 tokens) -> (item, position). Documents are hashed under the same masks; a bit table of the benchmark
 seeds, of bounded size, lets only likely hits leave a task, and the join with the seed table settles
 them. Every hit names a diagonal (document position minus item position); the tokens along it are
-compared one by one and the best stretch, substitutions allowed, decides.
+compared one by one and of all stretches that are dense enough the one with most equal tokens decides.
 
 A document holds an item when a stretch has at least ``min_match`` equal tokens (or
 ``short_share`` of the item's tokens, if that is less) and is at least three quarters equal.
@@ -80,14 +80,16 @@ def seeder(masks: tuple[str, ...] = MASKS):
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(equal tokens, start, end) of the stretch with the highest sum of +1 for equal, -3 for not."""
-    if not len(equal):
+    """(equal tokens, start, end) of the stretch with most equal tokens that is three quarters equal."""
+    if not equal.any():
         return 0, 0, 0
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    low = np.minimum.accumulate(sums)
-    end = int((sums[1:] - low[:-1]).argmax()) + 1
-    start = int(np.flatnonzero(sums[:end] == low[end - 1])[-1])
-    return int(equal[start:end].sum()), start, end
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # a stretch is dense enough when its sum is not negative: for each end, the earliest start whose sum is not larger
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int((count - count[starts]).argmax())
+    inside = np.flatnonzero(equal[starts[end] : end]) + starts[end]
+    return len(inside), int(inside[0]), int(inside[-1]) + 1
 
 
 def needed(n_tokens: int, min_match: int = MIN_MATCH, short_share: float = SHORT_SHARE) -> int:

@@ -65,3 +65,45 @@ def test_odd_rows(spark, odd_docs, empty_docs):
     assert {r["doc_id"] for r in got} <= {8}
     assert d.contaminated(empty_docs, benchmark).count() == 0
     assert d.contaminated(odd_docs, benchmark.limit(0)).count() == 0
+
+
+def ruled(equal):
+    """Most equal tokens of any stretch that is three quarters equal, all stretches tried."""
+    n = len(equal)
+    sums = [sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 4 * sum(equal[a:b]) >= 3 * (b - a)]
+    return max(sums, default=0)
+
+
+def test_best_stretch_equals_all_stretches():
+    rng = random.Random(7)
+    for _ in range(300):
+        share = rng.choice([0.5, 0.7, 0.75, 0.8, 0.9])
+        equal = [rng.random() < share for _ in range(rng.randrange(0, 40))]
+        n, a, b = d.best_stretch(np.array(equal, bool))
+        assert n == ruled(equal) == sum(equal[a:b]) and 4 * n >= 3 * (b - a)
+    assert d.best_stretch(np.array([1, 1, 1, 0] * 14 + [1, 1, 1], bool)) == (45, 0, 59)
+    assert d.best_stretch(np.array([int(c == "E") for c in "EEEEEEMEEEMEEEME"], bool)) == (13, 0, 16)
+
+
+def test_passages_with_a_quarter_replaced(spark, make_docs):
+    rng = random.Random(8)
+    vocabulary = [f"t{k}" for k in range(4000)]
+    items, docs, expected = [], [], {}
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(16, 60))]
+        items.append((k, " ".join(words)))
+        # a run of nine that the masks hit, then one token in five to one in four replaced
+        equal = [i < 9 or (i % 4 if k % 2 else i % 5) != 0 for i in range(len(words))]
+        passage = [w if e else "changed" for w, e in zip(words, equal)]
+        docs.append((k, " ".join([rng.choice(vocabulary) for _ in range(20)] + passage + ["tail"] * 20)))
+        if (n := ruled(equal)) >= d.needed(len(words)):
+            expected[k, k] = n
+    # every fourth token replaced from the start on, and runs of 6, 3, 3 and 1
+    for k, kept in ((100, "EEEM" * 14 + "EEE"), (101, "EEEEEEMEEEMEEEME")):
+        words = [f"u{k}x{i}" for i in range(len(kept))]
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join(w if c == "E" else "changed" for w, c in zip(words, kept))))
+        expected[k, k] = kept.count("E")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in d.contaminated(make_docs(docs), benchmark).collect()}
+    assert len(expected) > 50 and got == expected
