@@ -1,11 +1,13 @@
-"""Mixing with soft memberships: posteriors of domains, then rates by projected gradient.
+"""Mixing with soft memberships: posteriors of domains, then rates by projected gradient and Newton steps.
 
 A hashed naive Bayes model from a labelled table gives every document a posterior over domains. The
 expected tokens of a domain are the sum of rate * tokens * posterior; nonnegative rates are fitted
 so that these totals meet the targets (least squares, each domain's error relative to its size, with
 a small pull to rate 1 that makes the solution unique). Each round is one aggregate over the table
 of posteriors; a document's rate follows from its posterior and the residuals of the rounds before,
-so no state is carried between rounds. Everything is DataFrame expressions.
+so no state is carried between rounds. Where the rounds are slow, as with soft memberships, Newton
+steps on one number a domain solve the same problem exactly. Targets that no rates can meet are met as
+nearly as possible, with a warning of the shares reached. Everything is DataFrame expressions.
 
 Edge cases: null and empty texts have no tokens, get the domains' prior as posterior, and a rate like
 any other document; rows that repeat an id (null included) count as one document with all their
@@ -17,8 +19,10 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +34,12 @@ BUCKETS = 4096
 MAX_TRAIN_DOCS = 10_000
 #: A document counts as at most this many words of evidence, so that memberships stay soft.
 EVIDENCE_WORDS = 16
-RIDGE = 1e-3
+#: The pull to rate 1, small enough not to keep the totals from the targets.
+RIDGE = 1e-6
+#: Plain rounds go on while each leaves at most this part of the largest miss of the one before.
+QUICK = 0.7
+#: Shares further than this from their targets are warned of.
+MISS = 1e-3
 
 
 def word_buckets(docs: DataFrame, buckets: int) -> DataFrame:
@@ -117,30 +126,82 @@ def rate_column(history: list[list[float]], step: float, ridge: float, k: int) -
     return rate
 
 
+def dual_column(dual: list[float]) -> F.Column:
+    """A document's rate at the exact solution, from one number a domain."""
+    return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [F.col(f"p{i}") * F.lit(x) for i, x in enumerate(dual)]) + 1)
+
+
+def newton(table: DataFrame, weights: list[float], scale: list[float], total: float, ridge: float) -> tuple[list[float], list[float]]:
+    """The exact solution of the same problem: one number a domain, and the domain shares its rates give.
+
+    At the solution a rate is max(0, 1 + posterior . dual); the dual is the minimum of a convex function of as
+    many numbers as there are domains, found by Newton steps. Each is one aggregate; it ends when the gradient
+    vanishes or no step lowers the function any more, not after a number of rounds.
+    """
+    k = len(weights)
+    w, s = np.array(weights), np.array(scale)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(dual: np.ndarray):
+        rate = table.select("*", dual_column(dual.tolist()).alias("rate"))
+        mass = F.col("n_tokens") / F.lit(total)
+        row = rate.agg(
+            F.sum(F.col("rate") * F.col("rate") * mass),
+            *[F.sum(F.col("rate") * mass * F.col(f"p{i}")) for i in range(k)],
+            *[F.sum(F.when(F.col("rate") > 0, mass * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i, j in pairs],
+        ).first()
+        shares = np.array(row[1 : k + 1])
+        gram = np.diag(ridge * s)
+        for (i, j), x in zip(pairs, row[k + 1 :]):
+            gram[i, j] += x
+            gram[j, i] += x * (i != j)
+        value = row[0] / 2 - w @ dual + ridge / 2 * (s * dual) @ dual
+        return value, shares, shares - w + ridge * s * dual, gram
+
+    dual = np.zeros(k)
+    value, shares, slope, gram = at(dual)
+    while np.abs(slope).max() > 1e-9:
+        move = -np.linalg.solve(gram, slope)
+        size = 1.0
+        while size > 1e-9:
+            tried = at(dual + size * move)
+            if tried[0] <= value + 1e-4 * size * (slope @ move) or np.abs(tried[2]).max() < np.abs(slope).max() / 2:
+                break
+            size /= 2
+        else:
+            break  # as near as floating point gets
+        dual = dual + size * move
+        value, shares, slope, gram = tried
+    return dual.tolist(), shares.tolist()
+
+
 def fit_rates(
     table: DataFrame, weights: list[float], rounds: int = 24, ridge: float = RIDGE, tolerance: float = 1e-4
-) -> tuple[list[list[float]], list[float]]:
-    """The scaled residuals of every round, and the domain shares that the last rates give."""
+) -> tuple[F.Column, list[float]]:
+    """The rate of a document, and the domain shares that these rates give.
+
+    Plain rounds as long as they are quick; what they leave is solved by Newton steps.
+    """
     k, history = len(weights), []
     start = table.agg(F.sum("n_tokens"), *[F.sum(F.col(f"p{i}") * F.col("n_tokens")) for i in range(k)]).first()
     total = float(start[0] or 0)
     shares = [float(x or 0) / total for x in start[1:]] if total else [0.0] * k
     scale = [max(s, 1e-6) for s in shares]
+    step, miss = 1 / (1 + ridge), math.inf
     for _ in range(rounds if total else 0):
         error = [a - b for a, b in zip(shares, weights)]
-        if max(map(abs, error)) < tolerance:
+        last, miss = miss, max(map(abs, error))
+        if miss < tolerance or miss > QUICK * last:
             break
         history.append([e / s for e, s in zip(error, scale)])
-        rate = rate_column(history, 1 / (1 + ridge), ridge, k)
-        sums = table.select("*", rate.alias("rate")).agg(
+        sums = table.select("*", rate_column(history, step, ridge, k).alias("rate")).agg(
             *[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")) for i in range(k)]
         ).first()
-        new = [float(x or 0) / total for x in sums]
-        if max(abs(a - b) for a, b in zip(new, shares)) < tolerance / 100:
-            shares = new
-            break
-        shares = new
-    return history, shares
+        shares = [float(x or 0) / total for x in sums]
+    if not total or max(abs(a - b) for a, b in zip(shares, weights)) < tolerance:
+        return rate_column(history, step, ridge, k), shares
+    dual, shares = newton(table, weights, scale, total, ridge)
+    return dual_column(dual), shares
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 24, ridge: float = RIDGE) -> DataFrame:
@@ -154,9 +215,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
     k = range(len(domains))
     table = stage_table(posteriors(docs, labelled, domains), "posteriors")
     has_labels = table.where(reduce(lambda a, b: a + b, [F.col(f"p{i}") for i in k]) > 0).limit(1).count() > 0
-    history, _ = fit_rates(table, [targets[d] / whole for d in domains], rounds, ridge) if has_labels else ([], [])
+    weights = [targets[d] / whole for d in domains]
+    rate, shares = fit_rates(table, weights, rounds, ridge) if has_labels else (F.lit(1.0), weights)
+    missed = {d: (round(s, 6), round(w, 6)) for d, s, w in zip(domains, shares, weights) if abs(s - w) > MISS}
+    if missed:
+        warnings.warn(f"no rates give the wanted shares; domain: (reached, wanted) {missed}", stacklevel=2)
     best = F.greatest(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(domains[i]).alias("d")) for i in k])["d"] if len(domains) > 1 else F.lit(domains[0])
-    rated = table.select("*", rate_column(history, 1 / (1 + ridge), ridge, len(domains)).alias("rate"))
+    rated = table.select("*", rate.alias("rate"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / F.lit(1e6)
     return rated.select(
         "doc_id",

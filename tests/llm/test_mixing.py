@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from roundtide.llm import mixing
 
 
@@ -59,3 +60,23 @@ def test_odd_rows(spark, odd_docs, empty_docs, odd_rows):
         assert all(r["rate"] >= 0 for r in got)
     assert all(r["rate"] == 1 for r in got)
     assert mixing.mix(empty_docs, labelled, {"a": 1.0}).count() == 0
+
+
+def test_soft_memberships_meet_their_targets(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([6, 3, 0.6], 2000)
+    n = rng.integers(1, 200, 2000)
+    table = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(n, p)], "n_tokens long, p0 double, p1 double, p2 double")
+    for weights in ([0.73, 0.25, 0.02], [0.5, 0.3, 0.2]):
+        rate, shares = mixing.fit_rates(table, weights)
+        r = np.array([x[0] for x in table.select(rate).collect()])
+        assert (r >= 0).all()
+        reached = (r * n) @ p / n.sum()
+        assert np.abs(reached - weights).max() < 1e-3 and np.allclose(reached, shares)
+
+
+def test_targets_out_of_reach_are_told(spark, make_docs):
+    rows, labels = corpus(random.Random(6), 60)
+    labelled = spark.createDataFrame(labels, "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="unseen"):
+        mixing.mix(make_docs(rows), labelled, {"a": 0.5, "b": 0.3, "unseen": 0.2})
