@@ -1,8 +1,8 @@
 """Secret scan with a worklist of decoded layers.
 
-The text is the first layer. Each layer is scanned for secrets and for encoded stretches: URL escapes,
-Unicode escapes, and base64, whose bytes may be text or a zlib or gzip stream. A stretch that decodes
-to text becomes a new layer with a map from its characters to the text's characters, and is scanned
+The text is the first layer. Each layer is scanned for secrets and for what is encoded: URL escapes and
+Unicode escapes, which are decoded in place in the whole layer (what is no character stays as it is),
+and base64, whose bytes may be text or a zlib or gzip stream. What decodes to text becomes a new layer with a map from its characters to the text's characters, and is scanned
 in turn, until no new layer appears. A stretch of the text that gives the same layer again (a cycle)
 is not followed twice. Findings in layers are reported where their encoded form stands in the text.
 
@@ -38,9 +38,9 @@ KINDS = ("assign", "access", "hex")
 #: Hexadecimal runs are searched as at least 24 characters from a run's start, which is the same set.
 HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORD_PARTS = ("passw", "secret", "token", "apikey", "api_key")
-URL_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
+URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-STRETCH = re.compile(r"\S+")
+UNICODE_ESCAPES = re.compile(rf"(?:{UNICODE_ESCAPE.pattern})+")
 BASE64_STRETCH = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER_BYTES = 16 << 20
 
@@ -94,36 +94,47 @@ def _chars(raw: bytes, spots: list[tuple[int, int]]) -> tuple[str, list[int], li
     return text, starts, ends
 
 
-def unwrap_escapes(layer: Layer, m: re.Match, escape: re.Pattern, name: str) -> Layer | None:
-    raw, spots, at = bytearray(), [], m.start()
-    pieces = []
-    for e in escape.finditer(layer.text, m.start(), m.end()):
-        pieces += [(i, i + 1, layer.text[i]) for i in range(at, e.start())]
-        code = e.group()
-        value = bytes([int(code[1:], 16)]) if name == "url" else chr(int(code[2:], 16))
-        pieces.append((e.start(), e.end(), value))
-        at = e.end()
-    pieces += [(i, i + 1, layer.text[i]) for i in range(at, m.end())]
-    for start, end, value in pieces:
-        if isinstance(value, str):
-            value = value.encode("utf-16", "surrogatepass")[2:] if name == "unicode" else value.encode("utf-8", "surrogatepass")
-        raw += value
-        spots += [layer.place(start, end)] * len(value)
-    if name == "unicode":  # escapes of surrogate pairs join here
-        try:
-            text = raw.decode("utf-16-le")
-        except UnicodeDecodeError:
-            return None
-        starts, ends, at = [], [], 0
-        for c in text:
-            n = 4 if c > "￿" else 2
-            starts.append(spots[at][0])
-            ends.append(spots[at + n - 1][1])
-            at += n
-        got = text, starts, ends
-    else:
-        got = _chars(bytes(raw), spots)
-    return None if got is None else Layer(got[0], (*layer.path, name), got[1], got[2])
+def _unescape(run: str, name: str):
+    """(length in the run, text or None where it stays as it is) of a run of escapes, in order."""
+    if name == "url":
+        for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+            bad = "\udc80" <= c <= "\udcff"  # a byte that is not UTF-8
+            yield 3 if bad else 3 * len(c.encode("utf-8")), None if bad else c
+        return
+    codes = [(len(e), int(e[2:], 16)) for e in UNICODE_ESCAPE.findall(run)]
+    at = 0
+    while at < len(codes):
+        n, code = codes[at]
+        at += 1
+        if 0xD800 <= code < 0xDC00 and at < len(codes) and 0xDC00 <= codes[at][1] < 0xE000:
+            n, code = n + codes[at][0], 0x10000 + (code - 0xD800) * 0x400 + codes[at][1] - 0xDC00
+            at += 1
+        yield n, None if 0xD800 <= code < 0xE000 else chr(code)
+
+
+def unwrap_escapes(layer: Layer, escapes: re.Pattern, name: str) -> Layer | None:
+    """The whole layer with its escapes decoded in place; what is no character stays as it is."""
+    text, size = layer.text, len(layer.text)
+    from_ = layer.starts if layer.starts is not None else range(size)
+    to = layer.ends if layer.ends is not None else range(1, size + 1)
+    parts, starts, ends, at, changed = [], [], [], 0, False
+    for m in escapes.finditer(text):
+        i = m.start()
+        for n, c in _unescape(m.group(), name):
+            if c is not None:
+                parts += (text[at:i], c)
+                starts += from_[at:i]
+                ends += to[at:i]
+                starts.append(min(from_[i : i + n]))
+                ends.append(max(to[i : i + n]))
+                at, changed = i + n, True
+            i += n
+    if not changed:
+        return None
+    parts.append(text[at:])
+    starts += from_[at:]
+    ends += to[at:]
+    return Layer("".join(parts), (*layer.path, name), starts, ends)
 
 
 def inflate(raw: bytes, limit: int) -> bytes | None:
@@ -172,11 +183,9 @@ def _is_utf8(raw: bytes) -> bool:
 def unwrapped(layer: Layer, limit: int):
     """Layers one step below, and (start, end) places of streams too large to hold."""
     text = layer.text
-    for escape, name in ((URL_ESCAPE, "url"), (UNICODE_ESCAPE, "unicode")):
-        if escape.search(text):
-            for m in STRETCH.finditer(text):
-                if escape.search(text, m.start(), m.end()):
-                    yield unwrap_escapes(layer, m, escape, name)
+    for escapes, name in ((URL_ESCAPES, "url"), (UNICODE_ESCAPES, "unicode")):
+        if escapes.search(text):
+            yield unwrap_escapes(layer, escapes, name)
     for m in BASE64_STRETCH.finditer(text):
         try:
             yield unwrap_base64(layer, m, limit)
@@ -202,7 +211,7 @@ def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list[tuple[
         for below in unwrapped(layer, max_layer_bytes):
             if isinstance(below, tuple):
                 added.add(("oversize", *below))
-            elif below is not None and below.text and readable(below.text):
+            elif below is not None and below.text and (below.path[-1] in ("url", "unicode") or readable(below.text)):
                 a, b = below.place(0, len(below.text))
                 mark = (a, b, hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 if mark not in seen:

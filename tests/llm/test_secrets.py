@@ -84,3 +84,17 @@ def test_query_on_odd_rows(odd_docs, empty_docs, odd_rows):
         by_id.setdefault(i, set()).add(hashlib.sha256(s.joined(plain_base(t or "")).encode()).hexdigest())
     assert all(r["base_sha256"] in by_id[r["doc_id"]] for r in got)
     assert s.scan_documents(empty_docs).count() == 0
+
+
+def test_escapes_are_decoded_in_place_and_bad_ones_stay():
+    cases = {
+        "{\\u0022password\\u0022: \\u0022hunter2222\\u0022}": ("assign@unicode", 7, 39),
+        "password %3D hunter2222": ("assign@url", 0, 23),
+        "?q=caf%E9&token%3Dabcdef123456": ("assign@url", 10, 30),
+        "\\ud83d \\u0074oken=abcdef123456": ("assign@unicode", 7, 30),
+        "%ff%fe%74oken%3Dabcdef123456%c3%a9%c3": ("assign@url", 6, 28),
+        "%00%01%02%03%04%05 token %3D abcdef123456": ("assign@url", 19, 41),
+    }
+    for text, span in cases.items():
+        assert span in s.scan(text)[1], (text, s.scan(text)[1])
+    assert s.scan("\\ud83d\\ude00 %f0%9f%98%80 %ff" * 2000)[1] == []
