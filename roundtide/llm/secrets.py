@@ -2,7 +2,8 @@
 
 The text is the first layer. Each layer is scanned for secrets and for what is encoded: URL escapes and
 Unicode escapes, which are decoded in place in the whole layer (what is no character stays as it is),
-and base64, whose bytes may be text or a zlib or gzip stream. What decodes to text becomes a new layer with a map from its characters to the text's characters, and is scanned
+and base64, also over line ends and after a path or name, whose bytes may be text or hold zlib or gzip
+streams. What decodes to text becomes a new layer with a map from its characters to the text's characters, and is scanned
 in turn, until no new layer appears. A stretch of the text that gives the same layer again (a cycle)
 is not followed twice. Findings in layers are reported where their encoded form stands in the text.
 
@@ -16,7 +17,6 @@ itself; very long texts take time in proportion to their length; other columns a
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -42,6 +42,12 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 UNICODE_ESCAPES = re.compile(rf"(?:{UNICODE_ESCAPE.pattern})+")
 BASE64_STRETCH = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A line end inside base64, also one that is escaped as in JSON.
+BREAK = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*")
+WRAPPED_STRETCH = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+#: No pattern, and no encoded form of one, is met by less text than this.
+READABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{12}")
+STREAM = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][^\x20-\x3f\x60-\x7f\xa0-\xbf\xe0-\xff]", re.DOTALL)
 MAX_LAYER_BYTES = 16 << 20
 
 
@@ -71,29 +77,6 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def readable(text: str) -> bool:
-    """At least four characters, nearly all of them printable or white space."""
-    if len(text) < 4:
-        return False
-    odd = sum(not (c.isprintable() or c in "\t\n\r\f\v") for c in text)
-    return odd * 20 <= len(text)
-
-
-def _chars(raw: bytes, spots: list[tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
-    """UTF-8 text of the bytes with the place of every character, or None."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    starts, ends, at = [], [], 0
-    for c in text:
-        n = 1 if c < "\x80" else len(c.encode("utf-8"))
-        starts.append(spots[at][0])
-        ends.append(spots[at + n - 1][1])
-        at += n
-    return text, starts, ends
-
-
 def _unescape(run: str, name: str):
     """(length in the run, text or None where it stays as it is) of a run of escapes, in order."""
     if name == "url":
@@ -137,47 +120,88 @@ def unwrap_escapes(layer: Layer, escapes: re.Pattern, name: str) -> Layer | None
     return Layer("".join(parts), (*layer.path, name), starts, ends)
 
 
-def inflate(raw: bytes, limit: int) -> bytes | None:
-    """The content of a zlib or gzip stream; None if it is none; OverflowError beyond the limit."""
-    if not (raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    stream = zlib.decompressobj(47)
-    try:
-        out = stream.decompress(raw, limit + 1)
-    except zlib.error:
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out if stream.eof else None
-
-
-def unwrap_base64(layer: Layer, m: re.Match, limit: int) -> Layer | None:
-    body = m.group().rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    packed = inflate(raw, limit)
-    if packed is not None:
+def inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes, int] | None:
+    """The content of a zlib stream or of all members of a gzip one, and its length in ``raw``; None if it is
+    none; OverflowError beyond the limit."""
+    out, at = b"", 0
+    while at == 0 or raw[at : at + 2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(47)
         try:
-            text = packed.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        start, end = layer.place(m.start(), m.end())
-        return Layer(text, (*layer.path, "base64", "inflate"), [start] * len(text), [end] * len(text))
-    spots = [layer.place(i, i + 2) for k in range(len(raw)) for i in (m.start() + k // 3 * 4 + k % 3,)] if raw.isascii() or _is_utf8(raw) else None
-    got = spots and _chars(raw, spots)
-    return Layer(got[0], (*layer.path, "base64"), got[1], got[2]) if got else None
-
-
-def _is_utf8(raw: bytes) -> bool:
-    try:
-        raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return True
+            part = stream.decompress(raw[at:], limit + 1 - len(out))
+        except zlib.error:
+            break
+        out += part
+        if len(out) > limit:
+            raise OverflowError
+        if not stream.eof:
+            break
+        at = len(raw) - len(stream.unused_data)
+        if raw[0] != 0x1F:
+            break
+    return (out, at) if at else None
+
+
+def streams(raw: bytes, limit: int):
+    """(start, end, content) of the zlib and gzip streams in the bytes; the content is None beyond the limit."""
+    at, view = 0, memoryview(raw)
+    while m := STREAM.search(raw, at):
+        at = m.start()
+        try:
+            got = inflate(view[at:], limit) if raw[at] == 0x1F or (raw[at] << 8 | raw[at + 1]) % 31 == 0 else None
+        except OverflowError:
+            yield at, len(raw), None
+            return
+        if got:
+            yield at, at + got[1], got[0]
+        at += got[1] if got else 1
+
+
+def unwrap_base64(layer: Layer, m: re.Match, limit: int):
+    """Layers of a run of base64, read from each of four characters, as a prefix may belong to the run.
+
+    Bytes that are not UTF-8 stay in the layer as surrogates, which no pattern takes.
+    """
+    body, spots = m.group(), None
+    if not body.isalnum():
+        spots = [m.start() + i for i in _joined(body)]
+        body = BREAK.sub("", body)
+    body = body.rstrip("=").replace("-", "+").replace("_", "/")
+    place = (lambda a, b: (m.start() + a, m.start() + b)) if spots is None else (lambda a, b: (spots[a], spots[b - 1] + 1))
+    for phase in range(4):
+        size = len(body) - phase
+        if size % 4 == 1:
+            size -= 1
+        raw = binascii.a2b_base64(body[phase : phase + size] + "=" * (-size % 4))
+        for a, b, packed in streams(raw, limit):
+            spot = layer.place(*place(phase + a // 3 * 4 + a % 3, min(size, -(-b * 4 // 3)) + phase))
+            if a == 0 and phase == 0 and b == len(raw):
+                spot = layer.place(m.start(), m.end())
+            if packed is None:
+                yield spot
+                continue
+            text = packed.decode("utf-8", "surrogateescape")
+            yield Layer(text, (*layer.path, "base64", "inflate"), [spot[0]] * len(text), [spot[1]] * len(text))
+        text = raw.decode("utf-8", "surrogateescape")
+        if not READABLE.search(text):
+            continue
+        starts, ends, at = [], [], 0
+        for c in text:
+            n = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
+            first, last = phase + at // 3 * 4 + at % 3, phase + (at + n - 1) // 3 * 4 + (at + n - 1) % 3
+            start, end = layer.place(*place(first, last + 2))
+            starts.append(start)
+            ends.append(end)
+            at += n
+        yield Layer(text, (*layer.path, "base64"), starts, ends)
+
+
+def _joined(body: str):
+    """Positions of the characters that are left without line ends."""
+    at = 0
+    for m in BREAK.finditer(body):
+        yield from range(at, m.start())
+        at = m.end()
+    yield from range(at, len(body))
 
 
 def unwrapped(layer: Layer, limit: int):
@@ -186,11 +210,10 @@ def unwrapped(layer: Layer, limit: int):
     for escapes, name in ((URL_ESCAPES, "url"), (UNICODE_ESCAPES, "unicode")):
         if escapes.search(text):
             yield unwrap_escapes(layer, escapes, name)
-    for m in BASE64_STRETCH.finditer(text):
-        try:
-            yield unwrap_base64(layer, m, limit)
-        except OverflowError:
-            yield layer.place(m.start(), m.end())
+    for stretch in (BASE64_STRETCH, WRAPPED_STRETCH):
+        for m in stretch.finditer(text):
+            if m.end() - m.start() >= 16:
+                yield from unwrap_base64(layer, m, limit)
 
 
 def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -211,7 +234,7 @@ def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list[tuple[
         for below in unwrapped(layer, max_layer_bytes):
             if isinstance(below, tuple):
                 added.add(("oversize", *below))
-            elif below is not None and below.text and (below.path[-1] in ("url", "unicode") or readable(below.text)):
+            elif below is not None and READABLE.search(below.text):
                 a, b = below.place(0, len(below.text))
                 mark = (a, b, hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 if mark not in seen:

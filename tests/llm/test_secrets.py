@@ -98,3 +98,22 @@ def test_escapes_are_decoded_in_place_and_bad_ones_stay():
     for text, span in cases.items():
         assert span in s.scan(text)[1], (text, s.scan(text)[1])
     assert s.scan("\\ud83d\\ude00 %f0%9f%98%80 %ff" * 2000)[1] == []
+
+
+def test_base64_over_line_ends_after_prefixes_and_in_members():
+    filler = "".join(random.Random(3).choice("abcdefghij klmnop") for _ in range(400))
+    members = gzip.compress(b"first member ") + gzip.compress(SECRET.encode())
+    cases = {
+        "wrapped text": (base64.encodebytes((filler[:50] + SECRET + filler).encode()).decode(), "assign@base64"),
+        "wrapped stream": (base64.encodebytes(zlib.compress((filler + SECRET).encode())).decode().replace("\n", "\r\n"), "assign@base64>inflate"),
+        "path": ("/v1/" + b64(SECRET), "assign@base64"),
+        "name": ("key-" + b64(SECRET), "assign@base64"),
+        "odd name": ("a_b-" + "c" + "-" + b64(SECRET), "assign@base64"),
+        "stream after a name": ("blob_" + b64(zlib.compress(SECRET.encode())), "assign@base64>inflate"),
+        "members": (b64(members), "assign@base64>inflate"),
+        "a byte that is not text": (b64(b"caf\xe9 " + SECRET.encode()), "assign@base64"),
+        "such a byte in a stream": (b64(zlib.compress(b"caf\xe9 " + SECRET.encode())), "assign@base64>inflate"),
+    }
+    for name, (encoded, kind) in cases.items():
+        found = [(a, b) for k, a, b in s.scan(f"see: {encoded} end")[1] if k == kind]
+        assert found and all(5 <= a < b <= 5 + len(encoded) for a, b in found), (name, s.scan(f"see: {encoded} end")[1])
