@@ -2,7 +2,9 @@
 
 Pass 1 cuts the page into blocks and labels each by length, link density and density of stop words:
 good, bad, near-good, or short. What stands in page furniture (menus, footers, sidebars, adverts,
-notices, forms, reader comments, by element, role, class or id) is bad whatever its words. Pass 2
+notices, forms, reader comments, by element, role, class or id) is bad whatever its words, unless a
+form, header or class name turns out to wrap an article or most of the page's text. On pages that hardly
+use the listed stop words, length and link density decide. Pass 2
 gives the undecided blocks the label of their nearest decided neighbours on both sides; where these
 disagree, the nearer one counts, and the block's own container where both are as near.
 
@@ -38,6 +40,10 @@ BLOCK = {
 }
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "head"}
 CONTENT = {"article", "main"}
+#: Elements that may also wrap a whole page or the title of an article.
+WRAPPERS = {"header", "form"}
+#: Names that stay furniture whatever they hold.
+FOREIGN_NAMES = {"comment", "comments", "disqus", "related"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 FURNITURE_NAMES = {
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
@@ -60,23 +66,43 @@ GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 
 class Block:
-    __slots__ = ("text", "linked", "furniture", "content")
+    __slots__ = ("text", "linked", "furniture", "content", "within")
 
-    def __init__(self, text: str, linked: int, furniture: bool, content: bool):
+    def __init__(self, text: str, linked: int, furniture: bool, content: bool, within: int = 0):
         self.text, self.linked, self.furniture, self.content = text, linked, furniture, content
+        self.within = within
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
-        return True
+def _furniture(name: str, attributes: str) -> str:
+    """"" for none, "firm", or "loose" for what may turn out to be a wrapper of the main text."""
+    kind = "" if name not in FURNITURE else "loose" if name in WRAPPERS else "firm"
     for key, a, b, c in ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z]+", (a or b or c).lower())
+        value = (a or b or c).lower()
+        words = re.split(r"[^a-z]+", value)
         if key.lower() == "role":
             if words[0] in FURNITURE_ROLES:
-                return True
+                return "firm"
+        elif not FOREIGN_NAMES.isdisjoint(words):
+            return "firm"
         elif not FURNITURE_NAMES.isdisjoint(words):
-            return True
-    return False
+            kind = kind or "loose"
+    return kind
+
+
+def _lift(blocks: list[Block], parents: list[int], long: int = 200) -> None:
+    """A loose container that holds most of the page's text outside links and firm furniture is a wrapper."""
+    free = [0 if b.furniture else len(b.text) - min(b.linked, len(b.text)) for b in blocks]
+    held = [0] * len(parents)
+    for b, n in zip(blocks, free):
+        held[b.within] += n
+    for i in range(len(parents) - 1, 0, -1):
+        if parents[i]:
+            held[parents[i]] += held[i]
+    whole, wrapper = sum(free), [True]
+    for i in range(1, len(parents)):
+        wrapper.append(wrapper[parents[i]] and held[i] >= long and 2 * held[i] > whole)
+    for b in blocks:
+        b.furniture = b.furniture or not wrapper[b.within]
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -84,14 +110,15 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, content
+    stack: list[tuple[str, bool, bool, int]] = []  # name, firm furniture, content, loose furniture around
     depth = {"furniture": 0, "content": 0, "a": 0}
+    parents, within = [0], 0  # loose furniture: what is around each, and the innermost here
 
     def flush():
         text = SPACE.sub(" ", html_module.unescape("".join(parts))).strip()
         if text:
             n = len(SPACE.sub(" ", html_module.unescape("".join(linked))).strip())
-            blocks.append(Block(text, n, depth["furniture"] > 0, depth["content"] > 0))
+            blocks.append(Block(text, n, depth["furniture"] > 0, depth["content"] > 0, within))
         parts.clear()
         linked.clear()
 
@@ -102,18 +129,27 @@ def blocks_of(page: str) -> list[Block]:
                 linked.append(piece)
 
     def close(upto: int):
+        nonlocal within
         while len(stack) > upto:
-            _, furniture, content = stack.pop()
+            _, furniture, content, within = stack.pop()
             depth["furniture"] -= furniture
             depth["content"] -= content
 
     def open_(name: str, attributes: str):
-        # an element marked as content is never furniture by its name alone
+        # an element marked as content is never furniture by its name alone, nor by what loosely wraps it
+        nonlocal within
         content = name in CONTENT
-        furniture = not content and name not in ("html", "body") and _is_furniture(name, attributes)
-        stack.append((name, furniture, content))
-        depth["furniture"] += furniture
+        kind = "" if content or name in ("html", "body") else _furniture(name, attributes)
+        if name == "header" and depth["content"] and kind == "loose":
+            kind = ""
+        stack.append((name, kind == "firm", content, within))
+        depth["furniture"] += kind == "firm"
         depth["content"] += content
+        if content:
+            within = 0
+        elif kind == "loose":
+            parents.append(within)
+            within = len(parents) - 1
 
     at, size = 0, len(page)
     while at < size:
@@ -155,10 +191,17 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK or name == "button":
             open_(name, m.group(3))
     flush()
+    _lift(blocks, parents)
     return blocks
 
 
-def first_label(b: Block, short: int = 70, long: int = 200, stop_low: float = 0.15, stop_high: float = 0.25, links: float = 0.3) -> str:
+def known_language(blocks: list[Block]) -> bool:
+    """Whether the longer texts of the page use the listed stop words at all."""
+    words = [w for b in blocks if not b.furniture and len(b.text) >= 70 for w in WORD.findall(b.text.lower())]
+    return not words or sum(w in STOP_WORDS for w in words) >= 0.1 * len(words)
+
+
+def first_label(b: Block, known: bool = True, short: int = 70, long: int = 200, stop_low: float = 0.15, stop_high: float = 0.25, links: float = 0.3) -> str:
     """Pass 1, without context."""
     if b.furniture:
         return BAD
@@ -171,6 +214,8 @@ def first_label(b: Block, short: int = 70, long: int = 200, stop_low: float = 0.
     stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if len(b.text) < short:
         return SHORT
+    if not known:  # length and link density decide
+        return GOOD if len(b.text) > long or b.content else NEAR
     if stops >= stop_high:
         return GOOD if len(b.text) > long or b.content else NEAR
     if stops >= stop_low:
@@ -183,7 +228,8 @@ def final_labels(blocks: list[Block]) -> list[bool]:
 
     Furniture inside a content element (a form in an article) says nothing about what stands around it.
     """
-    first = [first_label(b) for b in blocks]
+    known = known_language(blocks)
+    first = [first_label(b, known) for b in blocks]
     n = len(blocks)
     before: list[tuple[int, str] | None] = [None] * n
     after: list[tuple[int, str] | None] = [None] * n

@@ -38,3 +38,20 @@ def test_every_page_and_odd_rows(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got if r["page_id"] in (None, 2)} == {""}
     assert a.extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_of_the_main_text_and_other_languages():
+    body = "This is the text of the page and it is about the things that were seen by the people who live in it. " * 3
+    finnish = "Kaupungin vanhin kirjasto avattiin uudelleen keskiviikkona pitkien korjausten jälkeen, kertoo johtaja Virtanen. " * 3
+    text = body.strip()
+    menu = "<nav><a href=x>Home</a></nav>"
+    for page in (
+        f'{menu}<div class="layout has-sidebar"><article><p>{body}</p></article></div>',
+        f'{menu}<div class="elementor-widget"><p>{body}</p></div>',
+        f'<form id="aspnetForm">{menu}<p>{body}</p></form>',
+    ):
+        assert a.main_text(page) == text
+    assert a.main_text(f"<article><header><h1>A title</h1></header><p>{body}</p></article>") == f"A title\n{text}"
+    assert a.main_text(f"{menu}<div><p>{finnish}</p></div>") == finnish.strip()
+    comments = f'<div class="comments"><article><p>{body}</p><p>{body}</p></article></div>'
+    assert a.main_text(f"<main><p>{body}</p></main>{comments}") == text
