@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundtide.llm import article, decontaminate, linededup, media, mixing, neardup, pii, secrets, toxicity, warc
+from roundtide.llm import article, decontaminate, linededup, media, mixing, neardup, pii, secrets, spelling, toxicity, warc
 from roundtide.llm.common import work_path
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -134,6 +134,56 @@ SELECT page_id, payload_bytes, {BASE32_SQL} AS payload_digest,
 FROM p JOIN g USING (h)
 """
 
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.typed_words(table(spark, sf_dir, "documents"), min_length=7, min_count=2, every=31)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: crc32 by its table of 256 entries, itself made by the polynomial's eight steps a byte.
+OP11_SQL = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY byte) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all({LOWER_AZ.format(text="coalesce(text, '')")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents
+  ) WHERE length(run) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 1 + 2 * i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+  FROM bytes, crc
+), typed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), less AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS u, b.word AS v FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words)
+  UNION
+  SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)
+), near AS (
+  SELECT u AS word, count(*) AS n_near, min({{'k': -w.n, 'w': v}}) AS best FROM pairs JOIN words w ON w.word = v GROUP BY u
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= 10 * n THEN best.w END AS form,
+         CASE WHEN -best.k >= 10 * n THEN -best.k END AS form_n
+  FROM words LEFT JOIN near USING (word)
+), chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL
+  SELECT chain.word, chain.next, formed.form FROM chain JOIN formed ON formed.word = chain.next
+)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN chain ON chain.word = formed.word AND chain.next IS NULL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_noisy_or": op1_toxicity_noisy_or,
     "op2_odd_sketch_neardup": op2_odd_sketch_neardup,
@@ -145,9 +195,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_bloom_line_dedup": op9_bloom_line_dedup,
     "op10_warc_archives": op10_warc_archives,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op2_odd_sketch_neardup": OP2_SQL,
     "op9_bloom_line_dedup": OP9_SQL,
     "op10_warc_archives": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
