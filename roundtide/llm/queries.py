@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundtide.llm import article, decontaminate, linededup, media, mixing, neardup, pii, secrets, spelling, toxicity, warc
+from roundtide.llm import alignment, article, decontaminate, linededup, media, mixing, neardup, ngramjoin, pii, secrets, spelling, toxicity, warc
 from roundtide.llm.common import work_path
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -184,6 +184,51 @@ runs AS (
 SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN chain ON chain.word = formed.word AND chain.next IS NULL
 """
 
+#: Where the vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_documents(docs, f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def components_sql(width: int, percent: int, chosen: str) -> str:
+    """Documents linked by the Jaccard similarity of their word shingles, by a self-join on shingles."""
+    shingles = " || ' ' || ".join(f"ws[i + {k}]" for k in range(width))
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS_SQL.format(text=LOWER_AZ.format(text="coalesce(text, '')"))} AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {width - 2}), lambda i: {shingles}) END) AS s
+  FROM w
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * m >= {percent} * (p.n + q.n - m)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT {chosen}
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN least ON least.x = d.doc_id
+"""
+
+
+OP13_SQL = components_sql(3, 90, "d.doc_id, coalesce(n, 0) AS n_shingles, component_id")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_noisy_or": op1_toxicity_noisy_or,
     "op2_odd_sketch_neardup": op2_odd_sketch_neardup,
@@ -196,10 +241,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bloom_line_dedup": op9_bloom_line_dedup,
     "op10_warc_archives": op10_warc_archives,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {
     "op2_odd_sketch_neardup": OP2_SQL,
     "op9_bloom_line_dedup": OP9_SQL,
     "op10_warc_archives": OP10_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op13_ngram_jaccard": OP13_SQL,
 }
