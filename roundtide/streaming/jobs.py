@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roundtide.operators.history import field_history
 from roundtide.operators.state import apply_batch
 from roundtide.sources.tables import publish, read_state
 
@@ -29,6 +28,31 @@ def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: s
     return writer.start()
 
 
+#: State larger than a heap: keyed state lives in files of the executors, changelogs in the checkpoint.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def append_to(rows: DataFrame, path: str, checkpoint: str, every: str | None = None, partition_by: tuple[str, ...] = ()):
+    """Start a job that appends a stream's rows to a folder, each micro-batch once.
+
+    A query takes the state store's settings when it starts; the session's own are put back.
+    """
+    spark = rows.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+        writer = writer.partitionBy(*partition_by) if partition_by else writer
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def dedupe_step(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """Append only keys not seen in any earlier batch (idempotent alert and reminder logs).
 
@@ -50,33 +74,6 @@ def dedupe_step(path: str, keys: list[str], buckets: int = 64) -> Callable[[Data
     return step
 
 
-def history_step(path: str, keys: list[str], field: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Field changes across micro-batches.
-
-    The state is the last observation of each key, one row, written as version n+1 from version n and
-    the batch. A row that is not after its key's last observation comes too late to be a change that
-    can still be told: it goes to ``late`` and takes no part.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys and c not in order]
-        last = spark.createDataFrame([], batch.schema)
-        if batch_id:
-            last = spark.read.schema(batch.schema).parquet(f"{path}/last/v={batch_id}")
-        mark = last.select(*keys, F.struct(*order).alias("_mark"))
-        judged = batch.join(mark, keys, "left").withColumn(
-            "_late", F.coalesce(F.struct(*order) <= F.col("_mark"), F.lit(False))
-        ).drop("_mark")
-        judged.where("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
-        fresh = judged.where("not _late").drop("_late").select(*batch.columns)
-        both = last.unionByName(fresh)
-        field_history(both, keys, field, order).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        newest = both.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("l")).select(*keys, "l.*")
-        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/last/v={batch_id + 1}")
-
-    return step
-
-
 def apply_step(
     root: str, names: list[str], to_batch: Callable[[DataFrame], dict[str, DataFrame]], as_of, now
 ) -> Callable[[DataFrame, int], None]:
