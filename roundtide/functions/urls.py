@@ -9,10 +9,11 @@ from roundtide import dims
 from roundtide.functions.text import any_contains, collapse, first_listed, lookup, present
 
 _SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
+HOST_PART = _SCHEME + r"//([^/?#]*)"
 
 
 def url_host(url: Column) -> Column:
-    netloc = F.lower(F.regexp_extract(url, _SCHEME + r"//([^/?#]*)", 1))
+    netloc = F.lower(F.regexp_extract(url, HOST_PART, 1))
     return F.regexp_replace(netloc, r"^www\.", "")
 
 
