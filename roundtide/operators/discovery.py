@@ -23,6 +23,7 @@ from roundtide.operators.extraction import (
     tour_venue,
     venues,
 )
+from roundtide.operators.joins import salted_join
 from roundtide.operators.ranking import choose_official
 from roundtide.operators.rounds import dedupe_rounds, normalize_rounds
 from roundtide.sources.tables import written
@@ -31,10 +32,11 @@ from roundtide.sources.tables import written
 def follow_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Link rows joined to the stored page they point at.
 
-    Portal searches are skipped; a link without a stored page is dead and drops out.
+    Portal searches are skipped; a link without a stored page is dead and drops out. A page that very
+    many links point at is copied, and its links are dealt over the copies.
     """
     wanted = links.where(~is_portal_search_url(F.col("url"))).distinct()
-    return wanted.join(pages, "url")
+    return salted_join(wanted, pages, "url")
 
 
 def schedule_pages(links: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -47,7 +49,7 @@ def schedule_pages(links: DataFrame, pages: DataFrame, limit: int | None = None)
         any_contains(hay, dims.SCHEDULE_LINK_HINTS) & (F.col("url") != F.col("page_url")) & ~is_noisy_url(F.col("url"))
     )
     first = wanted.groupBy("page_id", "url").agg(F.min("pos").alias("pos"))
-    found = first.join(pages.withColumnRenamed("page_id", "to_page_id"), "url")
+    found = salted_join(first, pages.withColumnRenamed("page_id", "to_page_id"), "url")
     if limit is None:
         return found
     w = Window.partitionBy("page_id").orderBy("pos")

@@ -243,15 +243,18 @@ def tour_venue(window: Column) -> Column:
 
 # --- tour schedules -----------------------------------------------------------------
 
-def tour_entries(text: Column, as_of: Column) -> Column:
-    """array of (date, date_text, title, venue, ended): text between one date and the next."""
-    return bind(chunked(text), lambda chunks: _tour_entries(text, chunks, as_of))
+def tour_entries(text: Column, as_of: Column, last_width: int | None = None, title_width: int | None = None) -> Column:
+    """array of (date, date_text, title, venue, ended): text between one date and the next.
+
+    The last entry reaches to the end of the text and titles are whole, unless widths are given.
+    """
+    return bind(chunked(text), lambda chunks: _tour_entries(text, chunks, as_of, last_width, title_width))
 
 
-def _tour_entries(text: Column, chunks: Column, as_of: Column) -> Column:
+def _tour_entries(text: Column, chunks: Column, as_of: Column, last_width: int | None, title_width: int | None) -> Column:
     def entries(hits: Column) -> Column:
         def entry(h: Column, i: Column) -> Column:
-            stop = F.coalesce(F.get(hits, i + 1)["start"], h["end"] + 80)
+            stop = F.coalesce(F.get(hits, i + 1)["start"], F.length(text) if last_width is None else h["end"] + last_width)
             chunk = collapse(cut(chunks, h["end"], stop))
             chunk = F.regexp_replace(chunk, r"(?U)^[\[\(（][^\]\)）]{1,12}[\]\)）]\s*", "")
             flag = r"(?U)^[\[【]?\s*終了\s*[\]】]?\s*"
@@ -259,7 +262,7 @@ def _tour_entries(text: Column, chunks: Column, as_of: Column) -> Column:
             return F.struct(
                 h["iso"].alias("date"),
                 collapse(h["value"]).alias("date_text"),
-                strip_chars(F.substring(rest, 1, 60), " 　・-—:：").alias("title"),
+                strip_chars(rest if title_width is None else F.substring(rest, 1, title_width), " 　・-—:：").alias("title"),
                 tour_venue(rest).alias("venue"),
                 chunk.rlike(flag).alias("ended"),
             )
@@ -281,10 +284,10 @@ def _tour_entries(text: Column, chunks: Column, as_of: Column) -> Column:
     return F.filter(bind(bind(dominant_year(text), dated), entries), lambda e: e["title"] != "")
 
 
-def tour_dates(parsed: DataFrame, as_of: Column) -> DataFrame:
+def tour_dates(parsed: DataFrame, as_of: Column, last_width: int | None = None, title_width: int | None = None) -> DataFrame:
     """One row per show of a page; the first of equal (date, title) wins."""
     shows = parsed.where(F.col("text").rlike(DATE_RE)).select(
-        "page_id", "url", F.posexplode(tour_entries(F.col("text"), as_of)).alias("pos", "e")
+        "page_id", "url", F.posexplode(tour_entries(F.col("text"), as_of, last_width, title_width)).alias("pos", "e")
     )
     first = shows.groupBy("page_id", "url", F.col("e.date").alias("date"), F.col("e.title").alias("title")).agg(
         F.min(F.struct("pos", "e.date_text", "e.venue", "e.ended")).alias("f")
