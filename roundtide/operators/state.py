@@ -411,6 +411,19 @@ def new_snapshots(current: DataFrame, stored: DataFrame) -> DataFrame:
     return current.join(stored.select("event_id", "snapshot_hash"), ["event_id", "snapshot_hash"], "left_anti")
 
 
+def snapshot_parts(snapshots: DataFrame, rounds: DataFrame, links: DataFrame) -> DataFrame:
+    """(event_id, snapshot_hash, part, name, content): the rounds and links of each snapshot, stored beside its payload.
+
+    They stay rows, so a snapshot of an event with very many rounds is no single record; ``content`` is
+    JSON of the round's snapshot fields or of the link.
+    """
+    marks = snapshots.select("event_id", "snapshot_hash")
+    kept_rounds = rounds.select("event_id", F.lit("round").alias("part"), F.col("round_key").alias("name"), F.to_json(F.struct(*SNAPSHOT_ROUND_FIELDS)).alias("content"))
+    kept_links = links.select("event_id", F.lit("link").alias("part"), F.col("url").alias("name"), F.to_json(F.struct("url", "label")).alias("content"))
+    parts = marks.join(kept_rounds.unionByName(kept_links), "event_id")
+    return parts.select("event_id", "snapshot_hash", "part", "name", "content")
+
+
 # --- cleanup --------------------------------------------------------------------------------
 
 WINDOW = ("application_start_at", "application_end_at", "status")

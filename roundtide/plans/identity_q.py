@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from roundtide import dims
 from roundtide.functions import sql
 from roundtide.operators.identity import merge_events, round_moves
-from roundtide.operators.rounds import round_key
+from roundtide.operators import state as st
+from roundtide.operators.rounds import normalize_rounds, round_key
 from roundtide.plans import scalar
 from roundtide.plans import sqltext as q
 from roundtide.plans.reads import BASE
 from roundtide.plans.registry import query
 from roundtide.plans.star import AS_OF
+from roundtide.plans.state_q import STATE
 
 COPY = 1_000_000_000
 SQL_KEY = q.key24("platform", "url", f"lower({q.clean('name')})", "CAST(application_start_at AS VARCHAR)", "CAST(general_sale_date AS VARCHAR)")
@@ -66,6 +68,45 @@ def _(s):
     return out.fillna(0, ["n_rounds", "n_links"])
 
 
+@query(
+    "round_evidence",
+    q.with_(q.ROUNDS)
+    + """SELECT event_id, line, CAST(application_start_at AS VARCHAR) AS application_start_at, CAST(application_end_at AS VARCHAR) AS application_end_at, status, round_key FROM rounds""",
+)
+def _(s):
+    """Rounds whose window stands in the evidence only: both ends, or the start with the end stored."""
+    raw = s.raw_rounds
+    printed = F.col("lottery_start").isNotNull() & F.col("lottery_end").isNotNull() & (F.col("name") != "一般発売")
+    day = lambda c: F.date_format(c, "yyyy年M月d日")
+    text = F.concat(F.lit("会員向け " + dims.ADVANCE_RANGE_LABELS[0] + " "), day("lottery_start"), F.lit("〜"), day("lottery_end"), F.lit(" まで受付"))
+    none = F.lit(None).cast("date")
+    raw = raw.withColumns(
+        {
+            "evidence": F.when(printed, text).otherwise(F.col("evidence")),
+            "lottery_start": F.when(~printed, F.col("lottery_start")).otherwise(none),
+            "lottery_end": F.when(printed & (F.col("line") % 2 == 0), none).otherwise(F.col("lottery_end")),
+        }
+    )
+    columns = "event_id", "line", "application_start_at", "application_end_at", "status", "round_key"
+    return normalize_rounds(raw, s.as_of, parse_evidence=True).select(*columns)
+
+
+@query(
+    "snapshot_parts",
+    f"""{STATE}, r AS (SELECT event_id, list_sort(list(concat_ws('~', round_key, coalesce(CAST(results_date AS VARCHAR), 'none'), application_end_at))) AS c FROM rounds GROUP BY 1),
+      p AS (SELECT event_id, list_sort(list(concat_ws('~', round_key, coalesce(CAST(results_date AS VARCHAR), 'none'), application_end_at))) AS c FROM prev_rounds GROUP BY 1),
+      fresh AS (SELECT e.event_id FROM events_t e LEFT JOIN prev_events o USING (event_id) LEFT JOIN r ON r.event_id = e.event_id LEFT JOIN p ON p.event_id = e.event_id
+        WHERE o.event_id IS NULL OR o.title <> e.title OR r.c IS DISTINCT FROM p.c)
+      SELECT event_id, 'round' AS part, round_key AS name, CAST(application_end_at AS VARCHAR) AS ends FROM rounds JOIN fresh USING (event_id)
+      UNION ALL SELECT event_id, 'link', url, NULL FROM event_links JOIN fresh USING (event_id)""",
+)
+def _(s):
+    """Rounds and links of the snapshots that are new, as they are stored with them."""
+    new = st.new_snapshots(st.snapshots(s.events, s.rounds), st.snapshots(s.prev_events, s.prev_rounds))
+    parts = st.snapshot_parts(new, s.rounds, s.event_links)
+    return parts.select("event_id", "part", "name", F.get_json_object("content", "$.application_end_at").alias("ends"))
+
+
 # --- SQL only ---------------------------------------------------------------------
 
 @query("sql_url_platform", f"SELECT page_id, {q.platform('url')} AS platform FROM pages")
