@@ -67,12 +67,12 @@ def _(s):
 
 @query("page_title", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
 def _(s):
-    return pages.parse_pages(s.table("pages")).select("page_id", "title")
+    return pages.parse_pages(s.spread("pages")).select("page_id", "title")
 
 
 @query("page_text", f"SELECT page_id, {SQL_TEXT} AS text FROM pages")
 def _(s):
-    return pages.parse_pages(s.table("pages")).select("page_id", "text")
+    return pages.parse_pages(s.spread("pages")).select("page_id", "text")
 
 
 BROKEN = '<p title="a>b">quoted &#233; &#x3042; &#38;lt; <a href="/u1">one <a href="/u2">two<script>var leak = 1;'
@@ -104,7 +104,7 @@ SQL_LINKS = f"""page_links AS (
 
 @query("page_links", f"WITH {SQL_LINKS} SELECT page_id, label, url FROM page_links")
 def _(s):
-    return pages.exploded_links(pages.parse_pages(s.table("pages"))).select("page_id", "label", "url")
+    return pages.exploded_links(pages.parse_pages(s.spread("pages"))).select("page_id", "label", "url")
 
 
 @query(
@@ -113,7 +113,7 @@ def _(s):
     f"SELECT page_id, url FROM m WHERE {q.actionable('url', chr(39) * 2)} GROUP BY 1, 2",
 )
 def _(s):
-    found = pages.exploded_links(pages.parse_pages(s.table("pages"))).select("page_id", "url")
+    found = pages.exploded_links(pages.parse_pages(s.spread("pages"))).select("page_id", "url")
     both = found.unionByName(s.event_links.select(F.col("event_id").alias("page_id"), "url"))
     return both.where(urls.is_actionable_ticket_link(F.col("url"), F.lit(""))).distinct()
 
@@ -144,7 +144,7 @@ def _(s):
 
 @query("page_quality", f"SELECT page_id, length(text) AS n_chars, (length(text) < 400 OR {q.any_in('lower(text)', dims.EMPTY_PAGE_MARKERS)} OR contains(replace(lower(text), ' ', ''), 'comingsoon')) AS needs_render FROM (SELECT page_id, {SQL_TEXT} AS text FROM pages)")
 def _(s):
-    parsed = pages.parse_pages(s.table("pages"))
+    parsed = pages.parse_pages(s.spread("pages"))
     return parsed.select("page_id", F.length("text").cast("bigint").alias("n_chars"), pages.needs_render(F.col("text")).alias("needs_render"))
 
 
@@ -443,7 +443,7 @@ def candidates(s: Star) -> DataFrame:
     kw = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(
         F.concat(F.regexp_replace("text", r"\s", ""), F.lit("公"))
     )
-    keyed = s.table("documents").withColumn("item_id", F.col("doc_id") % n)
+    keyed = s.spread("documents").withColumn("item_id", F.col("doc_id") % n)
     return keyed.join(bench.select("item_id", kw.alias("keyword")), "item_id").select(
         "doc_id",
         "item_id",
@@ -487,7 +487,7 @@ def sql_matches(kw: str, t: str) -> str:
 
 @query("bigrams", f"SELECT doc_id, CAST(len({sql_grams('text')}) AS BIGINT) AS n, list_min({sql_grams('text')}) AS lo, list_max({sql_grams('text')}) AS hi FROM documents")
 def _(s):
-    got = s.table("documents").select("doc_id", grams.bigrams(F.col("text")).alias("g"))
+    got = s.spread("documents").select("doc_id", grams.bigrams(F.col("text")).alias("g"))
     return got.select("doc_id", F.size("g").cast("bigint").alias("n"), F.array_min("g").alias("lo"), F.array_max("g").alias("hi"))
 
 

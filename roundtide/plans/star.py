@@ -48,8 +48,13 @@ class Star:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A small table whose rows carry heavy text work, spread over all task slots."""
-        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism)
+        """A table whose rows carry heavy text work, over all task slots.
+
+        A table of many splits is read as it lies. Only one that has fewer splits than there are slots
+        (a few row groups) is dealt out first; its size bounds what that moves.
+        """
+        df, slots = self.table(name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
     @cached_property
     def watches(self) -> DataFrame:
