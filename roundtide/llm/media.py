@@ -100,6 +100,8 @@ def read_png(media: bytes) -> np.ndarray:
             raise ValueError(f"checksum of chunk {kind.decode('latin-1')}")
         at += 12 + size
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("header of a wrong length")
             header = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             packed.append(data)
@@ -114,6 +116,8 @@ def read_png(media: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or channels is None or interlace:
         raise ValueError("only 8-bit images that are not interlaced")
+    if not width or not height:
+        raise ValueError("an image without rows or columns")
     data = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
     if len(data) != height * (width * channels + 1):
         raise ValueError("wrong amount of image data")
@@ -162,13 +166,16 @@ def media_features(media: DataFrame) -> DataFrame:
             out = [[] for _ in range(9)]
             for i, n, m in zip(ids, n_bytes, media):
                 try:
+                    if m is None:
+                        raise ValueError("no media")
                     samples = read_png(m)
                     p, error = samples.tobytes(), None
                     got = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
                     feature = cosine_hash(samples)
                 except (ValueError, zlib.error) as e:
                     got, feature, error = (None, None, None), None, str(e)
-                row = (i, n, *got, len(m), hashlib.sha256(m).hexdigest(), feature, error)
+                stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                row = (i, n, *got, *stored, feature, error)
                 for column, value in zip(out, row):
                     column.append(value)
             return out

@@ -75,5 +75,20 @@ def test_query_on_odd_rows(odd_docs, empty_docs, odd_rows):
 
 
 def test_damaged_media_give_a_reason(spark):
-    row = m.media_features(spark.createDataFrame([(1, 3, bytearray(b"no image"))], "doc_id long, n_bytes long, media binary")).first()
-    assert row["payload_bytes"] is None and row["error"] == "not a PNG"
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    def png(header, samples=b""):
+        return m.SIGNATURE + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(samples)) + chunk(b"IEND", b"")
+
+    size = lambda w, h: struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
+    cases = {
+        1: (b"no image", "not a PNG"), 2: (None, "no media"), 3: (b"", "not a PNG"), 4: (png(size(1, 1)[:9]), "header of a wrong length"),
+        5: (png(size(0, 0)), "an image without rows or columns"), 6: (png(size(4, 0)), "an image without rows or columns"),
+        7: (png(size(0, 2), b"\0\0"), "an image without rows or columns"), 8: (png(size(1, 1), b"\0"), "wrong amount of image data"), 9: (png(size(1, 1), b"\0a"), None),
+    }
+    rows = [(i, 3, None if x is None else bytearray(x)) for i, (x, _) in cases.items()]
+    got = m.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    assert {r["doc_id"]: r["error"] for r in got} == {i: e for i, (_, e) in cases.items()}
+    assert {r["doc_id"]: r["payload_bytes"] for r in got if r["payload_bytes"]} == {9: 1}
+    assert {r["doc_id"] for r in got if r["media_bytes"] is None} == {2}
