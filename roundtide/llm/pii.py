@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -149,9 +151,12 @@ def candidates(text: str) -> list[dict]:
             found.append((kind, a, b, ok, ok))
             if ok:
                 taken.append((a, b))
+    taken.sort()
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind, pattern in WIDER.items():
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            before = bisect_left(starts, m.end())  # base spans that begin before this one ends
+            if not before or reach[before - 1] <= m.start():
                 found.append((kind, m.start(), m.end(), False, True))
     return [
         {"kind": k, "start": a, "end": b, "base": base, "votes": list(votes(text, k, a, b, ok)), "size": min((b - a) // 8, 4)}

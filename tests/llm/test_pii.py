@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from roundtide.llm import pii as p
 
@@ -66,6 +67,25 @@ def test_spans_are_added_and_base_ones_stay(make_docs):
         assert (got[i]["n_email"], got[i]["n_ip"]) == (1, 1)
 
 
+def test_added_spans_touch_no_base_span_and_cost_in_proportion():
+    rng = random.Random(4)
+    bits = ["a@b.com", "123-456-7890", "10.0.0.7", "+44 20 7946 0958", "4111 1111 1111 1111", "078-05-1120", "x at y dot org", "GB82WEST12345698765432"]
+    for _ in range(60):
+        text = "".join(rng.choice(bits) + rng.choice([" ", "", ",", " call "]) for _ in range(rng.randrange(1, 25)))
+        got = p.candidates(text)
+        base = [(c["start"], c["end"]) for c in got if c["base"]]
+        added = {(c["kind"], c["start"], c["end"]) for c in got if c["kind"] in p.WIDER}
+        wanted = {(k, m.start(), m.end()) for k, x in p.WIDER.items() for m in x.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base)}
+        assert added == wanted
+
+    def seconds(n):
+        start = time.process_time()
+        assert len(p.candidates("a@b.com 123-456-7890 " * n)) == 2 * n
+        return time.process_time() - start
+
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.05)  # eight times the text; a square would be 64
+
+
 def test_odd_rows(odd_docs, empty_docs, odd_rows):
     got = p.find(odd_docs).collect()
     assert len(got) == len(odd_rows)
