@@ -1,13 +1,18 @@
-"""Mixing with soft memberships: posteriors of domains, then rates by projected gradient and Newton steps.
+"""Mixing with soft memberships: posteriors of domains, then rates by Gram-scaled projected gradient.
 
 A hashed naive Bayes model from a labelled table gives every document a posterior over domains. The
-expected tokens of a domain are the sum of rate * tokens * posterior; nonnegative rates are fitted
-so that these totals meet the targets (least squares, each domain's error relative to its size, with
-a small pull to rate 1 that makes the solution unique). Each round is one aggregate over the table
-of posteriors; a document's rate follows from its posterior and the residuals of the rounds before,
-so no state is carried between rounds. Where the rounds are slow, as with soft memberships, Newton
-steps on one number a domain solve the same problem exactly. Targets that no rates can meet are met as
-nearly as possible, with a warning of the shares reached. Everything is DataFrame expressions.
+expected tokens of a domain are the sum of rate * tokens * posterior; nonnegative rates are fitted so
+that these totals meet the targets in the least-squares sense. The rates are the iterate: they start
+at 1, and each round moves a document's rate against its posterior times the scaled residual and cuts
+it off at 0. A round is one aggregate over the table of posteriors; a rate follows from the document's
+posterior and the scaled residuals of the rounds before, so no state is carried between rounds. The
+residual is scaled by the Gram matrix of the posteriors of documents whose rate is above 0, which makes
+rounds quick however soft the memberships are. Where such rounds stop gaining, the best rates so far are
+taken up by rounds scaled by the Gram matrix of all documents, which never lose: the best of several
+step lengths is taken, all measured in the same aggregate. Rounds end when the targets are met, when a round
+gains next to nothing, or after a number of them. Rates that meet the targets are not
+unique; these are the ones reached from rate 1. Targets that no rates can meet are met as nearly as
+possible, with a warning of the shares reached. Everything is DataFrame expressions.
 
 Edge cases: null and empty texts have no tokens, get the domains' prior as posterior, and a rate like
 any other document; rows that repeat an id (null included) count as one document with all their
@@ -34,10 +39,12 @@ BUCKETS = 4096
 MAX_TRAIN_DOCS = 10_000
 #: A document counts as at most this many words of evidence, so that memberships stay soft.
 EVIDENCE_WORDS = 16
-#: The pull to rate 1, small enough not to keep the totals from the targets.
+#: Added to the Gram matrix, times a domain's size, so that domains without documents can be divided by.
 RIDGE = 1e-6
-#: Plain rounds go on while each leaves at most this part of the largest miss of the one before.
-QUICK = 0.7
+#: Rounds scaled by the documents in use may go without gaining for this long.
+PATIENCE = 4
+#: Step lengths that a round scaled by all documents chooses from; at 1 or less the residual never grows.
+STEPS = tuple(4.0**i for i in range(8))
 #: Shares further than this from their targets are warned of.
 MISS = 1e-3
 
@@ -117,94 +124,65 @@ def posteriors(
     return every.groupBy("doc_id").agg(best).select("doc_id", "b.n_tokens", *[f"b.p{i}" for i in k])
 
 
-def rate_column(history: list[list[float]], step: float, ridge: float, k: int) -> F.Column:
-    """A document's rate after the rounds whose scaled residuals are given."""
-    rate = F.lit(1.0)
-    for residual in history:
-        pull = reduce(lambda a, b: a + b, [F.col(f"p{i}") * F.lit(residual[i]) for i in range(k)])
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * ridge) - pull * step + step * ridge)
-    return rate
-
-
-def dual_column(dual: list[float]) -> F.Column:
-    """A document's rate at the exact solution, from one number a domain."""
-    return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [F.col(f"p{i}") * F.lit(x) for i, x in enumerate(dual)]) + 1)
-
-
-def newton(table: DataFrame, weights: list[float], scale: list[float], total: float, ridge: float) -> tuple[list[float], list[float]]:
-    """The exact solution of the same problem: one number a domain, and the domain shares its rates give.
+def fit_rates(
+    table: DataFrame, weights: list[float], rounds: int = 32, ridge: float = RIDGE, tolerance: float = 1e-6
+) -> tuple[F.Column, list[float]]:
+    """The rate of a document, and the domain shares that these rates give.
 
-    At the solution a rate is max(0, 1 + posterior . dual); the dual is the minimum of a convex function of as
-    many numbers as there are domains, found by Newton steps. Each is one aggregate; it ends when the gradient
-    vanishes or no step lowers the function any more, not after a number of rounds.
+    The squared residual in the metric of the whole Gram matrix never grows under rounds scaled by that matrix
+    at step length 1, the bound of the gradient, so these settle what the quicker rounds leave.
     """
     k = len(weights)
-    w, s = np.array(weights), np.array(scale)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    total = float(table.agg(F.sum("n_tokens")).first()[0] or 0)
+    if not total:
+        return F.lit(1.0), [0.0] * k
+    wanted, pairs = np.array(weights), [(i, j) for i in range(k) for j in range(i, k)]
 
-    def at(dual: np.ndarray):
-        rate = table.select("*", dual_column(dual.tolist()).alias("rate"))
+    def measured(rates: list[F.Column]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Shares at each of the rates, and the Gram matrix of the documents in use at the first."""
         mass = F.col("n_tokens") / F.lit(total)
-        row = rate.agg(
-            F.sum(F.col("rate") * F.col("rate") * mass),
-            *[F.sum(F.col("rate") * mass * F.col(f"p{i}")) for i in range(k)],
-            *[F.sum(F.when(F.col("rate") > 0, mass * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i, j in pairs],
-        ).first()
-        shares = np.array(row[1 : k + 1])
-        gram = np.diag(ridge * s)
-        for (i, j), x in zip(pairs, row[k + 1 :]):
-            gram[i, j] += x
-            gram[j, i] += x * (i != j)
-        value = row[0] / 2 - w @ dual + ridge / 2 * (s * dual) @ dual
-        return value, shares, shares - w + ridge * s * dual, gram
-
-    dual = np.zeros(k)
-    value, shares, slope, gram = at(dual)
-    while np.abs(slope).max() > 1e-9:
-        move = -np.linalg.solve(gram, slope)
-        size = 1.0
-        while size > 1e-9:
-            tried = at(dual + size * move)
-            if tried[0] <= value + 1e-4 * size * (slope @ move) or np.abs(tried[2]).max() < np.abs(slope).max() / 2:
-                break
-            size /= 2
-        else:
-            break  # as near as floating point gets
-        dual = dual + size * move
-        value, shares, slope, gram = tried
-    return dual.tolist(), shares.tolist()
+        sums = [F.sum(F.col(f"r{s}") * mass * F.col(f"p{i}")) for s in range(len(rates)) for i in range(k)]
+        used = [F.sum(F.when(F.col("r0") > 0, mass * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i, j in pairs]
+        row = table.select("*", *[r.alias(f"r{s}") for s, r in enumerate(rates)]).agg(*sums, *used).first()
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[len(sums) :]):
+            gram[i, j] = gram[j, i] = x
+        return [np.array(row[s * k : s * k + k], dtype=float) for s in range(len(rates))], gram
+
+    def moved(rate: F.Column, pull: np.ndarray) -> F.Column:
+        against = reduce(lambda a, b: a + b, [F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(pull)])
+        return F.greatest(F.lit(0.0), rate - against)
 
+    rate = F.lit(1.0)
+    (shares,), gram = measured([rate])
+    bound = np.diag(ridge * np.maximum(shares, 1e-6))
+    whole = gram + bound
 
-def fit_rates(
-    table: DataFrame, weights: list[float], rounds: int = 24, ridge: float = RIDGE, tolerance: float = 1e-4
-) -> tuple[F.Column, list[float]]:
-    """The rate of a document, and the domain shares that these rates give.
+    def cost(shares: np.ndarray) -> float:
+        return float((shares - wanted) @ np.linalg.solve(whole, shares - wanted))
 
-    Plain rounds as long as they are quick; what they leave is solved by Newton steps.
-    """
-    k, history = len(weights), []
-    start = table.agg(F.sum("n_tokens"), *[F.sum(F.col(f"p{i}") * F.col("n_tokens")) for i in range(k)]).first()
-    total = float(start[0] or 0)
-    shares = [float(x or 0) / total for x in start[1:]] if total else [0.0] * k
-    scale = [max(s, 1e-6) for s in shares]
-    step, miss = 1 / (1 + ridge), math.inf
-    for _ in range(rounds if total else 0):
-        error = [a - b for a, b in zip(shares, weights)]
-        last, miss = miss, max(map(abs, error))
-        if miss < tolerance or miss > QUICK * last:
+    best, quick, since = (rate, shares), True, 0
+    for _ in range(rounds):
+        miss, last = shares - wanted, cost(best[1])
+        if np.abs(miss).max() < tolerance:
+            break
+        pull = np.linalg.solve(gram + bound if quick else whole, miss)
+        tried = [moved(rate, pull * size) for size in ((1.0,) if quick else STEPS)]
+        reached, gram = measured(tried)
+        at = min(range(len(tried)), key=lambda s: cost(reached[s]))
+        rate, shares = tried[at], reached[at]
+        gain = last - cost(shares)
+        if gain > 0:
+            best = (rate, shares)
+        since = 0 if gain > 0 else since + 1
+        if quick and (since >= PATIENCE or 0 < gain < 1e-4 * last):
+            quick, (rate, shares) = False, best
+        elif not quick and gain < 1e-4 * last:
             break
-        history.append([e / s for e, s in zip(error, scale)])
-        sums = table.select("*", rate_column(history, step, ridge, k).alias("rate")).agg(
-            *[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")) for i in range(k)]
-        ).first()
-        shares = [float(x or 0) / total for x in sums]
-    if not total or max(abs(a - b) for a, b in zip(shares, weights)) < tolerance:
-        return rate_column(history, step, ridge, k), shares
-    dual, shares = newton(table, weights, scale, total, ridge)
-    return dual_column(dual), shares
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 24, ridge: float = RIDGE) -> DataFrame:
+    return best[0], best[1].tolist()
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 32, ridge: float = RIDGE) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), p_<domain>, rate, copies.
 
     ``labelled`` holds (doc_id, domain); ``targets`` the wanted share of the tokens of each domain.

@@ -16,6 +16,23 @@ def corpus(rng, n=300):
     return rows, labels
 
 
+def nearest_to_one(p, t, wanted):
+    """Of the nonnegative rates that meet the totals, those nearest to 1: Newton steps on the dual, in one piece."""
+    dual = np.zeros(len(wanted))
+    for _ in range(100):
+        r = np.maximum(0, 1 + p @ dual)
+        slope = (r * t) @ p - wanted
+        used = p[r > 0]
+        move = np.linalg.solve((used * t[r > 0, None]).T @ used + 1e-12 * np.eye(len(wanted)), -slope)
+        value = lambda d: t @ np.maximum(0, 1 + p @ d) ** 2 / 2 - wanted @ d
+        size = 1.0
+        while size > 1e-9 and value(dual + size * move) > value(dual) + 1e-4 * size * (slope @ move):
+            size /= 2
+        dual = dual + size * move
+    assert np.abs((r * t) @ p - wanted).max() < 1e-9
+    return r
+
+
 def test_totals_meet_targets_and_rates_are_least_squares(spark, make_docs):
     rows, labels = corpus(random.Random(1))
     labelled = spark.createDataFrame(labels, "doc_id long, domain string")
@@ -28,15 +45,11 @@ def test_totals_meet_targets_and_rates_are_least_squares(spark, make_docs):
     total = got.n_tokens.sum()
     for d, share in (("a", 0.4), ("b", 0.6)):
         assert abs((got.rate * got.n_tokens * got[f"p_{d}"]).sum() / total - share) < 0.01
-    # the same problem solved in one piece
+    # among all rates that meet the targets, these are about as near to 1 as any
     p, t = got[["p_a", "p_b"]].to_numpy(), got.n_tokens.to_numpy() / total
-    s, r = t @ p, np.ones(len(got))
-    for _ in range(24):
-        e = (r * t) @ p - np.array([0.4, 0.6])
-        if np.abs(e).max() < 1e-4:
-            break
-        r = np.maximum(0, r - (p @ (e / s) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE))
-    assert np.allclose(r, got.rate, atol=1e-6)
+    least = nearest_to_one(p, t, np.array([0.4, 0.6]))
+    assert np.abs((got.rate * t) @ p - [0.4, 0.6]).max() < 1e-5
+    assert t @ (got.rate - 1) ** 2 <= 1.1 * (t @ (least - 1) ** 2)
     assert ((got.copies - got.rate).abs() < 1).all() and abs(got.copies.sum() - got.rate.sum()) < 40
 
 
@@ -72,7 +85,8 @@ def test_soft_memberships_meet_their_targets(spark):
         r = np.array([x[0] for x in table.select(rate).collect()])
         assert (r >= 0).all()
         reached = (r * n) @ p / n.sum()
-        assert np.abs(reached - weights).max() < 1e-3 and np.allclose(reached, shares)
+        assert np.abs(reached - weights).max() < 1e-5 and np.allclose(reached, shares)
+        assert n @ (r - 1) ** 2 <= 1.1 * (n @ (nearest_to_one(p, n / n.sum(), np.array(weights)) - 1) ** 2)
 
 
 def test_targets_out_of_reach_are_told(spark, make_docs):
@@ -80,3 +94,19 @@ def test_targets_out_of_reach_are_told(spark, make_docs):
     labelled = spark.createDataFrame(labels, "doc_id long, domain string")
     with pytest.warns(UserWarning, match="unseen"):
         mixing.mix(make_docs(rows), labelled, {"a": 0.5, "b": 0.3, "unseen": 0.2})
+
+
+def test_targets_at_the_edge_of_what_rates_can_reach(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([6, 3], 500)
+    table = spark.createDataFrame([(10, *map(float, q)) for q in p], "n_tokens long, p0 double, p1 double")
+    _, shares = mixing.fit_rates(table, [1.0, 0.0])
+    gram = p.T @ p / len(p)
+
+    def cost(reached):
+        return (reached - [1, 0]) @ np.linalg.solve(gram, reached - [1, 0])
+
+    # one document alone, the one with the largest posterior, is best; nothing is nearer along its ray
+    ray = p[p[:, 0].argmax()]
+    nearest = min(cost(x * ray) for x in np.linspace(0.5, 1.5, 2001))
+    assert cost(np.array(shares)) <= nearest + 0.02
