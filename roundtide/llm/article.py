@@ -6,7 +6,9 @@ notices, forms, reader comments, by element, role, class or id) is bad whatever
 form, header or class name turns out to wrap an article or most of the page's text. On pages that hardly
 use the listed stop words, length and link density decide. Pass 2
 gives the undecided blocks the label of their nearest decided neighbours on both sides; where these
-disagree, the nearer one counts, and the block's own container where both are as near.
+disagree, the nearer one counts, and the block's own container where both are as near. On a page
+without any good or near-good block, as of short paragraphs only, the largest run of undecided blocks is the text, if
+it holds at least as much as the page's links. Characters of scripts that write a word in one or two count threefold.
 
 Edge cases: null or empty html, and pages without good blocks, give an empty text; pages cut off in
 the middle of a tag or reference are read as far as they go; unclosed elements end with the page;
@@ -18,19 +20,23 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundtide.llm.common import map_columns
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
+#: Characters that stand for about three letters: kana, ideographs, syllables of Hangul.
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
+SENTENCE_END = re.compile(r"[.!?。！？…][\"'»”’)\]]*\Z")
 
 # Element names of HTML, and the commonest function words of four languages.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas", "select", "option", "object", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas", "select", "option", "object", "annotation"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt",
@@ -111,6 +117,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, firm furniture, content, loose furniture around
+    opened: Counter[str] = Counter()  # how often a name is on the stack
     depth = {"furniture": 0, "content": 0, "a": 0}
     parents, within = [0], 0  # loose furniture: what is around each, and the innermost here
 
@@ -131,7 +138,8 @@ def blocks_of(page: str) -> list[Block]:
     def close(upto: int):
         nonlocal within
         while len(stack) > upto:
-            _, furniture, content, within = stack.pop()
+            name, furniture, content, within = stack.pop()
+            opened[name] -= 1
             depth["furniture"] -= furniture
             depth["content"] -= content
 
@@ -143,6 +151,7 @@ def blocks_of(page: str) -> list[Block]:
         if name == "header" and depth["content"] and kind == "loose":
             kind = ""
         stack.append((name, kind == "firm", content, within))
+        opened[name] += 1
         depth["furniture"] += kind == "firm"
         depth["content"] += content
         if content:
@@ -156,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
         m = TOKEN.search(page, at)
         if m is None:
             rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)
+            cut = re.search(r"<(?:[a-zA-Z/!?][^<>]*)?\Z", rest)
             data(rest[: cut.start()] if cut else rest)
             break
         data(page[at : m.start()])
@@ -169,9 +178,11 @@ def blocks_of(page: str) -> list[Block]:
                 depth["a"] = max(0, depth["a"] - 1)
             if name in BLOCK:
                 flush()
-            names = [s[0] for s in stack]
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if opened[name]:
+                upto = len(stack) - 1
+                while stack[upto][0] != name:
+                    upto -= 1
+                close(upto)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
@@ -195,9 +206,14 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
+def weight(text: str) -> int:
+    """The length in letters."""
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE.findall(text))
+
+
 def known_language(blocks: list[Block]) -> bool:
     """Whether the longer texts of the page use the listed stop words at all."""
-    words = [w for b in blocks if not b.furniture and len(b.text) >= 70 for w in WORD.findall(b.text.lower())]
+    words = [w for b in blocks if not b.furniture and weight(b.text) >= 70 for w in WORD.findall(b.text.lower())]
     return not words or sum(w in STOP_WORDS for w in words) >= 0.1 * len(words)
 
 
@@ -207,22 +223,39 @@ def first_label(b: Block, known: bool = True, short: int = 70, long: int = 200,
         return BAD
     link_share = b.linked / len(b.text)
     if link_share > links:
-        return BAD if not b.content or link_share > 0.8 else NEAR
+        sentence = weight(b.text) >= 40 and SENTENCE_END.search(b.text)
+        return NEAR if b.content and (link_share <= 0.8 or sentence) else BAD
     if "©" in b.text or "&copy" in b.text:
         return BAD if not b.content else SHORT
     words = WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if len(b.text) < short:
+    size = weight(b.text)
+    if size < short:
         return SHORT
     if not known:  # length and link density decide
-        return GOOD if len(b.text) > long or b.content else NEAR
+        return GOOD if size > long or b.content else NEAR
     if stops >= stop_high:
-        return GOOD if len(b.text) > long or b.content else NEAR
+        return GOOD if size > long or b.content else NEAR
     if stops >= stop_low:
         return NEAR
     return NEAR if b.content else BAD
 
 
+def largest_run(blocks: list[Block], first: list[str]) -> list[bool]:
+    """Of a page without good blocks: the run of undecided ones with most text outside links, the first of equals."""
+    runs = []
+    for i, (b, label) in enumerate(zip(blocks, first)):
+        if label == SHORT:
+            if not i or first[i - 1] != SHORT:
+                runs.append([0, i, i])
+            runs[-1][0] += weight(b.text) - b.linked
+            runs[-1][2] = i + 1
+    size, start, end = max(runs, key=lambda r: r[0], default=(0, 0, 0))
+    if size < sum(b.linked for b in blocks if not b.furniture):
+        start = end = 0
+    return [start <= i < end for i in range(len(blocks))]
+
+
 def final_labels(blocks: list[Block]) -> list[bool]:
     """Pass 2: undecided blocks take the label of the nearest decided neighbours.
 
@@ -230,6 +263,8 @@ def final_labels(blocks: list[Block]) -> list[bool]:
     """
     known = known_language(blocks)
     first = [first_label(b, known) for b in blocks]
+    if GOOD not in first and NEAR not in first:
+        return largest_run(blocks, first)
     n = len(blocks)
     before: list[tuple[int, str] | None] = [None] * n
     after: list[tuple[int, str] | None] = [None] * n

@@ -1,3 +1,5 @@
+import time
+
 from roundtide.llm import article as a
 
 PROSE = "This is the story of a town that was built by the river, and it is said that the people were glad of it. " * 3
@@ -55,3 +57,26 @@ def test_wrappers_of_the_main_text_and_other_languages():
     assert a.main_text(f"{menu}<div><p>{finnish}</p></div>") == finnish.strip()
     comments = f'<div class="comments"><article><p>{body}</p><p>{body}</p></article></div>'
     assert a.main_text(f"<main><p>{body}</p></main>{comments}") == text
+
+
+def test_pages_of_short_blocks_only():
+    assert a.main_text("<h1>Soup</h1><p>Cut the leeks.</p><p>Boil them in water.</p>") == "Soup\nCut the leeks.\nBoil them in water."
+    line = "市立図書館は改修工事を終えて水曜日に再び開館し、多くの市民が朝から列を作って待っていた。"
+    assert a.main_text("<div>" + f"<p>{line}</p>" * 12 + "</div>") == "\n".join([line] * 12)
+    links = "".join(f"<li><a href=/{i}>A link to page number {i}</a></li>" for i in range(9))
+    assert a.main_text(f"<nav><a href=x>Home</a></nav><ul>{links}</ul><p>Contact</p>") == ""
+
+
+def test_formulas_and_linked_sentences_of_an_article_stay():
+    page = f"<article><p>{PROSE}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p><a href=x>The whole report can be read on this page of the town.</a></p><p>{PROSE}</p></article>"
+    assert a.main_text(page).split("\n")[1:3] == ["So x=2 holds.", "The whole report can be read on this page of the town."]
+
+
+def test_time_is_in_proportion_to_the_length():
+    def seconds(page):
+        start = time.process_time()
+        a.main_text(page)
+        return time.process_time() - start
+
+    for make in (lambda n: "<a x" * n + "'", lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<p \"" * n):
+        assert seconds(make(40_000)) < 16 * max(seconds(make(10_000)), 0.02)
