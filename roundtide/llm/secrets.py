@@ -4,12 +4,15 @@ The text is the first layer. Each layer is scanned for secrets and for what is e
 Unicode escapes, which are decoded in place in the whole layer (what is no character stays as it is),
 and base64, also over line ends and after a path or name, whose bytes may be text or hold zlib or gzip
 streams. What decodes to text becomes a new layer with a map from its characters to the text's characters, and is scanned
-in turn, until no new layer appears. A stretch of the text that gives the same layer again (a cycle)
+in turn, until no new layer appears. An escape of an escape (%252541) is decoded to its end in one step, so nests
+of one kind cost one layer; nests that alternate between the two kinds cost a layer for each change. A stretch of the text that gives the same layer again (a cycle)
 is not followed twice. Findings in layers are reported where their encoded form stands in the text.
 
 Spans are ``kind:start:end`` in code points, end exclusive; a finding in a layer has the decoders in
 its kind, ``assign@url>base64``. Base findings are those of the text itself and always stay. A stream
-that inflates beyond ``max_layer_bytes`` is not held in memory; its place is reported as ``oversize``.
+that inflates beyond ``max_layer_bytes`` is searched in pieces of that size, each of which begins with the last
+quarter of the one before, so what is longer than that may be found in part only; its place is reported as
+``oversize`` besides.
 
 Edge cases: null or empty text has no spans; ids may be null or repeat, each row is scanned by
 itself; very long texts take time in proportion to their length; other columns are ignored.
@@ -38,8 +41,11 @@ KINDS = ("assign", "access", "hex")
 #: Hexadecimal runs are searched as at least 24 characters from a run's start, which is the same set.
 HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORD_PARTS = ("passw", "secret", "token", "apikey", "api_key")
-URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: Escapes, also of the mark that begins an escape, however often.
+URL_ESCAPE = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}")
+URL_ESCAPES = re.compile(rf"(?:{URL_ESCAPE.pattern})+")
+UNICODE_ESCAPE = re.compile(r"\\(?:u005[Cc]|x5[Cc])*(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
+UNICODE_CODE = re.compile(r"(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\Z")
 UNICODE_ESCAPES = re.compile(rf"(?:{UNICODE_ESCAPE.pattern})+")
 BASE64_STRETCH = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A line end inside base64, also one that is escaped as in JSON.
@@ -54,17 +60,32 @@ MAX_LAYER_BYTES = 16 << 20
 class Layer:
     """A text, how it was decoded, and for each character its start and end in the document."""
 
-    __slots__ = ("text", "path", "starts", "ends")
+    __slots__ = ("text", "path", "starts", "ends", "large")
 
     def __init__(self, text: str, path: tuple[str, ...] = (), starts=None, ends=None):
         self.text, self.path, self.starts, self.ends = text, path, starts, ends
+        self.large = False  # a piece of a stream that is not held whole
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if isinstance(self.starts, Spot):
+            return self.starts.at, self.ends.at
         return min(self.starts[start:end]), max(self.ends[start:end])
 
 
+class Spot:
+    """The same place for every character of a layer."""
+
+    __slots__ = ("at", "size")
+
+    def __init__(self, at: int, size: int):
+        self.at, self.size = at, size
+
+    def __getitem__(self, part: slice) -> list[int]:
+        return [self.at] * len(range(*part.indices(self.size)))
+
+
 def findings(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns, leftmost and non-overlapping for each kind."""
     found = []
@@ -80,11 +101,14 @@ def findings(text: str) -> list[tuple[str, int, int]]:
 def _unescape(run: str, name: str):
     """(length in the run, text or None where it stays as it is) of a run of escapes, in order."""
     if name == "url":
-        for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        escapes, at = URL_ESCAPE.findall(run), 0
+        for c in bytes.fromhex("".join(e[-2:] for e in escapes)).decode("utf-8", "surrogateescape"):
             bad = "\udc80" <= c <= "\udcff"  # a byte that is not UTF-8
-            yield 3 if bad else 3 * len(c.encode("utf-8")), None if bad else c
+            n = 1 if bad else len(c.encode("utf-8"))
+            yield sum(map(len, escapes[at : at + n])), None if bad else c
+            at += n
         return
-    codes = [(len(e), int(e[2:], 16)) for e in UNICODE_ESCAPE.findall(run)]
+    codes = [(len(e), int(UNICODE_CODE.search(e, max(0, len(e) - 5)).group()[1:], 16)) for e in UNICODE_ESCAPE.findall(run)]
     at = 0
     while at < len(codes):
         n, code = codes[at]
@@ -141,16 +165,45 @@ def inflate(raw: bytes | memoryview, limit: int) -> tuple[bytes, int] | None:
     return (out, at) if at else None
 
 
+def pieces(raw: bytes | memoryview, limit: int):
+    """(content, length of the stream so far) of a large stream, a piece at a time; the last one is what is left."""
+    out, at, read = b"", 0, 0
+    while at == 0 or raw[at : at + 2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(47)
+        rest = raw[at:]
+        try:
+            while not stream.eof:
+                part = stream.decompress(rest, limit - len(out))
+                rest = stream.unconsumed_tail
+                out += part
+                read = len(raw) - len(rest) - len(stream.unused_data)
+                if len(out) >= limit:
+                    yield out, read
+                    out = out[-(limit // 4) :]
+                elif not part and not rest:
+                    break
+        except zlib.error:
+            break
+        if not stream.eof or raw[0] != 0x1F:
+            break
+        at = read
+    yield out, max(read, 1)
+
+
 def streams(raw: bytes, limit: int):
-    """(start, end, content) of the zlib and gzip streams in the bytes; the content is None beyond the limit."""
+    """(start, end, content) of the zlib and gzip streams in the bytes; beyond the limit the content is an
+    iterator of its pieces."""
     at, view = 0, memoryview(raw)
     while m := STREAM.search(raw, at):
         at = m.start()
         try:
             got = inflate(view[at:], limit) if raw[at] == 0x1F or (raw[at] << 8 | raw[at + 1]) % 31 == 0 else None
         except OverflowError:
-            yield at, len(raw), None
-            return
+            for _, size in pieces(view[at:], limit):
+                pass
+            yield at, at + size, (text for text, _ in pieces(view[at:], limit))
+            at += size
+            continue
         if got:
             yield at, at + got[1], got[0]
         at += got[1] if got else 1
@@ -176,11 +229,13 @@ def unwrap_base64(layer: Layer, m: re.Match, limit: int):
             spot = layer.place(*place(phase + a // 3 * 4 + a % 3, min(size, -(-b * 4 // 3)) + phase))
             if a == 0 and phase == 0 and b == len(raw):
                 spot = layer.place(m.start(), m.end())
-            if packed is None:
+            if not isinstance(packed, bytes):
                 yield spot
-                continue
-            text = packed.decode("utf-8", "surrogateescape")
-            yield Layer(text, (*layer.path, "base64", "inflate"), [spot[0]] * len(text), [spot[1]] * len(text))
+            for part in [packed] if isinstance(packed, bytes) else packed:
+                text = part.decode("utf-8", "surrogateescape")
+                below = Layer(text, (*layer.path, "base64", "inflate"), Spot(spot[0], len(text)), Spot(spot[1], len(text)))
+                below.large = part is not packed
+                yield below
         text = raw.decode("utf-8", "surrogateescape")
         if not READABLE.search(text):
             continue
@@ -222,24 +277,32 @@ def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list[tuple[
     added: set[tuple[str, int, int]] = set()
     known = set(base)
     seen: set[tuple[int, int, bytes]] = set()
-    work = deque([Layer(text)])
-    while work:
-        layer = work.popleft()
-        if layer.path:
-            for kind, a, b in findings(layer.text):
-                a, b = layer.place(a, b)
-                if (kind, a, b) not in known:  # what the text itself shows is no news
-                    known.add((kind, a, b))
-                    added.add((f"{kind}@{'>'.join(layer.path)}", a, b))
-        for below in unwrapped(layer, max_layer_bytes):
-            if isinstance(below, tuple):
-                added.add(("oversize", *below))
-            elif below is not None and READABLE.search(below.text):
-                a, b = below.place(0, len(below.text))
-                mark = (a, b, hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                if mark not in seen:
+
+    def follow(first: Layer) -> None:
+        work = deque([first])
+        while work:
+            layer = work.popleft()
+            if layer.path:
+                for kind, a, b in findings(layer.text):
+                    a, b = layer.place(a, b)
+                    if (kind, a, b) not in known:  # what the text itself shows is no news
+                        known.add((kind, a, b))
+                        added.add((f"{kind}@{'>'.join(layer.path)}", a, b))
+            for below in unwrapped(layer, max_layer_bytes):
+                if isinstance(below, tuple):
+                    added.add(("oversize", *below))
+                elif below is not None and READABLE.search(below.text):
+                    a, b = below.place(0, len(below.text))
+                    mark = (a, b, hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    if mark in seen:
+                        continue
                     seen.add(mark)
-                    work.append(below)
+                    if below.large:
+                        follow(below)  # at once, so that one piece of it is held at a time
+                    else:
+                        work.append(below)
+
+    follow(Layer(text))
 
     def order(span):
         kind = span[0].partition("@")[0]
