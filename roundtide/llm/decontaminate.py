@@ -10,8 +10,12 @@ compared one by one and of all stretches that are dense enough the one with most
 A document holds an item when a stretch has at least ``min_match`` equal tokens (or
 ``short_share`` of the item's tokens, if that is less) and is at least three quarters equal.
 
-Edge cases: null or empty texts and items have no tokens and match nothing; items shorter than every
-mask are not searched; documents with a null id are not examined; repeated rows of one id are one
+Items of fewer than ``SHORT_ITEM`` tokens have masks of their own: three kept positions, chosen so that
+whichever tokens the rule lets be substituted, one mask still hits. Documents are hashed under a mask
+only if the benchmark has items that need it.
+
+Edge cases: null or empty texts and items have no tokens and match nothing; items of one or two tokens
+are words, not passages, and are not searched; an item id with several texts is searched for each; documents with a null id are not examined; repeated rows of one id are one
 document; repeated items are reported each under its own id; empty tables give an empty result;
 other columns are ignored.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Collection
 
 import numpy as np
 import xxhash
@@ -30,6 +35,9 @@ from roundtide.llm.common import CACHE_WORDS, map_columns, stage_table, texts
 
 TOKEN = re.compile(r"[^\W_]+")
 MASKS = ("1101101", "11010011", "101100101")
+#: Items below this many tokens are found by these masks, whatever the rule lets be substituted.
+SHORT_ITEM = 14
+SHORT_MASKS = ("111", "1101", "1011")
 MIN_MATCH = 12
 SHORT_SHARE = 0.7
 #: The bit table of benchmark seeds has at most this many bits; more seeds only mean more hits to join.
@@ -47,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def seeder(masks: tuple[str, ...] = MASKS):
-    """A function from text to the seeds of every mask: (hashes, positions), as 64-bit arrays."""
+    """A function from text, and from its length to the masks wanted, to seeds: (hashes, positions, mask numbers), as arrays."""
     known: dict[str, int] = {}
     kept = [(len(m), [i for i, c in enumerate(m) if c == "1"]) for m in masks]
 
@@ -59,22 +67,24 @@ def seeder(masks: tuple[str, ...] = MASKS):
             got = known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return got
 
-    def seeds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    def seeds(text: str, wanted: Callable[[int], Collection[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = tokens(text)
+        numbers = wanted(len(words))
         h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-        found, at = [], []
+        found, at, by = [], [], []
         for number, (span, offsets) in enumerate(kept):
             n = len(h) - span + 1
-            if n <= 0:
+            if n <= 0 or number not in numbers:
                 continue
             acc = np.full(n, number + 1, np.uint64)
             for i in offsets:
                 acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
             found.append(acc)
             at.append(np.arange(n))
+            by.append(np.full(n, number))
         if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(found).view(np.int64), np.concatenate(at)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(found).view(np.int64), np.concatenate(at), np.concatenate(by)
 
     return seeds
 
@@ -109,17 +119,20 @@ def overlaps(doc: list[str], item: list[str], diagonals: list[int]) -> tuple[int
     return best
 
 
-def _seed_rows(masks):
+def _seed_rows(masks: tuple[str, ...], short_masks: tuple[str, ...]):
+    long, short = range(len(masks)), range(len(masks), len(masks) + len(short_masks))
+
     def make():
-        seeds = seeder(masks)
+        seeds = seeder(masks + short_masks)
 
         def step(ids, text):
-            out = [[], [], []]
+            out = [[], [], [], []]
             for i, t in zip(ids, text):
-                h, at = seeds(t)
+                h, at, by = seeds(t, lambda n: short if n < SHORT_ITEM else long)
                 out[0] += h.tolist()
                 out[1] += [i] * len(h)
                 out[2] += at.tolist()
+                out[3] += by.tolist()
             return out
 
         return step
@@ -144,22 +157,23 @@ def seed_filter(seeds: DataFrame, count: int) -> tuple[np.ndarray, int]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_match: int = MIN_MATCH,
-    short_share: float = SHORT_SHARE, text_col: str = "text",
+    short_share: float = SHORT_SHARE, text_col: str = "text", short_masks: tuple[str, ...] = SHORT_MASKS,
 ) -> DataFrame:
     """doc_id, item_id, matched, share, token_start, token_end: a row per document and item it holds."""
     rows = texts(docs, text_col=text_col).where("doc_id is not null")
     items = texts(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").where("item_id is not null")
-    seeds = stage_table(map_columns(items, _seed_rows(masks), "seed long, item_id long, item_pos int").distinct(), "seeds")
+    seeds = stage_table(map_columns(items, _seed_rows(masks, short_masks), "seed long, item_id long, item_pos int, mask int").distinct(), "seeds")
+    used = {row["mask"] for row in seeds.select("mask").distinct().collect()}  # no more than there are masks
     table, bits = seed_filter(seeds, seeds.count())
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def make():
-        find, marks = seeder(masks), shared.value
+        find, marks = seeder(masks + short_masks), shared.value
 
         def step(ids, text):
             out = [[], [], []]
             for i, t in zip(ids, text):
-                h, at = find(t)
+                h, at, _ = find(t, lambda n: used)
                 p = h & np.int64(bits - 1)
                 hit = np.flatnonzero((marks[p >> 6] >> (p & 63)) & 1)
                 out[0] += [i] * len(hit)
@@ -173,7 +187,7 @@ def contaminated(
     lines = hits.join(seeds, "seed").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"))
     lines = lines.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
     lines = stage_table(lines, "seed-hits")
-    searched = items.dropDuplicates(["item_id"]).withColumnRenamed("text", "item")
+    searched = items.distinct().withColumnRenamed("text", "item")
     found = (
         lines.join(searched, "item_id")
         .groupBy("doc_id")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -107,3 +108,46 @@ def test_passages_with_a_quarter_replaced(spark, make_docs):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["matched"] for r in d.contaminated(make_docs(docs), benchmark).collect()}
     assert len(expected) > 50 and got == expected
+
+
+def test_short_masks_hit_whatever_is_substituted():
+    for n in range(3, d.SHORT_ITEM):
+        for kept in itertools.product((0, 1), repeat=n):
+            if ruled(kept) >= d.needed(n):
+                row = "".join(map(str, kept))
+                assert any(
+                    all(row[i + k] == "1" for k, c in enumerate(m) if c == "1")
+                    for m in d.SHORT_MASKS for i in range(n - len(m) + 1)
+                ), row
+
+
+def test_short_items_equal_brute_force(spark, make_docs):
+    rng = random.Random(9)
+    vocabulary = [f"t{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 14)))) for k in range(40)]
+    docs = []
+    for i in range(160):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(3, 40))]
+        passage = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, len(passage) // 4 + 1)):
+            passage[rng.randrange(len(passage))] = "changed"
+        at = rng.randrange(len(words))
+        words[at:at] = passage
+        docs.append((i, " ".join(words)))
+    expected = {}
+    for i, t in docs:
+        for j, s in items:
+            doc, item = d.tokens(t), d.tokens(s)
+            rows = ([0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(item)] for shift in range(-len(item), len(doc)))
+            if (best := max(map(ruled, rows))) >= d.needed(len(item)):
+                expected[i, j] = best
+    benchmark = spark.createDataFrame([*items, (90, "one"), (91, "two words"), (None, "a b c")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in d.contaminated(make_docs(docs), benchmark).collect()}
+    assert len(expected) > 100 and got == expected
+
+
+def test_an_item_id_with_several_texts_is_searched_for_each(spark, make_docs):
+    first, second = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    benchmark = spark.createDataFrame([(1, first), (1, second), (1, first)], "item_id long, text string")
+    got = d.contaminated(make_docs([(1, first), (2, second), (3, "a0 b1")]), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched"]) for r in got) == [(1, 1, 20), (2, 1, 20)]
