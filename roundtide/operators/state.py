@@ -569,8 +569,8 @@ def cleanup(tables: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, Data
 
 # --- one batch ------------------------------------------------------------------------------
 
-def with_stored_ids(stored: DataFrame, batch: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The batch under the ids of the events table.
+def with_stored_ids(stored: DataFrame, batch: dict[str, DataFrame], ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The batch under the ids of the events table; ``ids`` are the ids in use, where ``stored`` is a part of it.
 
     A known (watch, URL) has its stored id; a new one keeps the batch's id if no stored event has it,
     else gets one derived from watch and URL. Rows of one (watch, URL) become one event, the greatest
@@ -579,7 +579,7 @@ def with_stored_ids(stored: DataFrame, batch: dict[str, DataFrame]) -> dict[str,
     key = ["watch_id", "official_url"]
     kind = batch["events"].schema["event_id"].dataType  # a number, or a key as text
     known = stored.select(*key, F.col("event_id").alias("stored_id"))
-    taken = stored.select(F.col("event_id").alias("batch_id"), F.lit(True).alias("taken"))
+    taken = (stored if ids is None else ids).select(F.col("event_id").alias("batch_id"), F.lit(True).alias("taken"))
     asked = batch["events"].select(*key, F.col("event_id").alias("batch_id"))
     least = asked.groupBy(*key).agg(F.min("batch_id").alias("least_id"))
     ids = (

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roundtide.operators.state import apply_batch
-from roundtide.sources.tables import publish, read_state
+from roundtide.operators.state import apply_batch, stale_fallbacks, with_stored_ids
+from roundtide.sources.deltas import DeltaState, distinct_keys
+from roundtide.sources.tables import written
 
 
 def read_landing(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -74,15 +75,30 @@ def dedupe_step(path: str, keys: list[str], buckets: int = 64) -> Callable[[Data
     return step
 
 
-def apply_step(
-    root: str, names: list[str], to_batch: Callable[[DataFrame], dict[str, DataFrame]], as_of, now
+def delta_step(
+    state: DeltaState, to_batch: Callable[[DataFrame], dict[str, DataFrame]], as_of: Column, now: Column, compact_every: int = 16
 ) -> Callable[[DataFrame, int], None]:
-    """Save each micro-batch into the state: version n+1 is written from version n, then published."""
+    """Save each micro-batch into the state: read what the batch touches, write what it touches as the next version.
+
+    Touched are the events of the batch, whatever event its links and rounds name, and the fallback events that it
+    retires. Read are those events' rows and all events of the watches concerned, for a page may be known by its
+    watch and URL, and an id may belong to another watch. The alerts of a version lie beside it.
+    """
     def step(rows: DataFrame, batch_id: int) -> None:
-        state = read_state(rows.sparkSession, root, names, version=batch_id)
-        nxt, alerts = apply_batch(state, to_batch(rows), as_of, now)
-        tables = {n: nxt[n] for n in names}
-        tables["changes"], tables["lifecycle"] = alerts["changes"], alerts["lifecycle"]
-        publish(tables, root, batch_id + 1)
+        batch = to_batch(rows)
+        asked = [t.select("event_id") for t in batch.values()]
+        known = written(state.ids(batch_id, distinct_keys(asked)), "known")
+        watches = distinct_keys([batch["events"].select("watch_id"), known.where("watch_id is not null").select("watch_id")])
+        events = written(state.events_of(watches, batch_id), "events_read")
+        batch = {n: written(t, f"moved_{n}") for n, t in with_stored_ids(events, batch, known.where("live")).items()}
+        retired = stale_fallbacks(events, batch["events"])
+        touched = written(distinct_keys([t.select("event_id") for t in [*batch.values(), retired]]), "touched")
+        before = {n: state.rows(n, batch_id, touched) for n in state.children}
+        after, alerts = apply_batch({"events": events, **before}, batch, as_of, now)
+        state.save(batch_id + 1, touched, {n: after[n] for n in ["events", *state.children]})
+        for name, told in alerts.items():
+            told.write.mode("overwrite").parquet(f"{state.root}/{name}/v{batch_id + 1}")
+        if (batch_id + 1) % compact_every == 0:
+            state.compact(batch_id + 1)
 
     return step
