@@ -436,13 +436,15 @@ def _(s):
 
 # --- relevance ------------------------------------------------------------------
 
+def keyword_of_item():
+    return F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.regexp_replace("text", r"\s", ""), F.lit("公")))
+
+
 def candidates(s: Star) -> DataFrame:
     """Each document is a candidate of one keyword: a benchmark text, as words or as one non-Latin word."""
     bench = s.table("benchmark")
     n = bench.agg(F.count("*")).scalar()
-    kw = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(
-        F.concat(F.regexp_replace("text", r"\s", ""), F.lit("公"))
-    )
+    kw = keyword_of_item()
     keyed = s.spread("documents").withColumn("item_id", F.col("doc_id") % n)
     return keyed.join(bench.select("item_id", kw.alias("keyword")), "item_id").select(
         "doc_id",
@@ -496,6 +498,21 @@ def _(s):
     return candidates(s).select("doc_id", F.round(grams.keyword_overlap(F.col("keyword"), F.col("text")), 9).alias("overlap"))
 
 
+@query(
+    "keyword_postings",
+    f"""WITH k AS (SELECT item_id, {sql_grams("CASE WHEN item_id % 2 = 0 THEN text ELSE regexp_replace(text, '\\s', '', 'g') || '公' END")} AS wanted FROM benchmark),
+      t AS (SELECT doc_id, {sql_grams('text')} AS held FROM documents), p AS (SELECT item_id, doc_id, len(list_intersect(wanted, held)) * 1.0 / len(wanted) AS overlap FROM k, t WHERE len(wanted) > 0)
+      SELECT item_id, doc_id, round(overlap, 9) AS overlap FROM p WHERE overlap >= 0.45""",
+)
+def _(s):
+    """All keywords against all whole texts."""
+    from roundtide.operators.postings import texts_of_keywords
+
+    keywords = s.table("benchmark").select(F.col("item_id").alias("keyword_id"), keyword_of_item().alias("keyword"))
+    texts = s.spread("documents").select(F.col("doc_id").alias("text_id"), "text")
+    return texts_of_keywords(keywords, texts).select(F.col("keyword_id").alias("item_id"), F.col("text_id").alias("doc_id"), F.round("overlap", 9).alias("overlap"))
+
+
 @query("keyword_match", f"WITH {CANDIDATES} SELECT doc_id, {sql_matches('keyword', 'text')} AS matched FROM cand")
 def _(s):
     return candidates(s).select("doc_id", grams.keyword_matches(F.col("keyword"), F.col("text")).alias("matched"))
