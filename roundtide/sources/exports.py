@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roundtide.operators.joins import by_shuffle
+
 
 def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
@@ -20,7 +22,7 @@ def block_documents(blocks: dict[str, DataFrame], scope: str = "keyword") -> Dat
     dated = ["lottery_start", "lottery_end", "results_date", "general_sale_date", "payment_deadline"]
     ticket = F.struct("name", "platform", "url", *[F.col(c).cast("string").alias(c) for c in dated], "status", "evidence")
     rounds = blocks["rounds"].groupBy(scope).agg(F.array_sort(F.collect_list(ticket)).alias("rounds"))
-    joined = blocks["header"].join(facts, scope, "left").join(rounds, scope, "left")
+    joined = blocks["header"].join(by_shuffle(facts), scope, "left").join(by_shuffle(rounds), scope, "left")
     info = F.struct(*blocks["header"].columns, F.coalesce("facts", F.array()).alias("facts"))
     document = F.to_json(F.struct(info.alias("general_info"), F.coalesce("rounds", F.array()).alias("ticket_info")))
     return joined.select(scope, document.alias("document"))
