@@ -102,7 +102,7 @@ def _(s):
 )
 def _(s):
     """Rounds and links of the snapshots that are new, as they are stored with them."""
-    new = st.new_snapshots(st.snapshots(s.events, s.rounds), st.snapshots(s.prev_events, s.prev_rounds))
+    new = st.new_snapshots(st.snapshots(s.events_dealt, s.rounds), st.snapshots(s.prev_events, s.prev_rounds))
     parts = st.snapshot_parts(new, s.rounds, s.event_links)
     return parts.select("event_id", "part", "name", F.get_json_object("content", "$.application_end_at").alias("ends"))
 
