@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from roundtide.functions.dates import as_date
 from roundtide.operators import joins, reminders, state
+from roundtide.plans import state_q
 from roundtide.plans.catalog import QUERIES
 from roundtide.plans.star import Star
+from roundtide.sources import tables
 
 
 def shuffles(df) -> list[str]:
@@ -42,6 +44,30 @@ def test_rounds_are_shuffled_once(spark, sf_dir, no_broadcast, name):
     assert "l_orderkey" in keys and not [k for k in keys if "event_id, " in k or "round_key" in k]
 
 
+def test_written_tables_keep_their_dealing_and_free_shuffles(spark, sf_dir, no_broadcast):
+    assert Star(spark, sf_dir).whole_orders and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "event_id long, round_key string")
+    stored = tables.written(rows.repartition("event_id"), "by_event", by="event_id")
+    both = stored.join(stored.withColumn("n", F.lit(1)), ["event_id", "round_key"])
+    assert not shuffles(both)
+    assert sorted(tuple(r) for r in both.collect()) == [(1, "a", 1), (1, "b", 1), (2, "c", 1)]
+    assert sorted(r.round_key for r in stored.collect()) == ["a", "b", "c", "d"]
+
+
+def test_cleanup_and_apply_leave_rounds_in_place(spark, sf_dir, no_broadcast, monkeypatch):
+    s = Star(spark, sf_dir)
+    cleaned = state.cleanup(state_q.dirty_state(s), s.as_of)[0]["rounds"]
+    assert not [k for k in shuffles(cleaned) if "round_key" in k]
+    monkeypatch.setattr(state, "WORTH", 0)
+    kept, batch = state_q.batch_state(s)
+    after, told = state.apply_batch(kept, batch, s.as_of, state_q.now())
+    assert not [k for k in shuffles(after["rounds"]) + shuffles(told["changes"]) if "round_key" in k]
+    monkeypatch.setattr(state, "WORTH", 10**9)
+    kept, batch = state_q.batch_state(s)
+    plain, _ = state.apply_batch(kept, batch, s.as_of, state_q.now())
+    assert after["rounds"].exceptAll(plain["rounds"]).isEmpty() and plain["rounds"].exceptAll(after["rounds"]).isEmpty()
+
+
 def test_snapshot_parts_make_texts_after_the_join(spark, sf_dir, no_broadcast):
     s = Star(spark, sf_dir)
     parts = state.snapshot_parts(state.snapshots(s.events_dealt, s.rounds), s.rounds, s.event_links)
