@@ -91,8 +91,12 @@ def test_occasions_are_not_dealt_by_watch(spark, no_broadcast):
         "subscription_id long, watch_id long, channels string, lead_days string, scope string, location string, round_key string",
     )
     got = reminders.occasions(subs, events, rounds, as_date("2026-08-02"))
-    assert shuffles(got).count("watch_id") == 4  # ids of events and subscriptions, for rounds and for shows
-    assert all("subject" not in x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    assert shuffles(got).count("watch_id") == 6  # ids of events and subscriptions for rounds and for shows, shows without an id
+    assert sum("subject" in x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x) <= 1
     rows = sorted((r.subscription_id, r.event_id, r.field, r.round_key or "") for r in got.collect())
     assert rows == [(70, 1, "results_date", "k1"), (70, 1, "results_date", "k2"), (70, 1, "show", ""), (70, 2, "results_date", "k3"), (71, 1, "results_date", "k2"), (80, 3, "show", "")]
+    # an event that comes twice gives its rows twice, and a show needs no event id
+    odd = events.unionByName(events.where("event_id = 1")).unionByName(events.where("event_id = 3").withColumn("event_id", F.lit(None).cast("long")))
+    again = reminders.occasions(subs, odd, rounds, as_date("2026-08-02")).groupBy("subscription_id", "event_id").count().collect()
+    assert sorted((r[0], r[1] or 0, r[2]) for r in again) == [(70, 1, 6), (70, 2, 1), (71, 1, 2), (80, 0, 1), (80, 3, 1)]
     assert set(got.columns) >= {"watch_id", "subscription_id", "channels", "lead_days", "kind"}
